@@ -15,15 +15,14 @@ from pyspark.sql import functions as F
 
 from repoweave.functions import fixed
 from repoweave.functions.text import (
-    REST_OF_LINE, Text, column, contains_any, let, unicode_space,
+    REST_OF_LINE, Text, column, contains_any, is_in, let, unicode_space,
 )
 
 OPEN, CLOSE = "\ufdd0", "\ufdd1"
 MARK_REGEX = f"{OPEN}([0-9]+){CLOSE}"
-# A line comment that mentions none of the words worth keeping: match all, keep some.
-LINE_COMMENT_REGEX = "//" + REST_OF_LINE
-LINE_COMMENT_DROP_REGEX = (
-    "//(?:(?!" + "|".join(fixed.LINE_COMMENT_KEEP) + r")[^\n\r\x{2028}\x{2029}])*+(?=[\n\r\x{2028}\x{2029}]|\z)"
+# A whole line comment; group 1 holds it if it mentions a word worth keeping.
+LINE_COMMENT_REGEX = (
+    f"(//{REST_OF_LINE}(?:" + "|".join(fixed.LINE_COMMENT_KEEP) + f"){REST_OF_LINE})|//{REST_OF_LINE}"
 )
 HASH_COMMENT_REGEX = "#" + REST_OF_LINE
 BLANK_RUN_REGEX = unicode_space(fixed.BLANK_RUN_REGEX)
@@ -76,7 +75,7 @@ def _with_blocks_kept(
 def strip_c(content: Text = "content") -> Column:
     def strip(text: Column) -> Column:
         no_blocks = F.regexp_replace(text, fixed.BLOCK_COMMENT_REGEX, "")
-        return F.regexp_replace(no_blocks, LINE_COMMENT_DROP_REGEX, "")
+        return F.regexp_replace(no_blocks, LINE_COMMENT_REGEX, "$1")
 
     return _with_blocks_kept(
         column(content), fixed.DOC_BLOCK_REGEX, fixed.DOC_BLOCK_KEEP, True, strip
@@ -105,10 +104,10 @@ def strip_comments(content: Text, ext: Column) -> Column:
     """Strip by lower-cased extension, then collapse runs of blank lines."""
     text = column(content)
     stripped = (
-        F.when(ext.isin(fixed.C_COMMENT_EXTENSIONS), strip_c(text))
+        F.when(is_in(ext, fixed.C_COMMENT_EXTENSIONS), strip_c(text))
         .when(ext == ".py", strip_python(text))
         .when(ext == ".rb", strip_hash(text))
-        .when(ext.isin(fixed.MARKUP_EXTENSIONS), strip_markup(text))
+        .when(is_in(ext, fixed.MARKUP_EXTENSIONS), strip_markup(text))
         .otherwise(text)
     )
     return collapse_blank_lines(stripped)

@@ -170,8 +170,11 @@ EXTENSION_POINTS = {
     ".tsx": 25, ".py": 20, ".go": 20, ".java": 20, ".rb": 20, ".tf": 30, ".tfvars": 25,
     ".hcl": 25, ".tpl": 20,
 }
-IMPORT_REGEX = r"import\s+|require\s*\("
-DEFINITION_REGEX = r"function\s+|=>|def\s+|class\s+|interface\s+"
+# (literal, regex after it); no match of one can overlap a match of another.
+IMPORT_FORMS = [("import", r"\s+"), ("require", r"\s*\(")]
+DEFINITION_FORMS = [
+    ("function", r"\s+"), ("=>", ""), ("def", r"\s+"), ("class", r"\s+"), ("interface", r"\s+"),
+]
 ARCHITECTURE_MARKERS = [
     "export default", "module.exports", "@Component", "extends React", "createSlice",
     "@Injectable",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from repoweave.functions import fixed
 from repoweave.functions.globs import glob_regex
-from repoweave.functions.text import Text, column, lookup, starts_with_any
+from repoweave.functions.text import Text, column, is_in, lookup, starts_with_any
 
 
 def basename(path: Text = "path") -> Column:
@@ -67,17 +67,17 @@ def _two_decimals(hundredths: Column) -> Column:
 
 
 def is_binary(path: Text = "path") -> Column:
-    return lower_ext(path).isin(fixed.BINARY_EXTENSIONS)
+    return is_in(lower_ext(path), fixed.BINARY_EXTENSIONS)
 
 
 def is_high_priority(path: Text = "path") -> Column:
-    return basename(path).isin(fixed.HIGH_PRIORITY_NAMES)
+    return is_in(basename(path), fixed.HIGH_PRIORITY_NAMES)
 
 
 def is_entry_point(path: Text = "path") -> Column:
     plain = [g for g in fixed.ENTRY_POINT_GLOBS if "*" not in g]
     wild = "|".join(glob_regex(g) for g in fixed.ENTRY_POINT_GLOBS if "*" in g)
-    return column(path).isin(plain) | column(path).rlike(wild)
+    return is_in(path, plain) | column(path).rlike(wild)
 
 
 def in_important_folder(path: Text = "path") -> Column:
@@ -86,11 +86,11 @@ def in_important_folder(path: Text = "path") -> Column:
 
 def is_include_name(path: Text = "path") -> Column:
     """Main configuration, information and entry files: the first tier of the size budget."""
-    return basename(path).isin(sorted(set(fixed.INCLUDE_NAMES)))
+    return is_in(basename(path), sorted(set(fixed.INCLUDE_NAMES)))
 
 
 def is_render_skipped(path: Text = "path") -> Column:
-    return lower_ext(path).isin(fixed.RENDER_SKIP_EXTENSIONS + fixed.BINARY_EXTENSIONS)
+    return is_in(lower_ext(path), fixed.RENDER_SKIP_EXTENSIONS + fixed.BINARY_EXTENSIONS)
 
 
 def file_flags(path: Text = "path", size: Text = "size") -> dict[str, Column]:
@@ -114,7 +114,7 @@ def type_group(path: Text = "path") -> Column:
     ext = lower_ext(path)
     chain = F
     for name, extensions in fixed.TYPE_GROUPS.items():
-        hit = ext.isin(extensions)
+        hit = is_in(ext, extensions)
         if name == "Configuration Files":
             hit = hit | basename(path).rlike(fixed.CONFIGURATION_NAME_REGEX)
         chain = chain.when(hit, F.lit(name))

@@ -1,7 +1,11 @@
-"""Finding and redacting credentials with one pattern, as Columns.
-
-Every match is cut out, redacted by position unless its value is exempt, and put
-back; a finding records where the match starts in the text that was searched.
+"""Finding and redacting credentials, as Columns.
+
+The patterns are folded over the text in order, each on what the one before it
+left.  Every match is cut out, redacted by position unless its value is exempt,
+and put back; a finding records where the match starts in the text as it entered
+that pattern.  The fold is one expression of fixed depth: a filter on its result
+that the optimizer pushes down copies it once, where a chain of projections
+would be copied again at every step.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 
 from repoweave.functions import fixed
 from repoweave.functions.text import (
-    Text, any_of, column, contains_any, ends_with_any, let, lines_of, unicode_space,
+    Text, any_of, column, contains_any, ends_with_any, is_in, let, lines_of, unicode_space,
 )
 
 MARK = "\ufdd2"
@@ -26,20 +30,31 @@ class CredentialPattern(NamedTuple):
     group: int
     suffix: int  # characters of the match after the value
 
-    @property
-    def java(self) -> str:
-        return "(?i)" + unicode_space(self.regex)
+    def column(self) -> Column:
+        return F.struct(
+            F.lit(self.name).alias("name"),
+            F.lit("(?i)" + unicode_space(self.regex)).alias("regex"),
+            F.lit(self.group).alias("group"),
+            F.lit(self.suffix).alias("suffix"),
+        )
 
 
 PATTERNS = [CredentialPattern(*p) for p in fixed.CREDENTIAL_PATTERNS]
 
-# Cheap necessary condition for any pattern; most files stop here.
+# Necessary conditions for any pattern, the cheapest first; most files stop here.
+VALUE_REGEX = unicode_space(r"""[=:]\s*["']""")
 GATE_REGEX = unicode_space(
     r"""(?i)(?:key|token|secret|password|passwd|pwd|jwt|credential|auth)[\w-]*["']?\s*[=:]\s*["']"""
     r"""|mongodb(?:\+srv)?://|postgres://|mysql://|jdbc:|PRIVATE KEY-----|firebaseConfig"""
 )
 
 
+def may_hold_credentials(content: Text = "content") -> Column:
+    text = column(content)
+    first = text.rlike(VALUE_REGEX) | text.contains("://") | text.contains("-----")
+    return first & text.rlike(GATE_REGEX)
+
+
 def credential_type(match: Text) -> Column:
     text = F.lower(column(match))
     chain = F
@@ -52,19 +67,18 @@ def is_false_positive(value: Text) -> Column:
     """A known literal, or one short word of letters only."""
     value = column(value)
     short_word = F.length(value) < fixed.FALSE_POSITIVE_WORD_LENGTH
-    return value.isin(fixed.FALSE_POSITIVE_WORDS) | (value.rlike(r"^[A-Za-z]+\z") & short_word)
+    return is_in(value, fixed.FALSE_POSITIVE_WORDS) | (value.rlike(r"^[A-Za-z]+\z") & short_word)
 
 
 def preview(value: Text) -> Column:
     return F.concat(F.substring(column(value), 1, 3), F.lit("..."))
 
 
-def matches_of(text: Column, pattern: CredentialPattern) -> Column:
+def matches_of(text: Column, pattern: Column) -> Column:
     """``array<struct<match, value, real>>`` in order of appearance."""
-    regex = F.lit(pattern.java)
     return F.zip_with(
-        F.regexp_extract_all(text, regex, F.lit(0)),
-        F.regexp_extract_all(text, regex, F.lit(pattern.group)),
+        F.regexp_extract_all(text, pattern["regex"], F.lit(0)),
+        F.regexp_extract_all(text, pattern["regex"], pattern["group"]),
         lambda m, v: F.struct(
             m.alias("match"), v.alias("value"),
             (~is_false_positive(v) & (v != fixed.REDACTED)).alias("real"),
@@ -72,30 +86,30 @@ def matches_of(text: Column, pattern: CredentialPattern) -> Column:
     )
 
 
-def rewritten(text: Column, matches: Column, pattern: CredentialPattern) -> Column:
+def _rewritten(text: Column, matches: Column, pattern: Column) -> Column:
     """``text`` with the values of its real matches redacted."""
 
     def put_back(gap: Column, i: Column) -> Column:
         hit = F.get(matches, i)
-        before = F.length(hit["match"]) - F.length(hit["value"]) - pattern.suffix
+        before = F.length(hit["match"]) - F.length(hit["value"]) - pattern["suffix"]
         redacted = F.concat(
             F.substring(hit["match"], F.lit(1), before),
             F.lit(fixed.REDACTED),
-            F.right(hit["match"], F.lit(pattern.suffix)),
+            F.right(hit["match"], pattern["suffix"]),
         )
         shown = F.when(hit["real"], redacted).otherwise(hit["match"])
         return F.concat(gap, F.coalesce(shown, F.lit("")))
 
-    return F.array_join(F.transform(F.split(text, pattern.java, -1), put_back), "")
+    return F.array_join(F.transform(F.split(text, pattern["regex"], -1), put_back), "")
 
 
-def _positions(text: Column, pattern: CredentialPattern) -> Column:
+def _positions(text: Column, pattern: Column) -> Column:
     """``array<struct<line, column>>`` of the match starts.
 
     The starts are marked in the text, the text is cut into lines, and only the
     lines that carry a mark are looked at, so the work stays linear in the text.
     """
-    marked = F.regexp_replace(text, pattern.java, MARK + "$0")
+    marked = F.regexp_replace(text, pattern["regex"], F.lit(MARK + "$0"))
 
     def in_line(line: Column, i: Column) -> Column:
         return let(
@@ -104,10 +118,8 @@ def _positions(text: Column, pattern: CredentialPattern) -> Column:
                 F.sequence(F.lit(1), F.size(pieces) - 1),
                 lambda k: F.struct(
                     (i + 1).cast("bigint").alias("line"),
-                    (
-                        F.aggregate(
-                            F.slice(pieces, F.lit(1), k), F.lit(1), lambda n, p: n + F.length(p)
-                        )
+                    F.aggregate(
+                        F.slice(pieces, F.lit(1), k), F.lit(1), lambda n, p: n + F.length(p)
                     ).cast("bigint").alias("column"),
                 ),
             ),
@@ -121,7 +133,7 @@ def _positions(text: Column, pattern: CredentialPattern) -> Column:
     )
 
 
-def findings(text: Column, matches: Column, pattern: CredentialPattern) -> Column:
+def _findings(text: Column, matches: Column, pattern: Column) -> Column:
     located = F.zip_with(
         matches,
         _positions(text, pattern),
@@ -130,7 +142,7 @@ def findings(text: Column, matches: Column, pattern: CredentialPattern) -> Colum
     return F.transform(
         F.filter(located, lambda x: x["hit"]["real"]),
         lambda x: F.struct(
-            F.lit(pattern.name).alias("pattern"),
+            pattern["name"].alias("pattern"),
             x["at"]["line"].alias("line"),
             x["at"]["column"].alias("column"),
             credential_type(x["hit"]["match"]).alias("type"),
@@ -139,6 +151,23 @@ def findings(text: Column, matches: Column, pattern: CredentialPattern) -> Colum
     )
 
 
+def _start(text: Column) -> Column:
+    return F.struct(text.alias("content"), F.array().cast(f"array<{FINDING}>").alias("findings"))
+
+
+def _apply_pattern(state: Column, pattern: Column) -> Column:
+    """One pattern over ``struct<content, findings>``."""
+    text = state["content"]
+    rewritten = let(
+        matches_of(text, pattern),
+        lambda hits: F.struct(
+            _rewritten(text, hits, pattern).alias("content"),
+            F.concat(state["findings"], _findings(text, hits, pattern)).alias("findings"),
+        ),
+    )
+    return F.when(F.rlike(text, pattern["regex"]), rewritten).otherwise(state)
+
+
 def is_env_file(path: Text = "path") -> Column:
     return column(path).contains(fixed.ENV_FILE_PART) | ends_with_any(path, fixed.ENV_FILE_SUFFIXES)
 
@@ -177,10 +206,41 @@ def _env_line(line: Column, i: Column) -> Column:
     return let(F.struct(name.alias("name"), value.alias("value")), decide)
 
 
-def redacted_lines(content: Text = "content") -> Column:
-    """``array<struct<text, finding>>``: the lines of an environment file after redaction."""
-    return F.transform(lines_of(content), _env_line)
+def _apply_env(state: Column) -> Column:
+    """Redact the ``NAME=value`` lines with a sensitive name."""
+    return let(
+        F.transform(lines_of(state["content"]), _env_line),
+        lambda lines: F.struct(
+            F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("content"),
+            F.concat(
+                state["findings"],
+                F.filter(F.transform(lines, lambda x: x["finding"]), lambda f: f.isNotNull()),
+            ).alias("findings"),
+        ),
+    )
+
+
+def redact_env(content: Text = "content", path: Text = "path") -> Column:
+    """The environment pass alone."""
+    return let(
+        _start(column(content)),
+        lambda s: F.when(is_env_file(path), _apply_env(s)).otherwise(s),
+    )
+
+
+def redact_patterns(content: Text, patterns: list[CredentialPattern]) -> Column:
+    """The given patterns alone, in order: ``struct<content, findings>``."""
+    return F.aggregate(
+        F.array(*[p.column() for p in patterns]), _start(column(content)), _apply_pattern
+    )
 
 
-def no_findings() -> Column:
-    return F.array().cast(f"array<{FINDING}>")
+def redact(
+    content: Text = "content", path: Text = "path", patterns: list[CredentialPattern] | None = None
+) -> Column:
+    """``struct<content, findings>`` after all patterns and the environment pass."""
+    text = column(content)
+    state = redact_patterns(text, PATTERNS if patterns is None else patterns)
+    if patterns is None:  # the gate holds for the built-in patterns only
+        state = F.when(may_hold_credentials(text), state).otherwise(_start(text))
+    return let(state, lambda s: F.when(is_env_file(path), _apply_env(s)).otherwise(s))

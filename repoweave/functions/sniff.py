@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from repoweave.functions import fixed
 from repoweave.functions.paths import basename, is_binary, lower_ext
 from repoweave.functions.text import (
-    LINE_START, Text, column, contains_any, ends_with_any, unicode_space,
+    LINE_START, Text, column, contains_any, ends_with_any, is_in, unicode_space,
 )
 
 CODE_CONTENT_REGEX = unicode_space(
@@ -27,7 +27,7 @@ def code_like_name(path: Text = "path") -> Column:
     return (
         contains_any(base, fixed.CODE_NAME_PARTS)
         | ends_with_any(base, fixed.CODE_NAME_SUFFIXES)
-        | base.isin(fixed.CODE_NAMES)
+        | is_in(base, fixed.CODE_NAMES)
     )
 
 

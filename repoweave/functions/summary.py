@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from repoweave.functions import fixed
-from repoweave.functions.text import Text, column, contains_any, let, lines_of, unicode_space
+from repoweave.functions.text import Text, column, contains_any, is_in, let, lines_of, unicode_space
 
 
 def header_end(lines: Column, ext: Column) -> Column:
@@ -25,7 +25,7 @@ def header_end(lines: Column, ext: Column) -> Column:
 
     imports_end = F.aggregate(F.slice(lines, 1, 30), start, step, lambda s: s["last"] + 3)
     return F.when(
-        ext.isin(fixed.IMPORT_HEADER_EXTENSIONS), F.least(imports_end, F.lit(20))
+        is_in(ext, fixed.IMPORT_HEADER_EXTENSIONS), F.least(imports_end, F.lit(20))
     ).otherwise(F.lit(10))
 
 
@@ -54,6 +54,14 @@ def definitions(lines: Column, ext: Column, start: Column) -> Column:
     return chain.otherwise(found(fixed.DEFAULT_DEFINITIONS))
 
 
+def file_definitions(content: Text, ext: Column) -> Column:
+    """The definitions below the header of a file."""
+    return let(
+        lines_of(content),
+        lambda lines: let(header_end(lines, ext), lambda head: definitions(lines, ext, head)),
+    )
+
+
 def summarize_code(content: Text, ext: Column) -> Column:
     content = column(content)
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +38,20 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
+@lru_cache(maxsize=None)
+def _literals(values: tuple) -> list[Column]:
+    return [F.lit(v) for v in values]
+
+
+def is_in(text: Text, values: Iterable[str]) -> Column:
+    """Membership in a fixed list, whose literals are made once per process."""
+    return column(text).isin(_literals(tuple(values)))
+
+
+def sum_of(terms: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms)
+
+
 def contains_any(text: Text, parts: Iterable[str]) -> Column:
     return any_of(column(text).contains(part) for part in parts)
 
@@ -49,6 +64,13 @@ def starts_with_any(text: Text, prefixes: Iterable[str]) -> Column:
     return any_of(column(text).startswith(prefix) for prefix in prefixes)
 
 
+def count_of(text: Text, literal: str, rest: str = "") -> Column:
+    """Matches of a literal followed by the regex ``rest``; most texts fail the plain search."""
+    text = column(text)
+    counted = F.regexp_count(text, F.lit(re.escape(literal) + unicode_space(rest)))
+    return F.when(text.contains(literal), counted).otherwise(F.lit(0)).cast("bigint")
+
+
 def lookup(key: Column, table: dict, default) -> Column:
     """Value of ``key`` in a small fixed table."""
     entries = [F.lit(x) for pair in table.items() for x in pair]

@@ -1,87 +1,51 @@
-"""Credential redaction over a table of files: narrow work only, no shuffle.
-
-The patterns run in order, each on the text the one before it left.  One
-projection per pattern keeps every text computed once, and a cheap test on the
-whole text spares most files all of them.  Works on streams as well.
-"""
+"""Credential redaction over a table of files: narrow work only, no shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoweave.functions import redaction as R
 
-FINDINGS = "findings"
-
 
-def apply_pattern(files: DataFrame, pattern: R.CredentialPattern, gate: str | None = None) -> DataFrame:
-    """Redact one pattern in ``content`` and append to ``findings``."""
-    content, hits = F.col("content"), F.col("_hits")
-    wanted = content.rlike(pattern.java)
-    if gate:
-        wanted = F.col(gate) & wanted
-    found = files.withColumn("_hits", F.when(wanted, R.matches_of(content, pattern)))
-    return found.withColumns({
-        "content": F.when(hits.isNull(), content).otherwise(R.rewritten(content, hits, pattern)),
-        FINDINGS: F.when(hits.isNull(), F.col(FINDINGS)).otherwise(
-            F.concat(F.col(FINDINGS), R.findings(content, hits, pattern))
-        ),
-    }).drop("_hits")
+def _with_state(files: DataFrame, state: Column) -> DataFrame:
+    """``files`` with the new ``content`` and the columns ``findings`` and ``found``."""
+    done = files.withColumn("_state", state)
+    return done.withColumns(
+        {"content": F.col("_state.content"), "findings": F.col("_state.findings")}
+    ).drop("_state").withColumn("found", F.size("findings") > 0)
 
 
-def apply_env(files: DataFrame) -> DataFrame:
-    """Redact ``NAME=value`` lines with a sensitive name, in environment files only."""
-    content, lines = F.col("content"), F.col("_lines")
-    cut = files.withColumn("_lines", F.when(R.is_env_file(), R.redacted_lines()))
-    found = F.filter(F.transform(lines, lambda x: x["finding"]), lambda f: f.isNotNull())
-    return cut.withColumns({
-        "content": F.when(lines.isNull(), content).otherwise(
-            F.array_join(F.transform(lines, lambda x: x["text"]), "\n")
-        ),
-        FINDINGS: F.when(lines.isNull(), F.col(FINDINGS)).otherwise(F.concat(FINDINGS, found)),
-    }).drop("_lines")
+def redact(files: DataFrame, patterns: list[R.CredentialPattern] | None = None) -> DataFrame:
+    """All patterns in order and the environment pass; works on streams as well."""
+    return _with_state(files, R.redact("content", "path", patterns))
 
 
 def redact_pattern(files: DataFrame, pattern: R.CredentialPattern) -> DataFrame:
-    return apply_pattern(files.withColumn(FINDINGS, R.no_findings()), pattern)
+    return _with_state(files, R.redact_patterns("content", [pattern]))
 
 
 def redact_env(files: DataFrame) -> DataFrame:
-    return apply_env(files.withColumn(FINDINGS, R.no_findings()))
-
-
-def redact(files: DataFrame, patterns: list[R.CredentialPattern] | None = None) -> DataFrame:
-    """``files`` with redacted ``content`` and the new columns ``findings`` and ``found``."""
-    state = files.withColumn(FINDINGS, R.no_findings())
-    if patterns is None:
-        state = state.withColumn("_gate", F.col("content").rlike(R.GATE_REGEX))
-        for pattern in R.PATTERNS:
-            state = apply_pattern(state, pattern, "_gate")
-        state = state.drop("_gate")
-    else:
-        for pattern in patterns:  # the gate holds for the built-in patterns only
-            state = apply_pattern(state, pattern)
-    return apply_env(state).withColumn("found", F.size(FINDINGS) > 0)
+    return _with_state(files, R.redact_env())
 
 
 def findings_table(redacted: DataFrame) -> DataFrame:
     """One row per finding: repository, path, sequence in the file, place, type, preview."""
-    return redacted.select("repo_id", "path", F.posexplode(FINDINGS).alias("n", "f")).select(
+    # The outer form keeps the optimizer from testing the findings twice.
+    exploded = redacted.select("repo_id", "path", F.posexplode_outer("findings").alias("n", "f"))
+    return exploded.where(F.col("n").isNotNull()).select(
         "repo_id", "path", (F.col("n") + 1).cast("bigint").alias("seq"), "f.*"
     )
 
 
 def pattern_matches(files: DataFrame) -> DataFrame:
     """Every match of every pattern on the unredacted text, with type and exemption."""
-    hits = F.array(*[
-        F.struct(F.lit(p.name).alias("pattern"), R.matches_of(F.col("content"), p).alias("hits"))
-        for p in R.PATTERNS
-    ])
-    gated = files.where(F.col("content").rlike(R.GATE_REGEX))
-    by_pattern = gated.select("repo_id", "path", F.explode(hits).alias("p"))
+    gated = files.where(R.may_hold_credentials())
+    patterns = F.array(*[p.column() for p in R.PATTERNS])
+    by_pattern = gated.select("repo_id", "path", "content", F.explode(patterns).alias("p"))
     return by_pattern.select(
-        "repo_id", "path", "p.pattern", F.posexplode("p.hits").alias("n", "h")
+        "repo_id", "path", F.col("p.name").alias("pattern"),
+        F.posexplode(R.matches_of(F.col("content"), F.col("p"))).alias("n", "h"),
     ).select(
         "repo_id", "path", "pattern", (F.col("n") + 1).cast("bigint").alias("n"),
         F.col("h.match").alias("match"), F.col("h.value").alias("value"),

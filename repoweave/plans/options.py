@@ -40,6 +40,18 @@ class PackOptions:
     # Hash buckets that a large repository is split into before its rows meet.
     salt_buckets: int = 64
 
+    @property
+    def needs_detection(self) -> bool:
+        """Whether project detection can change which files are selected.
+
+        The default lists already hold every extension that detection adds; the
+        one added name is accepted by another rule, unless only recent files count.
+        """
+        if self.infrastructure:
+            return False
+        added_names = self.files is not None or bool(self.recent_days)
+        return self.extensions is not None or (self.auto_detect and added_names)
+
     @classmethod
     def preset(cls, mode: str = "auto", security: str = "auto", **overrides) -> PackOptions:
         """Options for a project mode and a security level."""

@@ -1,0 +1,70 @@
+"""Gives the ``documents`` table the shape of code repositories.
+
+``source`` is the repository; ``doc_id`` picks one of 23 path and snippet
+templates, and the document's text follows the snippet.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from repoweave.sources.corpus import from_table, spread
+
+# (path, snippet): {i} is the document id, ~ is a line break.
+TEMPLATES = [
+    ("d{i}/README.md", "# Title"),
+    ("pkg{i}/package.json", '{"name":"demo"}'),
+    ("src/app.{i}.ts", 'import a from "a";~/** plain doc */~/** @param p value */~export default function run(p) {} // TODO later~let u = 1; // drop me'),
+    ("src/mod{i}.py", 'import os~def load(x):~    """Args: x # kept"""~    return x  # drop me~class Loader:~    pass'),
+    ("lib/gen/x{i}.js", "var generated = 1;"),
+    ("lib/x{i}.min.js", "var m=1;"),
+    ("infra{i}/main.tf", 'resource "demo" "x" {}'),
+    ("k8s{i}/deployment.yaml", "apiVersion: v1~kind: Deployment~metadata:~spec:"),
+    ("docker{i}/Dockerfile", "FROM scratch # base"),
+    ("pics{i}/Dockerfile.png", "not really an image"),
+    ("conf{i}/.env", "API_KEY=abc123def456~DB_LOGIN='svc_user_01'~DEBUG=true~EMPTY_SECRET=\"\""),
+    ("web/page{i}.html", "<!-- drop~me --><p>keep</p>"),
+    ("src/component{i}.test.tsx", 'import React from "react";~class A extends React.Component {}'),
+    ("notes/n{i}.md", "Notes.~~~~~End of gap."),
+    ("cmd/svc{i}/main.go", "func main() {} // drop me~type T struct {}"),
+    ("data/d{i}.sql", "select 1;"),
+    ("misc/f{i}.xyz", "plain printable words"),
+    ("misc/f{i}", "class Foo"),
+    ("src/Api{i}.java", "import x.Y;~public class Api {~/* drop~me */~public int run() { return 1; } }"),
+    ("src/types{i}.d.ts", "declare const x: number;"),
+    ("ops{i}/playbook.yml", 'kind: play~password: "undefined"'),
+    ("lib/keys{i}.rb", 'api_key = "FAKEFAKEFAKE1234"~password: "Fak3Pass99"~url = "postgres://usr:fakepw1@host/db"~monkey = "bananas12345"~-----BEGIN PRIVATE KEY-----~FAKE~-----END PRIVATE KEY-----'),
+    ("private{i}/p{i}.js", 'const hidden = require("h");'),
+]
+GITIGNORE = "private*/\n*.log\n!keep.log"
+AS_OF = "2024-03-01 00:00:00"
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _template(field: int) -> Column:
+    texts = F.array(*[F.lit(t[field].replace("~", "\n")) for t in TEMPLATES])
+    return F.get(texts, F.pmod(F.col("doc_id"), F.lit(len(TEMPLATES))).cast("int"))
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(read(spark, sf_dir, "documents"), "doc_id")
+    return from_table(docs.select(
+        F.col("source").alias("repo_id"),
+        F.replace(_template(0), F.lit("{i}"), F.col("doc_id").cast("string")).alias("path"),
+        F.timestamp_add(
+            "DAY", F.pmod("doc_id", F.lit(60)), F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+        ).alias("mtime"),
+        F.concat(_template(1), F.lit("\n"), F.col("text")).alias("content"),
+    ))
+
+
+def gitignore_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One root ignore file per repository."""
+    repos = read(spark, sf_dir, "documents").select(F.col("source").alias("repo_id")).distinct()
+    return from_table(repos.select(
+        "repo_id", F.lit(".gitignore").alias("path"), F.lit(GITIGNORE).alias("content")
+    ))
