@@ -68,3 +68,9 @@ def effective_extensions(detected: DataFrame, opts: PackOptions = PackOptions())
 def with_context(facts: DataFrame, opts: PackOptions) -> DataFrame:
     """``facts`` with ``added_extensions`` and ``added_names``; joins one row per repository."""
     return facts.join(repo_context(detect_repo_type(facts), opts), "repo_id", "left")
+
+
+def has_any_type(detected: DataFrame) -> DataFrame:
+    """``detected`` with ``is_infrastructure``: whether any project type was found."""
+    flags = ["is_terraform", "is_kubernetes", "is_ansible", "is_docker", "is_packer"]
+    return detected.withColumn("is_infrastructure", F.greatest(*flags))

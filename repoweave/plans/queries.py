@@ -206,11 +206,20 @@ def strip_comments_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", comments.strip_markup("html").alias("text"))
 
 
+
+
+def repeated(files: DataFrame) -> DataFrame:
+    """The files with their content six times over, long enough to be summarised."""
+    return files.withColumn("content", F.repeat(F.concat("content", F.lit("\n")), F.lit(6)))
+
+
 over_files("summarize_code", lambda f: f.select(
     *KEY, summary.summarize_code("content", paths.lower_ext()).alias("summary")))
-over_files("summary_header", lambda f: f.select(
+over_files("summarize_long_code", lambda f: repeated(f).select(
+    *KEY, summary.summarize_code("content", paths.lower_ext()).alias("summary")))
+over_files("summary_header", lambda f: repeated(f).select(
     *KEY, summary.header_end(F.split("content", "\n", -1), paths.lower_ext()).cast("bigint").alias("header_lines")))
-over_files("extract_definitions", lambda f: f.select(
+over_files("extract_definitions", lambda f: repeated(f).select(
     *KEY, F.explode(summary.file_definitions("content", paths.lower_ext())).alias("d")).select(
     *KEY, (F.col("d.at") + 1).cast("bigint").alias("line"), F.col("d.name").alias("name")))
 over_files("render_content", lambda f: f.select(*KEY, render.rendered(SMALL_FILES).alias("body")))
