@@ -11,9 +11,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from repoweave.functions import fixed, paths
-from repoweave.operators.rank import metadata_order, score_order
+from repoweave.operators.rank import score_order
 from repoweave.plans.options import PackOptions
 
 
@@ -34,32 +35,28 @@ def size_budget(rows: DataFrame, opts: PackOptions = PackOptions()) -> DataFrame
        usually a few hundred, is decided exactly in one window.
     """
     limit, size, chars, main = opts.limit_bytes, F.col("size"), F.col("chars"), F.col("is_main")
+    # Ordering by a plain column lets the windows of a step share one sort.
+    order = [main.desc(), size.asc(), F.col("path").asc()]
     rows = rows.where(size.between(1, limit)).withColumn("is_main", paths.is_include_name())
 
-    def running(value: Column, window) -> Column:
-        return F.coalesce(F.sum(value).over(window), F.lit(0))
+    def running(value: Column, *keys: str) -> Column:
+        window = Window.partitionBy("repo_id", *keys).orderBy(*order)
+        before = window.rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(value).over(before), F.lit(0))
 
-    part = (
-        Window.partitionBy("repo_id", "_salt").orderBy(*metadata_order())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
     fewest = F.ceil(size / F.lit(4))
-    possible = (
-        rows.withColumn("_salt", _salt(opts.salt_buckets))
-        .withColumn("_main", running(F.when(main, fewest), part))
-        .withColumn("_rest", running(F.when(~main, fewest), part))
-        .where(F.when(main, F.col("_main")).otherwise(F.col("_rest")) + size <= limit)
-    )
-    whole = (
-        Window.partitionBy("repo_id").orderBy(*metadata_order())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    possible = rows.withColumn("_salt", _salt(opts.salt_buckets)).withColumns({
+        "_main": running(F.when(main, fewest), "_salt"),
+        "_rest": running(F.when(~main, fewest), "_salt"),
+    }).where(F.when(main, F.col("_main")).otherwise(F.col("_rest")) + size <= limit)
+
     fits_main = main & (F.col("_main") + size <= limit)
     used = F.when(main, F.col("_main")).otherwise(F.col("_kept_main") + F.col("_rest"))
     return (
-        possible.withColumn("_main", running(F.when(main, chars), whole))
-        .withColumn("_rest", running(F.when(~main, chars), whole))
-        .withColumn("_kept_main", running(F.when(fits_main, chars), whole))
+        possible.withColumns({
+            "_main": running(F.when(main, chars)), "_rest": running(F.when(~main, chars)),
+        })
+        .withColumn("_kept_main", running(F.when(fits_main, chars)))
         .withColumn("used_before", used.cast("bigint"))
         .where(F.col("used_before") + size <= limit)
         .drop("_salt", "_main", "_rest", "_kept_main")
@@ -90,34 +87,35 @@ def token_candidates(rows: DataFrame, opts: PackOptions) -> DataFrame:
     return first(first(classed, "_salt")).drop("_cost", "_large", "_salt", "_n")
 
 
-def token_budget(scored: DataFrame, opts: PackOptions = PackOptions()) -> DataFrame:
-    """Files kept when walked in score order: path, score, size, cost, whether summarised.
+def token_budget(scored: DataFrame, opts: PackOptions = PackOptions(), bounded: bool = False) -> DataFrame:
+    """Files kept when walked in score order: ``scored`` plus ``cost, summarized, rank``.
 
     The ten best are always kept.  Each further file is kept whole if it fits,
     else at the cost of a summary if summaries are on and that fits, else it is
     skipped and the walk goes on.  The walk is sequential, so it runs per
-    repository in pandas, on candidates without content.
+    repository in pandas, on candidates without content.  ``bounded`` tells that
+    a size budget has already bounded the rows of each repository.
     """
     limit, summarize = opts.token_limit_chars, opts.summarize_large_files
     always, summary_cost = fixed.ALWAYS_KEPT, fixed.SUMMARY_COST
+    columns = scored.columns
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.sort_values(["score", "path"], ascending=[False, True])
-        used, costs, seen = 0, [], 0
+        used, costs = 0, []
         for size in ordered["size"]:
-            cost = size if seen < always or used + size <= limit else None
+            cost = size if len(costs) < always or used + size <= limit else None
             if cost is None and summarize and used + min(size, summary_cost) <= limit:
                 cost = min(size, summary_cost)
             used += cost or 0
             costs.append(-1 if cost is None else cost)
-            seen += 1
         ordered["cost"] = costs
         kept = ordered[ordered["cost"] >= 0].copy()
         kept["summarized"] = kept["cost"] < kept["size"]
-        return kept[["repo_id", "path", "score", "size", "cost", "summarized"]]
+        kept["rank"] = range(1, len(kept) + 1)
+        return kept[[*columns, "cost", "summarized", "rank"]]
 
-    candidates = token_candidates(scored.select("repo_id", "path", "score", "size"), opts)
-    return candidates.groupBy("repo_id").applyInPandas(
-        walk,
-        "repo_id string, path string, score bigint, size bigint, cost bigint, summarized boolean",
-    )
+    schema = T.StructType(list(scored.schema.fields))
+    schema = schema.add("cost", T.LongType()).add("summarized", T.BooleanType()).add("rank", T.LongType())
+    candidates = scored if bounded else token_candidates(scored, opts)
+    return candidates.groupBy("repo_id").applyInPandas(walk, schema)

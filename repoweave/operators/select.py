@@ -77,44 +77,49 @@ def fits_file_limit(opts: PackOptions = PackOptions()) -> Column:
 
 
 # --------------------------------------------------------------- decision ----
-def reason(opts: PackOptions = PackOptions()) -> Column:
-    """Label of the first rule that decides; see ``ACCEPTED`` for the keeping ones.
+def first_reason(opts: PackOptions = PackOptions()) -> Column:
+    """Label of the first rule that decides, ignore rules left aside.
 
-    Works on the columns of ``facts``; needs ``is_gitignored`` if ignore rules are
-    respected, and ``added_extensions`` and ``added_names`` if detection matters.
+    Works on the columns of ``facts``; needs ``added_extensions`` and
+    ``added_names`` if detection matters.
     """
-    ignored = F.col("is_gitignored") if opts.respect_gitignore else F.lit(False)
     stale = ~is_recent(opts)
-    chain = F.when(in_ignored_directory(opts), "ignored_directory")
-    if opts.strict_gitignore:
-        chain = chain.when(ignored, "gitignored")
     return (
-        chain.when(is_excluded_exactly(opts), "excluded_name")
+        F.when(in_ignored_directory(opts), "ignored_directory")
+        .when(is_excluded_exactly(opts), "excluded_name")
         .when(is_excluded_by_glob(opts), "excluded_glob")
-        .when(has_include_name(opts) & stale, "stale")
-        .when(has_include_name(opts), "include_name")
+        .when(has_include_name(opts), F.when(stale, "stale").otherwise("include_name"))
         .when(has_special_name(), "special_name")
         .when(paths.is_high_priority(), "high_priority")
         .when(paths.is_entry_point(), "entry_point")
-        .when(paths.in_important_folder() & has_extension(opts), "important_folder")
-        .when(has_extension(opts) & ignored, "gitignored")
-        .when(has_extension(opts) & stale, "stale")
-        .when(has_extension(opts), "extension")
+        .when(
+            has_extension(opts),
+            F.when(paths.in_important_folder(), "important_folder")
+            .when(stale, "stale_extension").otherwise("extension"),
+        )
         .when(F.col("looks_like_code"), "content")
         .otherwise("no_rule")
     )
 
 
-def with_reason(files: DataFrame, opts: PackOptions = PackOptions()) -> DataFrame:
-    """``files`` with ``reason`` and ``selected``."""
-    labelled = files.withColumn("reason", reason(opts))
-    return labelled.withColumn("selected", F.col("reason").isin(ACCEPTED))
+def reason(opts: PackOptions = PackOptions()) -> Column:
+    """The final label, from ``first_reason`` and, if ignore rules count, ``is_gitignored``.
+
+    Ignore rules reach the files that only their extension speaks for, or with
+    ``strict_gitignore`` all files.
+    """
+    first = F.col("first_reason")
+    label = F.when(first == "stale_extension", "stale").otherwise(first)
+    if not opts.respect_gitignore:
+        return label
+    reached = first.isin("extension", "stale_extension")
+    if opts.strict_gitignore:
+        reached = first != "ignored_directory"
+    return F.when(reached & F.col("is_gitignored"), "gitignored").otherwise(label)
 
 
-def selected(files: DataFrame, opts: PackOptions = PackOptions()) -> DataFrame:
-    """Accepted files that are not binary and fit the file limit."""
-    chosen = with_reason(files, opts).where("selected")
-    return chosen.where(~paths.is_binary() & fits_file_limit(opts))
+def is_accepted(label: str = "reason") -> Column:
+    return F.col(label).isin(ACCEPTED)
 
 
 def excluded_names(spark) -> DataFrame:

@@ -18,50 +18,96 @@ from repoweave.operators import aggregate, detect, gitignore, rank, redact, rend
 from repoweave.operators.budget import size_budget, token_budget
 from repoweave.operators.facts import facts
 from repoweave.plans.options import PackOptions
+from repoweave.sources.scratch import written
 
 KEY = ["repo_id", "path"]
+# About 100 MB each: rows of two short strings and numbers, and rows of two numbers.
+BROADCAST_KEYS = 1_000_000
+BROADCAST_REPOS = 5_000_000
+
+
+def first_labels(files: DataFrame, opts: PackOptions) -> DataFrame:
+    """The facts of every file with the decision that its own row allows."""
+    table = facts(files, opts)
+    if opts.needs_detection:
+        context = detect.repo_context(detect.detect_repo_type(facts(files, opts)), opts)
+        table = table.join(context, "repo_id", "left")
+    return table.withColumn("first_reason", select.first_reason(opts))
+
+
+def _with_rules(table: DataFrame, files: DataFrame, opts: PackOptions, rules: DataFrame | None) -> DataFrame:
+    if opts.respect_gitignore:
+        table = gitignore.with_ignored(table, gitignore.rule_sets(files) if rules is None else rules)
+    return table.withColumn("reason", select.reason(opts)).drop("first_reason", "is_gitignored")
 
 
 def labelled(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
-    """The facts of every file with the decision about it.
+    """The facts of every file with ``reason`` and ``selected``.
 
     ``rules`` are the rule sets of the repositories; by default those of their
     own ignore files.
     """
-    table = facts(files, opts)
-    if opts.respect_gitignore:
-        table = gitignore.with_ignored(table, gitignore.rule_sets(files) if rules is None else rules)
-    if opts.needs_detection:
-        context = detect.repo_context(detect.detect_repo_type(facts(files, opts)), opts)
-        table = table.join(context, "repo_id", "left")
-    return select.with_reason(table, opts)
+    table = _with_rules(first_labels(files, opts), files, opts, rules)
+    return table.withColumn("selected", select.is_accepted())
+
+
+def _fits(table: DataFrame, opts: PackOptions) -> DataFrame:
+    return table.where(~paths.is_binary() & select.fits_file_limit(opts))
 
 
-def eligible(labels: DataFrame, opts: PackOptions) -> DataFrame:
-    return labels.where("selected").where(~paths.is_binary() & select.fits_file_limit(opts))
+def eligible_of(labels: DataFrame, opts: PackOptions) -> DataFrame:
+    return _fits(labels.where("selected"), opts)
+
+
+def eligible(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
+    """Accepted files that are not binary and fit the file limit.
+
+    What a row decides by itself is filtered before the rules are joined, so
+    rejected files are not shuffled.
+    """
+    candidates = _fits(first_labels(files, opts), opts).where(select.is_accepted("first_reason"))
+    return _with_rules(candidates, files, opts, rules).where(select.is_accepted())
 
 
 def kept(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
-    """The files that go into the documents: path, size, chars, rank, whether summarised."""
-    budgeted = size_budget(eligible(labelled(files, opts, rules), opts), opts)
-    if not opts.smart:
-        # Bounded by the size budget, so one window per repository is safe.
-        order = Window.partitionBy("repo_id").orderBy(*rank.metadata_order())
-        return budgeted.select(
-            *KEY, "size", "chars", F.row_number().over(order).cast("bigint").alias("rank"),
-            F.lit(False).alias("summarized"),
-        )
-    scored = score.scored(budgeted, opts).select(*KEY, "size", "chars", "score")
-    picks = token_budget(scored, opts).select(*KEY, "summarized")
-    order = Window.partitionBy("repo_id").orderBy(*rank.score_order())
-    return scored.join(picks, KEY).select(
-        *KEY, "size", "chars", F.row_number().over(order).cast("bigint").alias("rank"), "summarized"
+    """The files that go into the documents: path, size, chars, rank, whether summarised.
+
+    The size budget bounds each repository, and everything after it works within
+    the partitioning by repository that it leaves.
+    """
+    budgeted = size_budget(eligible(files, opts, rules), opts)
+    if opts.smart:
+        scored = score.scored(budgeted, opts).select(*KEY, "size", "chars", "score")
+        return token_budget(scored, opts, bounded=True).drop("score", "cost")
+    order = Window.partitionBy("repo_id").orderBy(*rank.metadata_order())
+    return budgeted.select(
+        *KEY, "size", "chars", F.lit(False).alias("summarized"),
+        F.row_number().over(order).cast("bigint").alias("rank"),
     )
 
 
 def with_content(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Late materialisation: the text of the rows that were kept."""
-    return rows.join(files.select(*KEY, "content"), KEY)
+    """Late materialisation: ``rows`` (with ``size``) joined to their text.
+
+    The rows are written once, so their number is known.  Few rows are broadcast
+    and the texts are filtered in their scan.  Many rows are joined by shuffle,
+    after a broadcast of the largest kept size per repository, one short row
+    each, has dropped most texts before they move; beyond that many
+    repositories the shuffle does without.
+    """
+    keys = written(rows, "kept")
+    texts = files.select(*KEY, "content")
+    if keys.count() <= BROADCAST_KEYS:
+        return texts.join(F.broadcast(keys), KEY)
+    largest = written(
+        keys.groupBy(F.xxhash64("repo_id").alias("_repo")).agg(F.max("size").alias("_largest")), "largest"
+    )
+    if largest.count() <= BROADCAST_REPOS:
+        texts = files.select(*KEY, "size", "content").join(
+            F.broadcast(largest),
+            (F.xxhash64("repo_id") == F.col("_repo")) & (F.col("size") <= F.col("_largest")),
+        ).select(*KEY, "content")
+    return texts.join(keys, KEY)
 
 
 def pack_bodies(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:

@@ -238,7 +238,7 @@ walk AS (
            CASE WHEN r.rn <= 10 OR w.used + r.size <= {limit} THEN r.size
                 WHEN w.used + least(r.size, 1500) <= {limit} THEN least(r.size, 1500) END AS cost
     FROM walk w JOIN ranked r ON r.repo_id = w.repo_id AND r.rn = w.rn + 1) n),
-picked AS (SELECT repo_id, path, score, size, cost, cost < size AS summarized FROM walk WHERE cost IS NOT NULL)"""
+picked AS (SELECT repo_id, path, score, size, cost, cost < size AS summarized, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY rn) AS BIGINT) AS rank FROM walk WHERE cost IS NOT NULL)"""
 
 
 # ---------------------------------------------------------------- text functions ----
@@ -422,8 +422,7 @@ def packed(limit: int) -> tuple[str, ...]:
     """``final(repo_id, path, ..., rank, summarized)``: what goes into the documents."""
     return (
         *BASE, labels(), eligible(), size_budget(), scored("budgeted"), token_walk("scored", limit),
-        """final AS MATERIALIZED (SELECT s.*, k.summarized, row_number() OVER (PARTITION BY s.repo_id ORDER BY s.score DESC, s.path) AS rank
-  FROM scored s JOIN picked k USING (repo_id, path))""",
+        """final AS MATERIALIZED (SELECT s.*, k.summarized, k.rank FROM scored s JOIN picked k USING (repo_id, path))""",
     )
 
 

@@ -133,7 +133,7 @@ def exclude_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 over_flow("gitignore_join", lambda f, rules: gitignore.with_ignored(f.select(*KEY), rules))
 over_flow("survivor_content", lambda f, rules: flow.with_content(
-    budget.size_budget(flow.eligible(flow.labelled(f, AUTO, rules), AUTO), AUTO).select(*KEY), f))
+    budget.size_budget(flow.eligible(f, AUTO, rules), AUTO).select(*KEY, "size"), f).select(*KEY, "content"))
 
 # --------------------------------------------------------------- aggregations ----
 over_files("repo_totals", lambda f: aggregate.repo_totals(f))
@@ -145,11 +145,11 @@ over_files("directory_tree", aggregate.directory_tree)
 over_files("findings_by_file", lambda f: aggregate.findings_by_file(redact.findings_table(redact.redact(f))))
 over_files("findings_total", lambda f: aggregate.findings_total(redact.redact(f)))
 over_files("findings_report", lambda f: aggregate.findings_report(redact.findings_table(redact.redact(f))))
-over_labels("budget_warnings", lambda l, o: aggregate.budget_warnings(flow.eligible(l, o), o), TOKENS)
+over_labels("budget_warnings", lambda l, o: aggregate.budget_warnings(flow.eligible_of(l, o), o), TOKENS)
 
 
 def _skips(labels: DataFrame, opts: PackOptions) -> DataFrame:
-    return aggregate.skip_counts(labels, budget.size_budget(flow.eligible(labels, opts), opts), opts)
+    return aggregate.skip_counts(labels, budget.size_budget(flow.eligible_of(labels, opts), opts), opts)
 
 
 over_labels("skip_counts", _skips, SMALL_FILES)
@@ -183,11 +183,16 @@ for _name, _terms in SCORE_QUERIES.items():
 over_facts("score_files", lambda f: score.score_files(f, INFRA).select(*KEY, *score.terms(INFRA), "score"))
 
 # -------------------------------------------------------------------- budgets ----
-over_labels("size_budget", lambda l, o: budget.size_budget(flow.eligible(l, o), o).select(
+over_flow("size_budget", lambda f, rules: budget.size_budget(flow.eligible(f, AUTO, rules), AUTO).select(
     *KEY, "size", "chars", "is_main", "used_before"))
-over_facts("token_budget", lambda f: budget.token_budget(score.scored(f, TOKENS), TOKENS))
-over_facts("summarized_picks", lambda f: budget.token_budget(
-    score.scored(f, TOKENS), TOKENS).where("summarized").select(*KEY))
+
+
+def _walked(table: DataFrame) -> DataFrame:
+    return budget.token_budget(score.scored(table, TOKENS).select(*KEY, "score", "size"), TOKENS)
+
+
+over_facts("token_budget", lambda f: _walked(f))
+over_facts("summarized_picks", lambda f: _walked(f).where("summarized").select(*KEY))
 
 # -------------------------------------------------------------- text functions ----
 over_files("strip_comments_c", lambda f: f.where(
