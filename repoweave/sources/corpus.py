@@ -1,42 +1,112 @@
 """The file table: ``repo_id, path, size, mtime, content``, one row per file.
 
-``scan_tree`` reads directories of repositories, ``from_table`` normalises a
-table that already holds files.  A plan that does not use ``content`` does not
-read it: neither source touches the bytes for ``scan_stats``.
+``scan_tree`` lists directories of repositories and ``with_bytes`` reads the
+files that are still wanted; ``from_table`` takes a table that already holds
+files.  Spark's own file sources skip names that start with a dot, which here
+are files like any other (``.gitignore``, ``.env``), so the tree is listed and
+read in tasks through Arrow's file systems (local, HDFS, S3, GCS).
 """
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from repoweave.sources.scratch import written
 
 FILE_COLUMNS = ["repo_id", "path", "size", "mtime", "content"]
+READ_BATCH_BYTES = 32 * 1024 * 1024
 
 
-def scan_tree(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
-    """Every file below ``root``; the first directory level names the repository."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+def scan_tree(
+    spark: SparkSession, root: str, repo_id: str | None = None, modified_after: str | None = None
+) -> DataFrame:
+    """Every regular file below ``root`` with size and time; no content is read.
+
+    The first directory level names the repository, unless ``repo_id`` makes the
+    whole root one.  Directories are listed level by level, each level in
+    parallel; symbolic links are not followed.
+    """
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch["at"]:
+                found = store.get_file_info(fs.FileSelector(folder))
+                if isinstance(store, fs.LocalFileSystem):
+                    found = [f for f in found if not os.path.islink(f.path)]
+                yield pd.DataFrame({
+                    "at": [f.path for f in found],
+                    "is_directory": [f.type == fs.FileType.Directory for f in found],
+                    "size": [f.size or 0 for f in found],
+                    "micros": [(f.mtime_ns or 0) // 1000 for f in found],
+                })
+
+    base = _path_in_store(root)
+    level = spark.createDataFrame([(base,)], "at string")
+    files = []
+    while True:
+        spread_level = level.repartition(spark.sparkContext.defaultParallelism)
+        listed = written(
+            spread_level.mapInPandas(entries, "at string, is_directory boolean, size bigint, micros bigint"),
+            "listing",
+        )
+        files.append(listed.where(~F.col("is_directory")))
+        level = listed.where("is_directory").select("at")
+        if level.isEmpty():
+            break
+    relative = F.substring(F.col("at"), F.lit(len(base) + 2), F.length("at"))
+    owner = F.lit(repo_id) if repo_id else F.substring_index(relative, "/", 1)
+    path = relative if repo_id else F.substring(relative, F.length(owner) + 2, F.length(relative))
+    table = reduce(DataFrame.unionByName, files).select(
+        owner.alias("repo_id"), path.alias("path"), "size",
+        F.timestamp_micros("micros").alias("mtime"), F.lit(root).alias("root"), "at",
+    )
     if modified_after:
-        reader = reader.option("modifiedAfter", modified_after)
-    root = root.rstrip("/")
-    # Listed paths are URIs ("file:/a", "hdfs://host/a"): cut at the end of the root's own path.
-    plain_root = root.split("://", 1)[-1] if "://" in root else root.removeprefix("file:")
-    marker = plain_root + "/"
-    at = F.locate(marker, F.col("path"))
-    relative = F.substring(F.col("path"), at + len(marker), F.length("path"))
-    return reader.load(root).select(
-        F.substring_index(relative, "/", 1).alias("repo_id"),
-        F.substring(
-            relative, F.length(F.substring_index(relative, "/", 1)) + 2, F.length("path")
-        ).alias("path"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("mtime"),
-        F.col("content").alias("bytes"),
-    ).where(F.col("path") != "")
+        table = table.where(F.col("mtime") >= F.to_timestamp(F.lit(modified_after)))
+    return table.where(F.col("path") != "")
+
+
+def _path_in_store(root: str) -> str:
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root)[1].rstrip("/")
+
+
+def with_bytes(listing: DataFrame) -> DataFrame:
+    """``listing`` (of ``scan_tree``, filtered or not) with the ``bytes`` of each file."""
+    names = [c for c in listing.columns if c not in ("root", "at")]
+
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        stores: dict[str, object] = {}
+        for batch in batches:
+            start, held, texts = 0, 0, []
+            for i, (root, at) in enumerate(zip(batch["root"], batch["at"])):
+                if root not in stores:
+                    stores[root] = fs.FileSystem.from_uri(root)[0]
+                with stores[root].open_input_stream(at, compression=None) as stream:
+                    texts.append(stream.read())
+                held += len(texts[-1])
+                if held >= READ_BATCH_BYTES or i + 1 == len(batch):
+                    yield batch.iloc[start:i + 1][names].assign(bytes=texts)
+                    start, held, texts = i + 1, 0, []
+
+    schema = listing.select(*names).schema.add("bytes", T.BinaryType())
+    return listing.repartition("repo_id", "path").mapInPandas(contents, schema)
 
 
 def scan_stats(files: DataFrame) -> DataFrame:
-    """Path, size and time only; the content column is pruned from the scan."""
+    """Path, size and time only; a stored content column is pruned from the scan."""
     return files.select("repo_id", "path", "size", "mtime")
 
 
