@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from repoweave.functions import fixed
 from repoweave.functions.globs import glob_regex
-from repoweave.functions.text import Text, column, is_in, lookup, starts_with_any
+from repoweave.functions.text import Text, column, is_in, lookup, shared, starts_with_any
 
 
+@shared
 def basename(path: Text = "path") -> Column:
     return F.substring_index(column(path), "/", -1)
 
 
+@shared
 def dirname(path: Text = "path") -> Column:
     """Directory part; ``.`` for a file in the root."""
     path = column(path)
@@ -21,74 +23,84 @@ def dirname(path: Text = "path") -> Column:
     return F.when(cut > 0, F.substring(path, F.lit(1), cut)).otherwise(F.lit("."))
 
 
+@shared
 def extname(path: Text = "path") -> Column:
     """From the last dot of the base name, unless that dot opens it: ``.env`` has none."""
     return F.regexp_extract(basename(path), r"^[\s\S]+(\.[^.]*)\z", 1)
 
 
+@shared
 def lower_ext(path: Text = "path") -> Column:
     return F.lower(extname(path))
 
 
+@shared
 def directories(path: Text = "path") -> Column:
     """The directory names on the way to the file, root first."""
     parts = F.split(column(path), "/", -1)
     return F.slice(parts, F.lit(1), F.size(parts) - 1)
 
 
+@shared
 def token_estimate(units: Text) -> Column:
     """Units divided by four, rounded up."""
     return F.floor((column(units) + fixed.CHARS_PER_TOKEN - 1) / F.lit(fixed.CHARS_PER_TOKEN)).cast("bigint")
 
 
+@shared
 def human_size(size: Text = "size") -> Column:
     """Decimal units with at most two decimals and no trailing zeros: ``265.32 kB``."""
     n = column(size).cast("double")
     units = ["B", "kB", "MB", "GB", "TB", "PB"]
-    text = F.concat(column(size).cast("string"), F.lit(" B"))
-    for power in range(1, len(units)):
-        scale = 1000.0 ** power
-        hundredths = F.floor(n / F.lit(scale) * 100 + 0.5).cast("bigint")
-        # A value that rounds up to 1000 is shown as 1 of the next unit.
-        if power + 1 < len(units):
-            rolled = F.when(hundredths == 100000, F.lit(f"1 {units[power + 1]}"))
-        else:
-            rolled = F.when(F.lit(False), F.lit(""))
-        shown = rolled.otherwise(F.concat(_two_decimals(hundredths), F.lit(f" {units[power]}")))
-        text = F.when(n >= F.lit(scale), shown).otherwise(text)
-    return text
-
-
-def _two_decimals(hundredths: Column) -> Column:
-    rest = F.pmod(hundredths, F.lit(100))
-    whole = F.floor(hundredths / F.lit(100)).cast("bigint").cast("string")
-    digits = F.rtrim(F.lpad(rest.cast("string"), 2, "0"), F.lit("0"))
-    return F.when(rest == 0, whole).otherwise(F.concat(whole, F.lit("."), digits))
-
-
+    steps = [1000.0 ** power for power in range(1, len(units))]
+    power, scale = F.lit(len(steps)), F.lit(steps[-1])
+    for i in range(len(steps) - 1, 0, -1):
+        power = F.when(n < F.lit(steps[i]), F.lit(i)).otherwise(power)
+        scale = F.when(n < F.lit(steps[i]), F.lit(steps[i - 1])).otherwise(scale)
+    hundredths = F.floor(n / scale * F.lit(100) + F.lit(0.5))
+    # A value that rounds up to 1000 is shown as 1 of the next unit, if there is one.
+    rolls = (hundredths == 100_000) & (power < len(steps))
+    shown = F.when(rolls, F.lit(100)).otherwise(hundredths)
+    digits = F.concat(
+        F.floor(shown / F.lit(100)).cast("string"), F.lit("."),
+        F.lpad(F.pmod(shown, F.lit(100)).cast("string"), 2, "0"),
+    )
+    unit = F.elt(power + F.when(rolls, 2).otherwise(1), *[F.lit(u) for u in units])
+    number = F.rtrim(F.rtrim(digits, F.lit("0")), F.lit("."))
+    return F.when(n < 1000, F.concat(column(size).cast("string"), F.lit(" B"))).otherwise(
+        F.concat(number, F.lit(" "), unit)
+    )
+
+
+@shared
 def is_binary(path: Text = "path") -> Column:
     return is_in(lower_ext(path), fixed.BINARY_EXTENSIONS)
 
 
+@shared
 def is_high_priority(path: Text = "path") -> Column:
     return is_in(basename(path), fixed.HIGH_PRIORITY_NAMES)
 
 
+@shared
 def is_entry_point(path: Text = "path") -> Column:
     plain = [g for g in fixed.ENTRY_POINT_GLOBS if "*" not in g]
     wild = "|".join(glob_regex(g) for g in fixed.ENTRY_POINT_GLOBS if "*" in g)
     return is_in(path, plain) | column(path).rlike(wild)
 
 
+@shared
 def in_important_folder(path: Text = "path") -> Column:
     return starts_with_any(path, fixed.IMPORTANT_FOLDERS)
 
 
+@shared
 def is_include_name(path: Text = "path") -> Column:
     """Main configuration, information and entry files: the first tier of the size budget."""
     return is_in(basename(path), sorted(set(fixed.INCLUDE_NAMES)))
 
 
+@shared
 def is_render_skipped(path: Text = "path") -> Column:
     return is_in(lower_ext(path), fixed.RENDER_SKIP_EXTENSIONS + fixed.BINARY_EXTENSIONS)
 
@@ -105,10 +117,12 @@ def file_flags(path: Text = "path", size: Text = "size") -> dict[str, Column]:
     }
 
 
+@shared
 def language_id(path: Text = "path") -> Column:
     return lookup(lower_ext(path), fixed.LANGUAGE_IDS, "")
 
 
+@shared
 def type_group(path: Text = "path") -> Column:
     """First group that lists the extension; configuration also goes by the base name."""
     ext = lower_ext(path)
@@ -121,6 +135,7 @@ def type_group(path: Text = "path") -> Column:
     return chain.otherwise(F.lit(fixed.OTHER_GROUP))
 
 
+@shared
 def is_sensitive_path(path: Text = "path") -> Column:
     regex = "|".join(r.replace("$", r"\z") for r in fixed.SENSITIVE_PATH_REGEXES)
     return column(path).rlike(f"(?i){regex}")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from repoweave.functions import fixed
 from repoweave.functions.text import (
-    Text, any_of, column, contains_any, ends_with_any, is_in, let, lines_of, unicode_space,
+    Text, column, ends_with_any, is_in, let, lines_of, mentions_any, shared, unicode_space,
 )
 
 MARK = "\ufdd2"
@@ -39,7 +39,7 @@ class CredentialPattern(NamedTuple):
         )
 
 
-PATTERNS = [CredentialPattern(*p) for p in fixed.CREDENTIAL_PATTERNS]
+PATTERNS = tuple(CredentialPattern(*p) for p in fixed.CREDENTIAL_PATTERNS)
 
 # Necessary conditions for any pattern, the cheapest first; most files stop here.
 VALUE_REGEX = unicode_space(r"""[=:]\s*["']""")
@@ -59,7 +59,7 @@ def credential_type(match: Text) -> Column:
     text = F.lower(column(match))
     chain = F
     for parts, name in fixed.CREDENTIAL_TYPES:
-        chain = chain.when(contains_any(text, parts), F.lit(name))
+        chain = chain.when(mentions_any(text, parts), F.lit(name))
     return chain.otherwise(F.lit(fixed.OTHER_CREDENTIAL_TYPE))
 
 
@@ -181,9 +181,7 @@ def _env_line(line: Column, i: Column) -> Column:
     value = F.concat(F.regexp_extract(line, ENV_LINE, 2), F.regexp_extract(line, ENV_LINE, 3))
 
     def decide(x: Column) -> Column:
-        sensitive = any_of(
-            F.lower(x["name"]).contains(part) for part in fixed.ENV_SENSITIVE_PARTS
-        )
+        sensitive = mentions_any(F.lower(x["name"]), fixed.ENV_SENSITIVE_PARTS)
         hit = (
             sensitive
             & (x["value"] != "")
@@ -220,6 +218,7 @@ def _apply_env(state: Column) -> Column:
     )
 
 
+@shared
 def redact_env(content: Text = "content", path: Text = "path") -> Column:
     """The environment pass alone."""
     return let(
@@ -228,15 +227,16 @@ def redact_env(content: Text = "content", path: Text = "path") -> Column:
     )
 
 
-def redact_patterns(content: Text, patterns: list[CredentialPattern]) -> Column:
+def redact_patterns(content: Text, patterns: tuple[CredentialPattern, ...]) -> Column:
     """The given patterns alone, in order: ``struct<content, findings>``."""
     return F.aggregate(
         F.array(*[p.column() for p in patterns]), _start(column(content)), _apply_pattern
     )
 
 
+@shared
 def redact(
-    content: Text = "content", path: Text = "path", patterns: list[CredentialPattern] | None = None
+    content: Text = "content", path: Text = "path", patterns: tuple[CredentialPattern, ...] | None = None
 ) -> Column:
     """``struct<content, findings>`` after all patterns and the environment pass."""
     text = column(content)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from repoweave.functions import fixed
 from repoweave.functions.paths import basename, is_binary, lower_ext
 from repoweave.functions.text import (
-    LINE_START, Text, column, contains_any, ends_with_any, is_in, unicode_space,
+    LINE_START, Text, column, ends_with_any, is_in, mentions_any, shared, unicode_space,
 )
 
 CODE_CONTENT_REGEX = unicode_space(
@@ -25,7 +25,7 @@ def sample(content: Text = "content") -> Column:
 def code_like_name(path: Text = "path") -> Column:
     base = basename(path)
     return (
-        contains_any(base, fixed.CODE_NAME_PARTS)
+        mentions_any(base, fixed.CODE_NAME_PARTS)
         | ends_with_any(base, fixed.CODE_NAME_SUFFIXES)
         | is_in(base, fixed.CODE_NAMES)
     )
@@ -47,6 +47,7 @@ def mostly_printable(path: Text = "path", content: Text = "content") -> Column:
     )
 
 
+@shared
 def looks_like_code(path: Text = "path", content: Text = "content") -> Column:
     return (
         code_like_name(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from functools import lru_cache, reduce
+from functools import lru_cache, reduce, wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +34,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def shared(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Make an expression of plain arguments once per process; large ones take a while to make."""
+    made = lru_cache(maxsize=None)(build)
+
+    @wraps(build)
+    def get(*args, **named) -> Column:
+        plain = not any(isinstance(a, Column) for a in (*args, *named.values()))
+        return (made if plain else build)(*args, **named)
+
+    return get
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
@@ -53,15 +65,25 @@ def sum_of(terms: Iterable[Column]) -> Column:
 
 
 def contains_any(text: Text, parts: Iterable[str]) -> Column:
+    """For long texts: plain searches, which beat a regular expression there."""
     return any_of(column(text).contains(part) for part in parts)
 
 
+def _either(parts: Iterable[str]) -> str:
+    return "(?:" + "|".join(re.escape(p) for p in parts) + ")"
+
+
+def mentions_any(text: Text, parts: Iterable[str]) -> Column:
+    """For names: one expression, so the name is taken from the path only once."""
+    return column(text).rlike(_either(parts))
+
+
 def ends_with_any(text: Text, suffixes: Iterable[str]) -> Column:
-    return any_of(column(text).endswith(suffix) for suffix in suffixes)
+    return column(text).rlike(_either(suffixes) + r"\z")
 
 
 def starts_with_any(text: Text, prefixes: Iterable[str]) -> Column:
-    return any_of(column(text).startswith(prefix) for prefix in prefixes)
+    return column(text).rlike("^" + _either(prefixes))
 
 
 def count_of(text: Text, literal: str, rest: str = "") -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from repoweave.functions import fixed, paths
 from repoweave.operators import select
-from repoweave.operators.rank import largest_files
 from repoweave.plans.options import PackOptions
 
 
@@ -89,15 +88,21 @@ def budget_warnings(rows: DataFrame, opts: PackOptions = PackOptions()) -> DataF
 
 
 def dry_run_summary(kept: DataFrame) -> DataFrame:
-    """The largest files of each repository beside its totals; no content is read for it."""
-    totals = kept.groupBy("repo_id").agg(
-        F.count("*").alias("total_files"), F.sum("chars").alias("total_chars")
-    )
-    shown = largest_files(kept).select(
-        "repo_id", "rank", "path", "size", paths.human_size().alias("shown_size"),
-        paths.token_estimate("chars").alias("tokens"), "more_files",
-    )
-    return shown.join(totals, "repo_id").withColumn("total_tokens", paths.token_estimate("total_chars"))
+    """The largest kept files of each repository beside its totals; no content is read for it.
+
+    A budget has bounded the rows of a repository, so windows over it are safe.
+    """
+    whole = Window.partitionBy("repo_id")
+    by_size = whole.orderBy(F.col("size").desc(), F.col("path").asc())
+    return kept.select(
+        "repo_id", "path", "size", paths.human_size().alias("shown_size"),
+        paths.token_estimate("chars").alias("tokens"),
+        F.row_number().over(by_size).cast("bigint").alias("rank"),
+        F.count("*").over(whole).alias("total_files"), F.sum("chars").over(whole).alias("total_chars"),
+    ).where(F.col("rank") <= fixed.DISPLAY_FILES).withColumns({
+        "more_files": F.greatest(F.col("total_files") - fixed.DISPLAY_FILES, F.lit(0)).cast("bigint"),
+        "total_tokens": paths.token_estimate("total_chars"),
+    })
 
 
 def findings_by_file(findings: DataFrame) -> DataFrame:

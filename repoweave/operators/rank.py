@@ -18,15 +18,20 @@ def metadata_order() -> list[Column]:
     return [paths.is_include_name().desc(), F.col("size").asc(), F.col("path").asc()]
 
 
-def rank_within_repo(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+def rank_within_repo(
+    rows: DataFrame, order: list[Column], name: str = "rank", costly: bool = False
+) -> DataFrame:
     """``rows`` with their 1-based position in their repository.
 
     A window by repository would sort the largest repository in one task.  Here
     the rows are range-sorted on (repository, order), which splits a large
     repository over many slices, and written once so that slices and positions
     are fixed.  A small aggregate counts the rows of earlier slices, and the
-    position follows by arithmetic.
+    position follows by arithmetic.  A range sort computes its input twice, for the
+    sample and for the sort, so ``costly`` rows (from content) are written first.
     """
+    if costly:
+        rows = written(rows, "rows")
     position = F.monotonically_increasing_id()
     sorted_rows = rows.orderBy("repo_id", *order).withColumn("_at", position)
     placed = written(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +18,13 @@ def _with_state(files: DataFrame, state: Column) -> DataFrame:
     ).drop("_state").withColumn("found", F.size("findings") > 0)
 
 
-def redact(files: DataFrame, patterns: list[R.CredentialPattern] | None = None) -> DataFrame:
+def redact(files: DataFrame, patterns: Iterable[R.CredentialPattern] | None = None) -> DataFrame:
     """All patterns in order and the environment pass; works on streams as well."""
-    return _with_state(files, R.redact("content", "path", patterns))
+    return _with_state(files, R.redact("content", "path", None if patterns is None else tuple(patterns)))
 
 
 def redact_pattern(files: DataFrame, pattern: R.CredentialPattern) -> DataFrame:
-    return _with_state(files, R.redact_patterns("content", [pattern]))
+    return _with_state(files, R.redact_patterns("content", (pattern,)))
 
 
 def redact_env(files: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoweave.functions import comments, fixed, paths, summary
+from repoweave.functions.text import shared
 from repoweave.plans.options import PackOptions
 
 NOTICE = (
@@ -15,12 +16,16 @@ NOTICE = (
 FENCE = "```\n"
 
 
-def rendered(opts: PackOptions = PackOptions(), summarized: Column | None = None) -> Column:
-    """Body of a file: placeholder, summary, stripped text or the text itself."""
+@shared
+def rendered(opts: PackOptions = PackOptions(), summarized: str | None = None) -> Column:
+    """Body of a file: placeholder, summary, stripped text or the text itself.
+
+    ``summarized`` names a column that asks for a summary.
+    """
     content, ext = F.col("content"), paths.lower_ext()
     long = F.length(content) > opts.max_file_bytes
     if summarized is not None:
-        long = long | F.coalesce(summarized, F.lit(False))
+        long = long | F.coalesce(F.col(summarized), F.lit(False))
     chain = F.when(paths.is_render_skipped(), F.lit(fixed.RENDER_SKIP_TEXT)).when(
         long, summary.summarize_code(content, ext)
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoweave.functions import fixed, paths
-from repoweave.functions.text import contains_any, is_in, lookup
+from repoweave.functions.text import is_in, lookup, mentions_any, shared
 from repoweave.plans.options import PackOptions
 
 DAY_MICROS = 86_400_000_000
@@ -56,13 +56,13 @@ def infra_points(opts: PackOptions) -> Column:
 
 def penalties() -> dict[str, Column]:
     path, base = F.col("path"), paths.basename()
-    generated = contains_any(base, fixed.GENERATED_NAME_PARTS) | contains_any(
+    generated = mentions_any(base, fixed.GENERATED_NAME_PARTS) | mentions_any(
         path, fixed.GENERATED_PATH_PARTS
     )
-    tests = contains_any(base, fixed.TEST_NAME_PARTS) | contains_any(path, fixed.TEST_PATH_PARTS)
+    tests = mentions_any(base, fixed.TEST_NAME_PARTS) | mentions_any(path, fixed.TEST_PATH_PARTS)
     return {
         "generated_points": _points(generated, -80),
-        "minified_points": _points(contains_any(base, fixed.MINIFIED_NAME_PARTS), -100),
+        "minified_points": _points(mentions_any(base, fixed.MINIFIED_NAME_PARTS), -100),
         "test_points": _points(tests, -40),
     }
 
@@ -92,6 +92,11 @@ def score_files(facts: DataFrame, opts: PackOptions = PackOptions()) -> DataFram
     return facts.withColumns(parts).withColumn("score", reduce(add, [F.col(c) for c in parts]))
 
 
+@shared
+def total(opts: PackOptions = PackOptions()) -> Column:
+    return reduce(add, terms(opts).values())
+
+
 def scored(facts: DataFrame, opts: PackOptions = PackOptions()) -> DataFrame:
     """``facts`` with ``score`` only."""
-    return facts.withColumn("score", reduce(add, terms(opts).values()))
+    return facts.withColumn("score", total(opts))

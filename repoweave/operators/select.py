@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from repoweave.functions import fixed, paths
 from repoweave.functions.globs import any_glob_regex
-from repoweave.functions.text import contains_any, is_in
+from repoweave.functions.text import is_in, mentions_any, shared
 from repoweave.plans.options import PackOptions
 
 ACCEPTED = [
@@ -17,6 +17,7 @@ ACCEPTED = [
 
 
 # ------------------------------------------------------------- predicates ----
+@shared
 def in_ignored_directory(opts: PackOptions = PackOptions()) -> Column:
     names = F.array(*[F.lit(x) for x in fixed.IGNORE_DIR_NAMES])
     hit = F.arrays_overlap(paths.directories(), names) | is_in(paths.basename(), fixed.IGNORE_BASE_NAMES)
@@ -29,6 +30,7 @@ def _excludes(opts: PackOptions) -> list[str]:
     return list(fixed.EXCLUDE_FILES if opts.exclude is None else opts.exclude)
 
 
+@shared
 def is_excluded_exactly(opts: PackOptions = PackOptions()) -> Column:
     return is_in(paths.basename(), _excludes(opts))
 
@@ -38,6 +40,7 @@ def is_excluded_by_glob(opts: PackOptions = PackOptions()) -> Column:
     return paths.basename().rlike(any_glob_regex(globs)) if globs else F.lit(False)
 
 
+@shared
 def has_include_name(opts: PackOptions = PackOptions()) -> Column:
     names = fixed.INCLUDE_NAMES if opts.files is None else list(opts.files) + fixed.NO_EXTENSION_NAMES
     hit = is_in(paths.basename(), sorted(set(names)))
@@ -46,8 +49,9 @@ def has_include_name(opts: PackOptions = PackOptions()) -> Column:
     return hit
 
 
+@shared
 def has_special_name() -> Column:
-    return contains_any(paths.basename(), fixed.NO_EXTENSION_NAMES)
+    return mentions_any(paths.basename(), fixed.NO_EXTENSION_NAMES)
 
 
 def extensions_for(opts: PackOptions) -> list[str]:
@@ -58,6 +62,7 @@ def extensions_for(opts: PackOptions) -> list[str]:
     return list(dict.fromkeys(base))
 
 
+@shared
 def has_extension(opts: PackOptions = PackOptions()) -> Column:
     hit = is_in(paths.extname(), extensions_for(opts))
     if opts.needs_detection:
@@ -77,6 +82,7 @@ def fits_file_limit(opts: PackOptions = PackOptions()) -> Column:
 
 
 # --------------------------------------------------------------- decision ----
+@shared
 def first_reason(opts: PackOptions = PackOptions()) -> Column:
     """Label of the first rule that decides, ignore rules left aside.
 

@@ -115,7 +115,7 @@ def pack_bodies(files: DataFrame, opts: PackOptions, rules: DataFrame | None = N
     rows = with_content(kept(files, opts, rules), files)
     if opts.redact_credentials:
         rows = redact.redact(rows)
-    return rows.withColumn("body", render.rendered(opts, F.col("summarized")))
+    return rows.withColumn("body", render.rendered(opts, "summarized"))
 
 
 def pack(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
@@ -135,6 +135,17 @@ def dry_run(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: D
     return aggregate.dry_run_summary(kept(files, opts, rules))
 
 
+def skip_report(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
+    """What each stage dropped, per repository.
+
+    The narrow labels are written, as two plans need them and content should be read once.
+    """
+    labels = written(
+        labelled(files, opts, rules).select(*KEY, "size", "chars", "selected"), "labels"
+    )
+    return aggregate.skip_counts(labels, size_budget(eligible_of(labels, opts), opts), opts)
+
+
 def security_report(files: DataFrame, opts: PackOptions = PackOptions.preset(security="strict"), rules: DataFrame | None = None) -> DataFrame:
     """The findings in the files that would be packed."""
     rows = with_content(kept(files, opts, rules), files)

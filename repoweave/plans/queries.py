@@ -148,16 +148,12 @@ over_files("findings_report", lambda f: aggregate.findings_report(redact.finding
 over_labels("budget_warnings", lambda l, o: aggregate.budget_warnings(flow.eligible_of(l, o), o), TOKENS)
 
 
-def _skips(labels: DataFrame, opts: PackOptions) -> DataFrame:
-    return aggregate.skip_counts(labels, budget.size_budget(flow.eligible_of(labels, opts), opts), opts)
-
-
-over_labels("skip_counts", _skips, SMALL_FILES)
-over_labels("repo_stats", lambda l, o: aggregate.repo_stats(_skips(l, o)), SMALL_FILES)
+over_flow("skip_counts", lambda f, rules: flow.skip_report(f, SMALL_FILES, rules))
+over_flow("repo_stats", lambda f, rules: aggregate.repo_stats(flow.skip_report(f, SMALL_FILES, rules)))
 
 # ------------------------------------------------- ranks, limits, set operations ----
 over_facts("rank_by_score", lambda f: rank.rank_within_repo(
-    score.scored(f, AUTO).select(*KEY, "score"), rank.score_order()))
+    score.scored(f, AUTO).select(*KEY, "score"), rank.score_order(), costly=True))
 over_facts("critical_files", lambda f: rank.critical_files(score.scored(f, AUTO).select(*KEY, "score")))
 over_files("metadata_order", lambda f: rank.rank_within_repo(f.select(*KEY, "size"), rank.metadata_order()))
 over_files("cap_files", lambda f: rank.cap_files(f.select(*KEY, "size"), FILE_CAP))
