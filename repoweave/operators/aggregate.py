@@ -74,6 +74,8 @@ def repo_stats(skips: DataFrame) -> DataFrame:
         F.col("included_tokens").alias("total_tokens"),
         F.col("skipped_binary").alias("skipped_binary_files"),
         F.col("skipped_large").alias("skipped_large_files"),
+        # Invalid sequences are replaced when a file is read, so none is skipped for them.
+        F.lit(0).cast("bigint").alias("skipped_encoding_issues"),
     )
 
 

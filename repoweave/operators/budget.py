@@ -8,6 +8,8 @@ What is left per repository is bounded by the budget, not by the data.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,30 +94,33 @@ def token_budget(scored: DataFrame, opts: PackOptions = PackOptions(), bounded:
 
     The ten best are always kept.  Each further file is kept whole if it fits,
     else at the cost of a summary if summaries are on and that fits, else it is
-    skipped and the walk goes on.  The walk is sequential, so it runs per
-    repository in pandas, on candidates without content.  ``bounded`` tells that
-    a size budget has already bounded the rows of each repository.
+    skipped and the walk goes on.  Spark brings the candidates of a repository
+    together in order; the walk streams over them and holds only its counters.
+    ``bounded`` tells that a size budget has already bounded each repository.
     """
     limit, summarize = opts.token_limit_chars, opts.summarize_large_files
     always, summary_cost = fixed.ALWAYS_KEPT, fixed.SUMMARY_COST
-    columns = scored.columns
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values(["score", "path"], ascending=[False, True])
-        used, costs = 0, []
-        for size in ordered["size"]:
-            cost = size if len(costs) < always or used + size <= limit else None
-            if cost is None and summarize and used + min(size, summary_cost) <= limit:
-                cost = min(size, summary_cost)
-            used += cost or 0
-            costs.append(-1 if cost is None else cost)
-        ordered["cost"] = costs
-        kept = ordered[ordered["cost"] >= 0].copy()
-        kept["summarized"] = kept["cost"] < kept["size"]
-        kept["rank"] = range(1, len(kept) + 1)
-        return kept[[*columns, "cost", "summarized", "rank"]]
-
     schema = T.StructType(list(scored.schema.fields))
     schema = schema.add("cost", T.LongType()).add("summarized", T.BooleanType()).add("rank", T.LongType())
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        repo, used, seen, rank = None, 0, 0, 0
+        for batch in batches:
+            costs, ranks = [], []
+            for owner, size in zip(batch["repo_id"], batch["size"]):
+                if owner != repo:
+                    repo, used, seen, rank = owner, 0, 0, 0
+                cost = size if seen < always or used + size <= limit else None
+                if cost is None and summarize and used + min(size, summary_cost) <= limit:
+                    cost = min(size, summary_cost)
+                seen += 1
+                if cost is not None:
+                    used, rank = used + cost, rank + 1
+                costs.append(-1 if cost is None else cost)
+                ranks.append(rank)
+            decided = batch.assign(cost=costs, summarized=batch["size"] > costs, rank=ranks)
+            yield decided[decided["cost"] >= 0]
+
     candidates = scored if bounded else token_candidates(scored, opts)
-    return candidates.groupBy("repo_id").applyInPandas(walk, schema)
+    in_order = candidates.repartition("repo_id").sortWithinPartitions("repo_id", *score_order())
+    return in_order.mapInPandas(walk, schema)

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repoweave.functions import fixed, paths
-from repoweave.sources.scratch import written
+from repoweave.sources.scratch import broadcast_up_to, written
+
+# About 100 MB: a short string and four numbers each.
+BROADCAST_OFFSETS = 1_000_000
 
 
 def score_order() -> list[Column]:
@@ -37,18 +40,18 @@ def rank_within_repo(
     placed = written(
         sorted_rows.withColumn("_slice", F.shiftright("_at", 33)), name
     )
-    # One row per repository and slice: at most repositories + slices rows.
     slices = placed.groupBy("repo_id", "_slice").agg(
         F.count("*").alias("_n"), F.min("_at").alias("_first")
     )
     earlier = (
         Window.partitionBy("repo_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = slices.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    ranked = placed.join(offsets, ["repo_id", "_slice"]).withColumn(
-        name, (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("bigint")
-    )
-    return ranked.drop("_slice", "_at", "_first", "_before")
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    # One row per repository and slice it touches: at most repositories + slices rows.
+    offsets = written(slices.withColumn("_before", before).drop("_n"), "offsets")
+    position = (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("bigint")
+    ranked = placed.join(broadcast_up_to(offsets, BROADCAST_OFFSETS), ["repo_id", "_slice"])
+    return ranked.withColumn(name, position).drop("_slice", "_at", "_first", "_before")
 
 
 def top_in_repo(rows: DataFrame, order: list[Column], k: int, name: str = "rank") -> DataFrame:

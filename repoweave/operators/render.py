@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repoweave.functions import comments, fixed, paths, summary
@@ -70,19 +70,26 @@ def directory_heading(directory: Column) -> Column:
     )
 
 
+def _file_section() -> Column:
+    """Heading and fenced body of a packed file."""
+    return F.concat(
+        F.lit("### "), paths.basename(), F.lit(" ("), paths.human_size(), F.lit(")\n\n"),
+        fenced(F.col("body")),
+    )
+
+
+def _opening(opts: PackOptions) -> str:
+    return (NOTICE if opts.redact_credentials else "") + "# PROJECT FILES\n\n"
+
+
 def documents(kept: DataFrame, opts: PackOptions) -> DataFrame:
     """One document per repository from rows with ``rank``, ``size`` and the rendered ``body``.
 
     Only kept files come here, so what is gathered per repository is bounded by
     the budgets.
     """
-    block = F.concat(
-        F.lit("### "), paths.basename(), F.lit(" ("), paths.human_size(), F.lit(")\n\n"),
-        fenced(F.col("body")),
-    )
-    gathered = kept.select(
-        "repo_id", "size", F.struct(paths.dirname().alias("dir"), "rank", block.alias("block")).alias("f")
-    ).groupBy("repo_id").agg(
+    block = F.struct(paths.dirname().alias("dir"), "rank", _file_section().alias("block"))
+    gathered = kept.select("repo_id", "size", block.alias("f")).groupBy("repo_id").agg(
         F.sort_array(F.collect_list("f")).alias("blocks"),
         F.count("*").alias("files"), F.sum("size").alias("bytes"),
     )
@@ -92,11 +99,46 @@ def documents(kept: DataFrame, opts: PackOptions) -> DataFrame:
         opens = (i == 0) | (F.get(blocks, i - 1)["dir"] != f["dir"])
         return F.concat(F.when(opens, directory_heading(f["dir"])).otherwise(F.lit("")), f["block"])
 
-    notice = NOTICE if opts.redact_credentials else ""
     return gathered.select(
         "repo_id", "files", "bytes",
         F.concat(
-            header(opts), F.lit(notice + "# PROJECT FILES\n\n"),
+            header(opts), F.lit(_opening(opts)),
             F.array_join(F.transform(blocks, with_heading), ""), F.lit(footer(opts)),
         ).alias("document"),
     )
+
+
+def _part(part: int, key, pos, text: Column) -> list[Column]:
+    """Position and text of a row; the writer ends each text with the line break cut here."""
+    return [
+        F.col("repo_id"), F.lit(part).cast("bigint").alias("part"), key.alias("key"),
+        pos.cast("bigint").alias("pos"), F.regexp_replace(text, r"\n\z", "").alias("text"),
+    ]
+
+
+def document_parts(kept: DataFrame, opts: PackOptions) -> DataFrame:
+    """The same documents as rows in order (part, key, pos): 0 header, 2 opening, 3 files, 4 footer."""
+    empty, zero = F.lit(""), F.lit(0)
+    totals = kept.groupBy("repo_id").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    in_dir = Window.partitionBy("repo_id", "dir").orderBy("rank")
+    sections = kept.withColumn("dir", paths.dirname()).withColumn("n", F.row_number().over(in_dir))
+    heading = F.when(F.col("n") == 1, directory_heading(F.col("dir"))).otherwise(empty)
+    return (
+        totals.select(*_part(0, empty, zero, header(opts)))
+        .unionByName(totals.select(*_part(2, empty, zero, F.lit(_opening(opts)))))
+        .unionByName(sections.select(*_part(3, F.col("dir"), F.col("rank"), F.concat(heading, _file_section()))))
+        .unionByName(totals.select(*_part(4, empty, zero, F.lit(footer(opts)))))
+    )
+
+
+def tree_parts(tree: DataFrame, kept: DataFrame) -> DataFrame:
+    """Part 1: the directory tree in a fence, one row per line."""
+    repos = kept.select("repo_id").distinct()
+    title = F.concat(
+        F.lit("## PROJECT STRUCTURE\n" + FENCE + "Project Directory Structure:\n"), F.col("repo_id")
+    )
+    # Keys place the title before and the closing fence after all directory names.
+    opening = repos.select(*_part(1, F.lit(""), F.lit(-1), title))
+    lines = tree.select(*_part(1, F.concat(F.lit("/"), F.col("top")), F.col("pos"), F.col("line")))
+    closing = repos.select(*_part(1, F.lit(chr(0x10FFFF)), F.lit(0), F.lit(FENCE + "\n")))
+    return opening.unionByName(lines).unionByName(closing)

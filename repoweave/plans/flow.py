@@ -18,7 +18,7 @@ from repoweave.operators import aggregate, detect, gitignore, rank, redact, rend
 from repoweave.operators.budget import size_budget, token_budget
 from repoweave.operators.facts import facts
 from repoweave.plans.options import PackOptions
-from repoweave.sources.scratch import written
+from repoweave.sources.scratch import broadcast_up_to, written
 
 KEY = ["repo_id", "path"]
 # About 100 MB each: rows of two short strings and numbers, and rows of two numbers.
@@ -59,16 +59,35 @@ def eligible_of(labels: DataFrame, opts: PackOptions) -> DataFrame:
     return _fits(labels.where("selected"), opts)
 
 
-def eligible(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
-    """Accepted files that are not binary and fit the file limit.
+def accepted(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
+    """The facts of the accepted files.
 
     What a row decides by itself is filtered before the rules are joined, so
     rejected files are not shuffled.
     """
-    candidates = _fits(first_labels(files, opts), opts).where(select.is_accepted("first_reason"))
+    candidates = first_labels(files, opts).where(select.is_accepted("first_reason"))
     return _with_rules(candidates, files, opts, rules).where(select.is_accepted())
 
 
+def eligible(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
+    """Accepted files under the file cap that are not binary and fit the file limit.
+
+    The narrow rows are written, so content is read once.  The cap touches only
+    repositories with more files than it, at most all rows / cap of them; only
+    their rows are ranked.
+    """
+    rows = written(accepted(files, opts, rules), "accepted")
+    cap = opts.max_files
+    sizes = rows.groupBy("repo_id").agg(F.count("*").alias("n"))
+    over = written(sizes.where(F.col("n") > cap).select("repo_id"), "over_cap")
+    if over.isEmpty():
+        return _fits(rows, opts)
+    over = broadcast_up_to(over, BROADCAST_REPOS)
+    found = rank.priority_cap(rows.join(over, "repo_id", "left_semi"), cap).drop("rank", "is_priority")
+    chosen = rank.cap_files(_fits(found, opts), cap).drop("rank")
+    return _fits(rows.join(over, "repo_id", "left_anti"), opts).unionByName(chosen)
+
+
 def kept(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
     """The files that go into the documents: path, size, chars, rank, whether summarised.
 
@@ -123,6 +142,20 @@ def pack(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: Data
     return render.documents(pack_bodies(files, opts, rules), opts)
 
 
+def pack_parts(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
+    """The documents as text rows ``repo_id, part, key, pos, text``, with the tree if asked for.
+
+    A tree is not bounded by any budget, so these documents are never put
+    together in one place: written in order they are the document.
+    """
+    bodies = written(pack_bodies(files, opts, rules).select(*KEY, "size", "rank", "body"), "bodies")
+    parts = render.document_parts(bodies, opts)
+    if opts.tree:
+        shown = files.select(*KEY).join(bodies.select("repo_id").distinct(), "repo_id", "left_semi")
+        parts = parts.unionByName(render.tree_parts(aggregate.directory_tree(shown), bodies))
+    return parts
+
+
 def list_files(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
     """The files a document would hold, by directory; content is not read for it."""
     return kept(files, opts, rules).select(

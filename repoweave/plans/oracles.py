@@ -527,13 +527,13 @@ detected AS MATERIALIZED (SELECT repo_id,
     out["directory_levels"] = sql(
         """SELECT repo_id, dir, level, CAST(count(*) AS BIGINT) AS files FROM (
   SELECT repo_id, CAST(l AS BIGINT) AS level, array_to_string(list_slice(dirs, 1, l), '/') AS dir FROM p, range(1, 4) r(l) WHERE l <= len(dirs)) GROUP BY ALL""", *BASE)
-    out["directory_tree"] = sql(
-        """SELECT repo_id, top, CAST(0 AS BIGINT) AS pos, '  |- ' || top || '/' AS line FROM tops
-UNION ALL SELECT repo_id, top, pos, '  |   |- ' || sub || '/' FROM subs WHERE pos <= 5 AND NOT starts_with(sub, '.')
-UNION ALL SELECT repo_id, top, 6, '  |   |- ... ' || (count(*) - 5) || ' more directories' FROM subs GROUP BY repo_id, top HAVING count(*) > 5""",
-        *BASE,
+    tree = (
         "tops AS (SELECT DISTINCT repo_id, dirs[1] AS top FROM p WHERE len(dirs) > 0 AND NOT starts_with(dirs[1], '.'))",
-        "subs AS (SELECT *, row_number() OVER (PARTITION BY repo_id, top ORDER BY sub) AS pos FROM (SELECT DISTINCT repo_id, dirs[1] AS top, dirs[2] AS sub FROM p WHERE len(dirs) > 1 AND NOT starts_with(dirs[1], '.')))")
+        "subs AS (SELECT *, row_number() OVER (PARTITION BY repo_id, top ORDER BY sub) AS pos FROM (SELECT DISTINCT repo_id, dirs[1] AS top, dirs[2] AS sub FROM p WHERE len(dirs) > 1 AND NOT starts_with(dirs[1], '.')))",
+        """tree AS (SELECT repo_id, top, CAST(0 AS BIGINT) AS pos, '  |- ' || top || '/' AS line FROM tops
+UNION ALL SELECT repo_id, top, pos, '  |   |- ' || sub || '/' FROM subs WHERE pos <= 5 AND NOT starts_with(sub, '.')
+UNION ALL SELECT repo_id, top, 6, '  |   |- ... ' || (count(*) - 5) || ' more directories' FROM subs GROUP BY repo_id, top HAVING count(*) > 5)""")
+    out["directory_tree"] = sql("SELECT * FROM tree", *BASE, *tree)
     out["budget_warnings"] = sql(
         f"""SELECT repo_id, chars, {quarter('chars')} AS tokens, chars > 51200 AS over_size_limit, chars > 60000 AS over_token_limit
 FROM (SELECT repo_id, CAST(sum(chars) AS BIGINT) AS chars FROM elig GROUP BY repo_id)""", *BASE, labels(), eligible())
@@ -550,7 +550,7 @@ FROM (SELECT repo_id, CAST(sum(chars) AS BIGINT) AS chars FROM elig GROUP BY rep
     out["skip_counts"] = sql("SELECT * FROM skips", *skips)
     out["repo_stats"] = sql(
         """SELECT repo_id, selected AS total_files, included AS included_files, included_bytes AS total_size,
- included_tokens AS total_tokens, skipped_binary AS skipped_binary_files, skipped_large AS skipped_large_files FROM skips""", *skips)
+ included_tokens AS total_tokens, skipped_binary AS skipped_binary_files, skipped_large AS skipped_large_files, CAST(0 AS BIGINT) AS skipped_encoding_issues FROM skips""", *skips)
 
     def ranked(columns: str, order: str, where: str = "TRUE", source: str = "p") -> str:
         return (f"SELECT * FROM (SELECT repo_id, path, {columns}, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY {order}) AS BIGINT) AS rank"
@@ -642,9 +642,28 @@ WHERE rn2 <= 10""", *pack, recursive=True)
 pieces AS (SELECT repo_id, dir, rank, size, {heading} || '### ' || base || ' (' || {human('size')} || ')' || repeat({NL}, 2) || {fenced('body')} AS piece FROM bodies),
 docs AS (SELECT repo_id, CAST(count(*) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS bytes, string_agg(piece, '' ORDER BY dir, rank) AS pieces FROM pieces GROUP BY repo_id)"""
     notice = text("> ⚠️ **Security Notice**: Sensitive information and credentials have been automatically redacted")
+    start = f"""'# PROJECT CONTEXT' || repeat({NL}, 2) || 'This code was collected by the repoweave tool on 2024-03-01.' || {NL}
+  || 'Total files: ' || files || ', Size: ' || {human('bytes')} || ', Est. tokens: ~' || {quarter('bytes')}"""
+    metadata = f"""final AS MATERIALIZED (SELECT *, FALSE AS summarized, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY is_main DESC, size, path) AS BIGINT) AS rank FROM budgeted)"""
+    out["pack_parts"] = sql(
+        f"""SELECT repo_id, CAST(part AS BIGINT) AS part, key, CAST(pos AS BIGINT) AS pos, text FROM (
+  SELECT repo_id, 0 AS part, '' AS key, 0 AS pos, {start} || {NL} AS text FROM docs
+  UNION ALL SELECT repo_id, 1, '', -1, '## PROJECT STRUCTURE' || {NL} || {FENCE} || 'Project Directory Structure:' || {NL} || repo_id FROM docs
+  UNION ALL SELECT repo_id, 1, '/' || top, pos, line FROM tree
+  UNION ALL SELECT repo_id, 1, chr(1114111), 0, {FENCE} FROM docs
+  UNION ALL SELECT repo_id, 2, '', 0, {notice} || repeat({NL}, 2) || '# PROJECT FILES' || {NL} FROM docs
+  UNION ALL SELECT repo_id, 3, dir, rank, left(piece, length(piece) - 1) FROM pieces
+  UNION ALL SELECT repo_id, 4, '', 0, '---' || {NL} || 'Generated with repoweave.' FROM docs)""",
+        *BASE, labels(), eligible(), size_budget(), metadata, *tree,
+        redacted("final"), clean, summaries("clean"), stripped("clean"), pieces)
+    discovered = f"""discovered AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {priority} DESC, path) AS n,
+   count(*) OVER (PARTITION BY repo_id) AS accepted FROM labels WHERE selected) WHERE accepted <= 20 OR {priority} OR n <= 20),
+elig AS MATERIALIZED (SELECT * EXCLUDE (n, accepted) FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {main}) AS m
+   FROM discovered WHERE NOT {BINARY} AND size BETWEEN 1 AND {fixed.MAX_FILE_BYTES}) WHERE m <= 20)"""
+    out["list_files_capped"] = sql(
+        "SELECT repo_id, path, size, rank FROM final", *BASE, labels(), discovered, size_budget(), metadata)
     out["pack_document"] = sql(
-        f"""SELECT repo_id, files, bytes, '# PROJECT CONTEXT' || repeat({NL}, 2) || 'This code was collected by the repoweave tool on 2024-03-01.' || {NL}
-  || 'Total files: ' || files || ', Size: ' || {human('bytes')} || ', Est. tokens: ~' || {quarter('bytes')} || repeat({NL}, 2)
+        f"""SELECT repo_id, files, bytes, {start} || repeat({NL}, 2)
   || {notice} || repeat({NL}, 2) || '# PROJECT FILES' || repeat({NL}, 2) || pieces || '---' || {NL} || 'Generated with repoweave.' || {NL} AS document FROM docs""",
         *pack, redacted("final"), clean, summaries("clean"), stripped("clean"), pieces, recursive=True)
     return out

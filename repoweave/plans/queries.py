@@ -31,6 +31,8 @@ USER_LISTS = PackOptions(
 )
 USER_IGNORE = PackOptions(ignore=("notes/**", "**/k8s*/**"))
 FILE_CAP, PRIORITY_CAP = 30, 20
+CAPPED = PackOptions.preset("code", max_files=20, as_of=sample.AS_OF)
+TREE = PackOptions.preset("code", tree=True, as_of=sample.AS_OF)
 
 QUERIES: dict[str, Query] = {}
 
@@ -237,6 +239,8 @@ for _pattern in R.PATTERNS:
 
 # ------------------------------------------------------------------- documents ----
 over_flow("pack_document", lambda f, rules: flow.pack(f, AUTO, rules))
+over_flow("pack_parts", lambda f, rules: flow.pack_parts(f, TREE, rules))
+over_flow("list_files_capped", lambda f, rules: flow.kept(f, CAPPED, rules).select(*KEY, "size", "rank"))
 over_flow("list_files", lambda f, rules: flow.list_files(f, AUTO, rules))
 over_flow("dry_run_summary", lambda f, rules: flow.dry_run(f, AUTO, rules))
 over_files("file_block", lambda f: f.select(*KEY, render.file_block(AUTO).alias("block")))

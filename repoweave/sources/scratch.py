@@ -6,6 +6,7 @@ import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -25,3 +26,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_folder(spark).rstrip('/')}/{label}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_up_to(table: DataFrame, rows: int) -> DataFrame:
+    """A written ``table``, marked for broadcast if its counted rows stay in the bound."""
+    return F.broadcast(table) if table.count() <= rows else table

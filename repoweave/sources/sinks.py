@@ -18,6 +18,14 @@ def write_markdown(documents: DataFrame, path: str) -> None:
     ).partitionBy("repo_id").text(path)
 
 
+def write_parts(parts: DataFrame, path: str) -> None:
+    """Documents from their parts, one folder of text files per repository, to be read in name order."""
+    order = ["repo_id", "part", "key", "pos"]
+    parts.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "repo_id", F.col("text").alias("value")
+    ).write.mode("errorifexists").partitionBy("repo_id").text(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """Report lines sorted by repository, path and sequence across the written files."""
     report.orderBy("repo_id", "path", "seq").write.mode("errorifexists").json(path)

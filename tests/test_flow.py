@@ -76,14 +76,26 @@ def test_few_kept_files_are_broadcast_and_content_is_not_shuffled(files, tmp_pat
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
-def test_listing_moves_no_content(files, tmp_path):
+def nodes_of(df):
+    """All operators of the plan as first made."""
+    todo = [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.initialPlan()
+        yield node
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+
+
+def test_no_shuffle_or_sort_carries_content(files, tmp_path):
     files.write.parquet(str(tmp_path / "files"))
     table = files.sparkSession.read.parquet(str(tmp_path / "files"))
-    plan = plan_of(flow.kept(table, PackOptions.preset()))
-    below = [part.split("\n")[0:3] for part in plan.split("Exchange hashpartitioning")[1:]]
-    assert below and not any("content#" in line.split("[", 1)[-1].split("AS", 1)[0].split("Contains")[0].split("RLIKE")[0]
-                             and line.strip(" :+-").startswith("Exchange") for lines in below for line in lines)
-    assert plan.count("FlatMapGroupsInPandas") == 1 and plan.count("FileScan") == 2
+    opts = PackOptions.preset(extensions=(".py",))
+    for df in (flow.accepted(table, opts), flow.kept(table, opts), flow.labelled(table, opts).drop("content")):
+        moving = [n for n in nodes_of(df) if n.nodeName() in ("Exchange", "Sort", "Window", "MapInPandas")]
+        assert moving
+        assert not any("content" in n.output().mkString(",") for n in moving)
 
 
 def test_stats_read_no_content(files, tmp_path):
@@ -152,6 +164,33 @@ def test_sinks(spark, files, tmp_path):
     assert spark.read.json(str(tmp_path / "report")).count() == 1
 
 
+@pytest.mark.parametrize("mode", ["auto", "doc"])
+def test_parts_make_up_the_document(files, tmp_path, mode):
+    opts = PackOptions.preset(mode)
+    whole = {r.repo_id: r.document for r in flow.pack(files, opts).collect()}
+    sinks.write_parts(flow.pack_parts(files, opts), str(tmp_path / "parts"))
+    for repo, document in whole.items():
+        parts = sorted((tmp_path / "parts" / f"repo_id={repo}").glob("part-*"))
+        assert "".join(p.read_text() for p in parts) == document
+
+
+def test_parts_with_a_tree(files):
+    parts = flow.pack_parts(files, PackOptions(tree=True)).where("repo_id = 'r'").orderBy("part", "key", "pos").collect()
+    text = "".join(r.text + "\n" for r in parts)
+    assert (
+        "## PROJECT STRUCTURE\n```\nProject Directory Structure:\nr\n  |- drop/\n  |- src/\n```\n\n> " in text)
+
+
+def test_file_cap(spark):
+    rows = [("big", f"d{i:02}/f{i}.py", 100 - i, NOW, "x" * (100 - i)) for i in range(30)]
+    rows += [("big", "z/go.mod", 50, NOW, "x" * 50), ("big", "a.png", 5, NOW, "x" * 5), ("big", "src/b.png", 5, NOW, "x" * 5)]
+    rows += [("small", "a.py", 1, NOW, "x")]
+    kept = flow.eligible(spark.createDataFrame(rows, SCHEMA), PackOptions(max_files=4)).collect()
+    # The priority file, then the first three others by path.
+    assert {(r.repo_id, r.path) for r in kept} == {("small", "a.py"), ("big", "z/go.mod")} | {
+        ("big", f"d{i:02}/f{i}.py") for i in range(3)}
+
+
 def test_stream(spark, files, tmp_path):
     files.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(files.schema).parquet(str(tmp_path / "in"))
