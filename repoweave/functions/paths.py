@@ -50,16 +50,15 @@ def token_estimate(units: Text) -> Column:
 @shared
 def human_size(size: Text = "size") -> Column:
     """Decimal units with at most two decimals and no trailing zeros: ``265.32 kB``."""
-    n = column(size).cast("double")
     units = ["B", "kB", "MB", "GB", "TB", "PB"]
-    steps = [1000.0 ** power for power in range(1, len(units))]
-    power, scale = F.lit(len(steps)), F.lit(steps[-1])
-    for i in range(len(steps) - 1, 0, -1):
-        power = F.when(n < F.lit(steps[i]), F.lit(i)).otherwise(power)
-        scale = F.when(n < F.lit(steps[i]), F.lit(steps[i - 1])).otherwise(scale)
-    hundredths = F.floor(n / scale * F.lit(100) + F.lit(0.5))
+    scales = F.array(*[F.lit(1000.0 ** power) for power in range(len(units))])
+    whole = column(size).cast("string")
+    # Three digits to a unit; the number of digits is exact where a logarithm is not.
+    power = F.least(F.floor((F.length(whole) - 1) / F.lit(3)), F.lit(len(units) - 1)).cast("int")
+    scaled = column(size).cast("double") / F.get(scales, power)
+    hundredths = F.floor(scaled * F.lit(100) + F.lit(0.5))
     # A value that rounds up to 1000 is shown as 1 of the next unit, if there is one.
-    rolls = (hundredths == 100_000) & (power < len(steps))
+    rolls = (hundredths == 100_000) & (power < len(units) - 1)
     shown = F.when(rolls, F.lit(100)).otherwise(hundredths)
     digits = F.concat(
         F.floor(shown / F.lit(100)).cast("string"), F.lit("."),
@@ -67,7 +66,7 @@ def human_size(size: Text = "size") -> Column:
     )
     unit = F.elt(power + F.when(rolls, 2).otherwise(1), *[F.lit(u) for u in units])
     number = F.rtrim(F.rtrim(digits, F.lit("0")), F.lit("."))
-    return F.when(n < 1000, F.concat(column(size).cast("string"), F.lit(" B"))).otherwise(
+    return F.when(power == 0, F.concat(whole, F.lit(" B"))).otherwise(
         F.concat(number, F.lit(" "), unit)
     )
 

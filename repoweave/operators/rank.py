@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repoweave.functions import fixed, paths
-from repoweave.sources.scratch import broadcast_up_to, written
-
-# About 100 MB: a short string and four numbers each.
-BROADCAST_OFFSETS = 1_000_000
+from repoweave.sources.scratch import broadcast_if_small, written
 
 
 def score_order() -> list[Column]:
@@ -50,7 +47,7 @@ def rank_within_repo(
     # One row per repository and slice it touches: at most repositories + slices rows.
     offsets = written(slices.withColumn("_before", before).drop("_n"), "offsets")
     position = (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("bigint")
-    ranked = placed.join(broadcast_up_to(offsets, BROADCAST_OFFSETS), ["repo_id", "_slice"])
+    ranked = placed.join(broadcast_if_small(offsets), ["repo_id", "_slice"])
     return ranked.withColumn(name, position).drop("_slice", "_at", "_first", "_before")
 
 

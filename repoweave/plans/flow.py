@@ -18,12 +18,9 @@ from repoweave.operators import aggregate, detect, gitignore, rank, redact, rend
 from repoweave.operators.budget import size_budget, token_budget
 from repoweave.operators.facts import facts
 from repoweave.plans.options import PackOptions
-from repoweave.sources.scratch import broadcast_up_to, written
+from repoweave.sources.scratch import broadcast_if_small, fits_broadcast, written
 
 KEY = ["repo_id", "path"]
-# About 100 MB each: rows of two short strings and numbers, and rows of two numbers.
-BROADCAST_KEYS = 1_000_000
-BROADCAST_REPOS = 5_000_000
 
 
 def first_labels(files: DataFrame, opts: PackOptions) -> DataFrame:
@@ -79,10 +76,10 @@ def eligible(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None
     rows = written(accepted(files, opts, rules), "accepted")
     cap = opts.max_files
     sizes = rows.groupBy("repo_id").agg(F.count("*").alias("n"))
-    over = written(sizes.where(F.col("n") > cap).select("repo_id"), "over_cap")
+    over = sizes.where(F.col("n") > cap).select("repo_id")
     if over.isEmpty():
         return _fits(rows, opts)
-    over = broadcast_up_to(over, BROADCAST_REPOS)
+    over = broadcast_if_small(written(over, "over_cap"))
     found = rank.priority_cap(rows.join(over, "repo_id", "left_semi"), cap).drop("rank", "is_priority")
     chosen = rank.cap_files(_fits(found, opts), cap).drop("rank")
     return _fits(rows.join(over, "repo_id", "left_anti"), opts).unionByName(chosen)
@@ -108,20 +105,20 @@ def kept(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) ->
 def with_content(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Late materialisation: ``rows`` (with ``size``) joined to their text.
 
-    The rows are written once, so their number is known.  Few rows are broadcast
-    and the texts are filtered in their scan.  Many rows are joined by shuffle,
-    after a broadcast of the largest kept size per repository, one short row
-    each, has dropped most texts before they move; beyond that many
-    repositories the shuffle does without.
+    The rows are written once and measured.  A small table is broadcast and the
+    texts are filtered in their scan.  A large one is joined by shuffle, after a
+    broadcast of the largest kept size per repository, two numbers each, has
+    dropped most texts before they move; if even that is too large, the shuffle
+    does without.
     """
     keys = written(rows, "kept")
     texts = files.select(*KEY, "content")
-    if keys.count() <= BROADCAST_KEYS:
+    if fits_broadcast(keys):
         return texts.join(F.broadcast(keys), KEY)
     largest = written(
         keys.groupBy(F.xxhash64("repo_id").alias("_repo")).agg(F.max("size").alias("_largest")), "largest"
     )
-    if largest.count() <= BROADCAST_REPOS:
+    if fits_broadcast(largest):
         texts = files.select(*KEY, "size", "content").join(
             F.broadcast(largest),
             (F.xxhash64("repo_id") == F.col("_repo")) & (F.col("size") <= F.col("_largest")),

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
+from operator import add
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BROADCAST_BYTES = 128 * 1024 * 1024
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -28,6 +33,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_up_to(table: DataFrame, rows: int) -> DataFrame:
-    """A written ``table``, marked for broadcast if its counted rows stay in the bound."""
-    return F.broadcast(table) if table.count() <= rows else table
+def fits_broadcast(table: DataFrame) -> bool:
+    """Whether all values of a written table stay within ``BROADCAST_BYTES``; strings are measured."""
+    widths = [
+        F.octet_length(f.name) if isinstance(f.dataType, T.StringType) else F.lit(8) for f in table.schema
+    ]
+    total = table.agg(F.sum(reduce(add, widths))).first()[0]
+    return (total or 0) <= BROADCAST_BYTES
+
+
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is measured to be small enough."""
+    return F.broadcast(table) if fits_broadcast(table) else table

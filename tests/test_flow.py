@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from repoweave.operators import aggregate, rank, redact
 from repoweave.plans import flow
 from repoweave.plans.options import PackOptions
-from repoweave.sources import corpus, sinks
+from repoweave.sources import corpus, scratch, sinks
 from repoweave.streaming.redaction import redact_stream
 
 SCHEMA = "repo_id string, path string, size bigint, mtime timestamp, content string"
@@ -60,10 +60,10 @@ def test_modes(files):
     assert [r.path for r in code] == [".gitignore", "README.md", "src/b.ts", "src/a.ts"]   # main first, then by size
 
 
-@pytest.mark.parametrize("keys, repos", [(10**6, 10**6), (0, 10**6), (0, 0)])
-def test_content_join_is_the_same_each_way(files, monkeypatch, keys, repos):
-    monkeypatch.setattr(flow, "BROADCAST_KEYS", keys)
-    monkeypatch.setattr(flow, "BROADCAST_REPOS", repos)
+@pytest.mark.parametrize("verdicts", [[True], [False, True], [False, False]])
+def test_content_join_is_the_same_each_way(files, monkeypatch, verdicts):
+    answers = iter(verdicts)
+    monkeypatch.setattr(flow, "fits_broadcast", lambda table: next(answers))
     rows = flow.with_content(flow.kept(files, PackOptions()), files)
     assert {(r.repo_id, r.path, r.content) for r in rows.collect()} == {
         ("s", "main.py", "a=1\n"), *[("r", p, REPO[p]) for p in ("README.md", "src/a.ts", "src/b.ts", ".gitignore")]}
@@ -106,6 +106,14 @@ def test_stats_read_no_content(files, tmp_path):
         assert schemas and not any("content" in s for s in schemas)
 
 
+def test_broadcast_is_measured(spark, monkeypatch):
+    table = spark.createDataFrame([("ab", 1), ("cde", 2)], "s string, n bigint")
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", 21)
+    assert scratch.fits_broadcast(table) and scratch.fits_broadcast(table.limit(0))
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", 20)
+    assert not scratch.fits_broadcast(table)
+
+
 def test_top_k_is_cut_before_the_shuffle(files):
     assert "WindowGroupLimit" in plan_of(rank.largest_files(files))
     assert "WindowGroupLimit" in plan_of(aggregate.directory_tree(files))
