@@ -11,19 +11,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoweave.functions import fixed, paths, sniff
-from repoweave.functions.text import Text, contains_any, count_of, is_in, sum_of
+from repoweave.functions.text import Text, contains_any, count_of, is_in, shared, sum_of
 from repoweave.operators.select import extensions_for
 from repoweave.plans.options import PackOptions
 
 
+@shared
 def import_count(content: Text = "content") -> Column:
     return sum_of(count_of(content, *form) for form in fixed.IMPORT_FORMS)
 
 
+@shared
 def definition_count(content: Text = "content") -> Column:
     return sum_of(count_of(content, *form) for form in fixed.DEFINITION_FORMS)
 
 
+@shared
+def has_architecture(content: Text = "content") -> Column:
+    return contains_any(content, fixed.ARCHITECTURE_MARKERS)
+
+
+@shared
+def has_manifest(content: Text = "content") -> Column:
+    return contains_any(content, fixed.MANIFEST_MARKERS)
+
+
 def facts(files: DataFrame, opts: PackOptions = PackOptions()) -> DataFrame:
     """``repo_id, path, size, mtime`` and what the content tells."""
     content, ext = F.col("content"), paths.extname()
@@ -42,6 +54,6 @@ def facts(files: DataFrame, opts: PackOptions = PackOptions()) -> DataFrame:
         F.when(may_be_packer, packer).otherwise(False).alias("has_packer_markers"),
         import_count().alias("imports"),
         definition_count().alias("definitions"),
-        contains_any(content, fixed.ARCHITECTURE_MARKERS).alias("has_architecture"),
-        contains_any(content, fixed.MANIFEST_MARKERS).alias("has_manifest"),
+        has_architecture().alias("has_architecture"),
+        has_manifest().alias("has_manifest"),
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repoweave.functions.text import Text, column, let, lines_of
+from repoweave.functions.text import Text, column, let, lines_of, shared
 
 # Stand-ins for pieces that later steps must not touch (Unicode noncharacters).
 STAR, MARK, DEEP, TAIL, INNER = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4"
@@ -72,14 +72,18 @@ def _body(glob: Column) -> Column:
     return glob
 
 
+@shared
+def _rules_of(content: str) -> Column:
+    return F.filter(F.transform(lines_of(content), rule_of), lambda r: r.isNotNull())
+
+
 def rule_sets(files: DataFrame) -> DataFrame:
     """One row per repository with an ignore file: its rules in order, and a first test.
 
     ``first_test`` matches a path if any ignoring rule matches it or a directory
     above it; without re-inclusions that already decides.
     """
-    rules = F.filter(F.transform(lines_of("content"), rule_of), lambda r: r.isNotNull())
-    compiled = files.where(F.col("path") == ".gitignore").select("repo_id", rules.alias("rules"))
+    compiled = files.where(F.col("path") == ".gitignore").select("repo_id", _rules_of("content").alias("rules"))
     ignoring = F.transform(
         F.filter("rules", lambda r: ~r["negated"]),
         lambda r: F.concat(r["body"], F.when(r["directory"], F.lit("/")).otherwise(F.lit(r"(?:/|\z)"))),

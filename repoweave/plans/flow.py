@@ -148,8 +148,9 @@ def pack_parts(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules
     bodies = written(pack_bodies(files, opts, rules).select(*KEY, "size", "rank", "body"), "bodies")
     parts = render.document_parts(bodies, opts)
     if opts.tree:
-        shown = files.select(*KEY).join(bodies.select("repo_id").distinct(), "repo_id", "left_semi")
-        parts = parts.unionByName(render.tree_parts(aggregate.directory_tree(shown), bodies))
+        repos = bodies.select("repo_id").distinct()
+        tree = aggregate.directory_tree(files).join(repos, "repo_id", "left_semi")
+        parts = parts.unionByName(render.tree_parts(tree, bodies))
     return parts
 
 

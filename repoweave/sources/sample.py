@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repoweave.functions.text import shared
 from repoweave.sources.corpus import from_table, spread
 
 # (path, snippet): {i} is the document id, ~ is a line break.
@@ -45,6 +46,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@shared
 def _template(field: int) -> Column:
     texts = F.array(*[F.lit(t[field].replace("~", "\n")) for t in TEMPLATES])
     return F.get(texts, F.pmod(F.col("doc_id"), F.lit(len(TEMPLATES))).cast("int"))

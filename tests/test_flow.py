@@ -2,6 +2,7 @@
 
 import datetime
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,19 @@ def test_broadcast_is_measured(spark, monkeypatch):
     assert not scratch.fits_broadcast(table)
 
 
+def test_scratch_folder_is_the_one_the_session_names():
+    made = []
+
+    def fake(named, master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=context)
+
+    assert scratch.checkpoint_folder(fake("hdfs://x/y", "yarn")) == "hdfs://x/y" and not made
+    with pytest.raises(ValueError):
+        scratch.checkpoint_folder(fake(None, "yarn"))
+    assert scratch.checkpoint_folder(fake(None, "local[2]")) == made[0]
+
+
 def test_top_k_is_cut_before_the_shuffle(files):
     assert "WindowGroupLimit" in plan_of(rank.largest_files(files))
     assert "WindowGroupLimit" in plan_of(aggregate.directory_tree(files))
