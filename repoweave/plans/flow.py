@@ -1,11 +1,13 @@
-"""The whole job: select, budget, rank, read what is kept, clean it, pack it.
+"""The whole job: select, budget, rank, clean, pack.
 
-    files -> facts -> select -> size budget -> score -> token budget
-                                                            |
-    files ---------------- join on (repository, path) ------+-> redact -> render -> pack
+    files -> facts -> select -> size budget
+                                     |
+    files -- join on (repository, path) -> texts -> score -> token budget -> redact -> render -> pack
 
-Everything before the join works on narrow rows.  Content is read twice, once
-for the facts and once for the kept files, and only kept content leaves a scan.
+The first pass over all content takes only its length and, where names do not
+decide, a look at its opening.  Everything up to the join works on narrow rows.
+The second pass filters the texts of the files in budget out of the scan; what
+is costly per character runs on those alone.
 """
 
 from __future__ import annotations
@@ -73,7 +75,8 @@ def eligible(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None
     repositories with more files than it, at most all rows / cap of them; only
     their rows are ranked.
     """
-    rows = written(accepted(files, opts, rules), "accepted")
+    narrow = accepted(files, opts, rules).select(*KEY, "size", "mtime", "chars")
+    rows = written(narrow, "accepted")
     cap = opts.max_files
     sizes = rows.groupBy("repo_id").agg(F.count("*").alias("n"))
     over = sizes.where(F.col("n") > cap).select("repo_id")
@@ -85,23 +88,32 @@ def eligible(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None
     return _fits(rows.join(over, "repo_id", "left_anti"), opts).unionByName(chosen)
 
 
-def kept(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
-    """The files that go into the documents: path, size, chars, rank, whether summarised.
+def budgeted(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
+    """The files that fit the size budget; it bounds every repository from here on."""
+    return size_budget(eligible(files, opts, rules), opts).select(*KEY, "size", "mtime", "chars")
+
 
-    The size budget bounds each repository, and everything after it works within
-    the partitioning by repository that it leaves.
+def ranked(rows: DataFrame, opts: PackOptions) -> DataFrame:
+    """``rows`` of the budget in document order, the token budget applied if files are scored.
+
+    Scores look at ``content``; the result does not carry it.
     """
-    budgeted = size_budget(eligible(files, opts, rules), opts)
     if opts.smart:
-        scored = score.scored(budgeted, opts).select(*KEY, "size", "chars", "score")
+        scored = score.scored(facts(rows, opts), opts).select(*KEY, "size", "chars", "score")
         return token_budget(scored, opts, bounded=True).drop("score", "cost")
     order = Window.partitionBy("repo_id").orderBy(*rank.metadata_order())
-    return budgeted.select(
+    return rows.select(
         *KEY, "size", "chars", F.lit(False).alias("summarized"),
         F.row_number().over(order).cast("bigint").alias("rank"),
     )
 
 
+def kept(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
+    """The files that go into the documents: path, size, chars, rank, whether summarised."""
+    rows = budgeted(files, opts, rules)
+    return ranked(with_content(rows, files) if opts.smart else rows, opts)
+
+
 def with_content(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Late materialisation: ``rows`` (with ``size``) joined to their text.
 
@@ -126,9 +138,19 @@ def with_content(rows: DataFrame, files: DataFrame) -> DataFrame:
     return texts.join(keys, KEY)
 
 
+def kept_texts(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
+    """The kept files with their content."""
+    rows = budgeted(files, opts, rules)
+    if not opts.smart:
+        return with_content(ranked(rows, opts), files)
+    # Needed for the score and for the document, and bounded by the size budget.
+    texts = written(with_content(rows, files), "texts")
+    return ranked(texts, opts).join(texts.select(*KEY, "content"), KEY)
+
+
 def pack_bodies(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
     """The kept files with their cleaned ``body``; the long form of the documents."""
-    rows = with_content(kept(files, opts, rules), files)
+    rows = kept_texts(files, opts, rules)
     if opts.redact_credentials:
         rows = redact.redact(rows)
     return rows.withColumn("body", render.rendered(opts, "summarized"))
@@ -179,5 +201,5 @@ def skip_report(files: DataFrame, opts: PackOptions = PackOptions.preset(), rule
 
 def security_report(files: DataFrame, opts: PackOptions = PackOptions.preset(security="strict"), rules: DataFrame | None = None) -> DataFrame:
     """The findings in the files that would be packed."""
-    rows = with_content(kept(files, opts, rules), files)
+    rows = kept_texts(files, opts, rules)
     return aggregate.findings_report(redact.findings_table(redact.redact(rows)))

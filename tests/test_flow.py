@@ -93,7 +93,7 @@ def test_no_shuffle_or_sort_carries_content(files, tmp_path):
     files.write.parquet(str(tmp_path / "files"))
     table = files.sparkSession.read.parquet(str(tmp_path / "files"))
     opts = PackOptions.preset(extensions=(".py",))
-    for df in (flow.accepted(table, opts), flow.kept(table, opts), flow.labelled(table, opts).drop("content")):
+    for df in (flow.accepted(table, opts), flow.budgeted(table, opts), flow.kept(table, opts), flow.labelled(table, opts)):
         moving = [n for n in nodes_of(df) if n.nodeName() in ("Exchange", "Sort", "Window", "MapInPandas")]
         assert moving
         assert not any("content" in n.output().mkString(",") for n in moving)
