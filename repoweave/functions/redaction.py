@@ -20,7 +20,7 @@ from repoweave.functions.text import (
     Text, column, ends_with_any, is_in, let, lines_of, mentions_any, shared, unicode_space,
 )
 
-MARK = "\ufdd2"
+MARK, SPARE = "\ufdd2", "\ufdd3"
 FINDING = "struct<pattern:string,line:bigint,column:bigint,type:string,preview:string>"
 
 
@@ -130,7 +130,9 @@ def _positions(text: Column, pattern: Column) -> Column:
     The starts are marked in the text, the text is cut into lines, and only the
     lines that carry a mark are looked at, so the work stays linear in the text.
     """
-    marked = F.regexp_replace(text, pattern["regex"], F.lit(MARK + "$0"))
+    # A mark that the text already holds gives way to another character no pattern names.
+    unmarked = F.translate(text, MARK, SPARE)
+    marked = F.regexp_replace(unmarked, pattern["regex"], F.lit(MARK + "$0"))
 
     def in_line(line: Column, i: Column) -> Column:
         return let(

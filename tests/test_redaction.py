@@ -105,6 +105,12 @@ def test_environment_files(spark):
     assert run(spark, [text], redact.redact_env, "conf/env.txt")[0].content == text
 
 
+def test_texts_that_hold_the_mark(spark):
+    row = run(spark, ['\ufdd2 x \ufdd2 pwd="abcd1234"\n\ufdd2pwd="efgh5678"'], redact.redact)[0]
+    assert row.content == '\ufdd2 x \ufdd2 pwd="[REDACTED]"\n\ufdd2pwd="[REDACTED]"'
+    assert [(f.line, f.column) for f in row.findings] == [(1, 7), (2, 2)]
+
+
 def test_custom_patterns(spark):
     own = R.CredentialPattern("own", r"(id=)(\d{4})(;)", 2, 1)
     row = run(spark, ["id=1234; id=12;"], lambda f: redact.redact(f, [own]))[0]
