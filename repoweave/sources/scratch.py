@@ -34,9 +34,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def fits_broadcast(table: DataFrame) -> bool:
-    """Whether all values of a written table stay within ``BROADCAST_BYTES``; strings are measured."""
+    """Whether all values of a written table of plain columns stay within ``BROADCAST_BYTES``.
+
+    Strings and binary values are measured.
+    """
+    measured = (T.StringType, T.BinaryType)
     widths = [
-        F.octet_length(f.name) if isinstance(f.dataType, T.StringType) else F.lit(8) for f in table.schema
+        F.octet_length(f"`{f.name}`") if isinstance(f.dataType, measured) else F.lit(8) for f in table.schema
     ]
     total = table.agg(F.sum(reduce(add, widths))).first()[0]
     return (total or 0) <= BROADCAST_BYTES
