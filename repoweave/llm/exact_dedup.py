@@ -21,9 +21,12 @@ from repoweave.sources.scratch import broadcast_if_small
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Settings of the state store: all instances of an executor share this much memory.
+#: Settings of the state store: all instances of an executor share this much memory, none stays open
+#: after its task, and log files take no room in advance.
 _STATE = {
     _PROVIDER: _ROCKSDB,
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
@@ -112,13 +115,13 @@ def find_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = text_d
         empty = "_row long, doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string"
         return staged, spark.createDataFrame([], empty)
     groups = keyed_state(spark, path)
-    # Hits are compared with the text of the row that was kept for their digest.
-    several = groups.where("group_size > 1").select("digest", F.col("best._row").alias("keep_row"))
-    copies = staged.select("_row", "digest", F.col("_doc.text").alias("text")).join(several, "digest")
-    kept = copies.where("_row = keep_row").select("digest", normalised(F.col("text")).alias("kept_text"))
+    # Hits are compared with the text of the row that was kept for their digest; texts held once stay put.
+    several = stored(groups.where("group_size > 1").select("digest", F.col("best._row").alias("keep_row")), "dedup-hits")
+    copies = staged.select("_row", "digest", F.col("_doc.text").alias("text")).join(broadcast_if_small(several), "digest")
+    copies = copies.select("_row", "digest", "keep_row", normalised(F.col("text")).alias("same"))
+    kept = copies.where("_row = keep_row").select("digest", F.col("same").alias("kept_text"))
     unlike = stored(
-        copies.where("_row <> keep_row").join(kept, "digest")
-        .where(normalised(F.col("text")) != F.col("kept_text")).select("digest").distinct(),
+        copies.where("_row <> keep_row").join(kept, "digest").where("same <> kept_text").select("digest").distinct(),
         "dedup-unlike",
     )
     rows = staged.select("_row", "doc_id", "digest", "text_sha256")
