@@ -16,6 +16,10 @@ import numpy as np
 from repoweave.llm.common import ODD_BLANKS, quiet_tokenizers
 
 _PIECE = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+$")
+#: A blank and a word: such pieces can be joined as they are.
+_ONE_BLANK = re.compile(rb" [^\x20\x09-\x0D]+")
+#: Pieces that are encoded in one call.
+JOINED = 500
 #: Pieces a worker remembers, and bytes above which one is not remembered.
 CACHE_PIECES = 400_000
 CACHE_PIECE_BYTES = 48
@@ -30,29 +34,33 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content.encode() for t in added.values()]
+        #: Stands between pieces that are encoded in one call: its id shows where they part.
+        self.mark, self.mark_id = next(((t.content, i) for i, t in added.items()), (None, None))
+        #: Byte-level vocabularies show a piece's blank in its first token, which parts pieces without a mark.
+        self.blank = None
+        if self.tokenizer.normalizer is None and "ByteLevel" in type(self.tokenizer.pre_tokenizer).__name__:
+            self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.blank[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
         self.cache: dict[bytes, bytes] = {}
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         pieces = [None if self._whole(t) else _PIECE.findall(t) for t in texts]
-        get = self.cache.get
-        found = [None if p is None else [get(x) for x in p] for p in pieces]
-        new = {x for p, f in zip(pieces, found, strict=True) if p for x, y in zip(p, f, strict=True) if y is None}
-        fresh = dict(zip(new, self._ids(list(new)), strict=True)) if new else {}
-        out = []
-        for text, p, f in zip(texts, pieces, found, strict=True):
-            if p is None:
-                out.append(self._ids([text])[0])
-            else:
-                out.append(b"".join([fresh[x] if y is None else y for x, y in zip(p, f, strict=True)]))
-        room = CACHE_PIECES - len(self.cache)
-        for x, y in fresh.items():
-            if room <= 0:
-                break
-            if len(x) <= CACHE_PIECE_BYTES:
-                self.cache[x] = y
-                room -= 1
+        cache = self.cache
+        new = list(set().union(*[p for p in pieces if p]) - cache.keys())
+        held = len(cache)
+        cache.update(zip(new, self._ids(new), strict=True))
+        known = cache.__getitem__
+        out = [
+            self._encoded(t.decode()).tobytes() if p is None else b"".join(map(known, p))
+            for t, p in zip(texts, pieces, strict=True)
+        ]
+        room = CACHE_PIECES - held
+        for n, piece in enumerate(new):
+            if n >= room or len(piece) > CACHE_PIECE_BYTES:
+                del cache[piece]
         return out
 
     def _whole(self, text: bytes) -> bool:
@@ -63,8 +71,38 @@ class TextEncoder:
         )
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        encoded = self.encode_batch([p.decode() for p in pieces], add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
+        """Ids of each piece.  Many short pieces go to the library as one text, as each call costs more."""
+        out: list[bytes] = [b""] * len(pieces)
+        plain = [i for i, p in enumerate(pieces) if self.blank is not None and _ONE_BLANK.fullmatch(p)]
+        chosen = set(plain)
+        other = [i for i in range(len(pieces)) if i not in chosen]
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            ids = self._encoded(b"".join([pieces[i] for i in some]).decode())
+            begins = np.flatnonzero(self.blank[ids])
+            self._part(out, some, ids, begins, np.append(begins[1:], len(ids)))
+        step = JOINED if self.mark else 1
+        for at in range(0, len(other), step):
+            some = other[at : at + step]
+            if len(some) == 1 or any(m in pieces[i] for i in some for m in self.special):
+                for i in some:
+                    out[i] = self._encoded(pieces[i].decode()).tobytes()
+                continue
+            ids = self._encoded(self.mark.join([pieces[i].decode() for i in some]))
+            marks = np.flatnonzero(ids == self.mark_id)
+            self._part(out, some, ids, np.append(0, marks + 1), np.append(marks, len(ids)))
+        return out
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.encode_batch([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    @staticmethod
+    def _part(out: list[bytes], places: list[int], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        if len(begins) != len(places):
+            raise AssertionError("pieces cannot be told apart")
+        data, width = ids.tobytes(), ids.itemsize
+        for i, a, b in zip(places, (width * begins).tolist(), (width * ends).tolist(), strict=True):
+            out[i] = data[a:b]
 
 
 @lru_cache(maxsize=2)
