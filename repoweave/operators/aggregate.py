@@ -35,11 +35,13 @@ def by_type(rows: DataFrame) -> DataFrame:
     return rows.groupBy("repo_id", paths.type_group().alias("type_group")).agg(*_totals())
 
 
-def skip_counts(labelled: DataFrame, kept: DataFrame, opts: PackOptions = PackOptions()) -> DataFrame:
+def skip_counts(
+    labelled: DataFrame, kept: DataFrame, opts: PackOptions = PackOptions(), under_cap: DataFrame | None = None
+) -> DataFrame:
     """Per repository, how many accepted files each later stage dropped.
 
-    ``labelled`` comes from ``select.with_reason``, ``kept`` from the size budget.
-    Both are aggregated before they meet, so one row per repository is joined.
+    ``labelled`` comes from ``select.with_reason``, ``kept`` from the size budget, ``under_cap``
+    from the file cap, which drops none by default.  All are aggregated before they meet, so one row per repository is joined.
     """
     binary, size = paths.is_binary(), F.col("size")
     large = ~binary & (size > opts.max_file_bytes)
@@ -58,9 +60,15 @@ def skip_counts(labelled: DataFrame, kept: DataFrame, opts: PackOptions = PackOp
     )
     zero = F.lit(0).cast("bigint")
     filled = {c: F.coalesce(F.col(c), zero) for c in ("included", "included_bytes", "included_tokens")}
+    if under_cap is None:
+        counted = counted.withColumn("_left", F.col("_eligible"))
+    else:
+        left = under_cap.groupBy("repo_id").agg(F.count("*").alias("_left"))
+        counted = counted.join(left, "repo_id", "left").withColumn("_left", F.coalesce("_left", zero))
     return (
         counted.join(used, "repo_id", "left").withColumns(filled)
-        .withColumn("over_budget", F.col("_eligible") - F.col("included")).drop("_eligible")
+        .withColumn("over_cap", F.col("_eligible") - F.col("_left"))
+        .withColumn("over_budget", F.col("_left") - F.col("included")).drop("_eligible", "_left")
     )
 
 

@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from repoweave.functions.text import Text, column, let, lines_of, shared
 
-# Stand-ins for pieces that later steps must not touch (Unicode noncharacters).
-STAR, MARK, DEEP, TAIL, INNER = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4"
+#: Pieces of a glob in the order in which they are tried; every character is a piece in the end.
+PIECE = (
+    r"(?s)\A\*\*/|/\*\*\z|/(?:\*\*/)+|\*+|\?|\\.|\[[!^]?[^\]!^][^\]]*\]|."
+)
+#: Members of a class: a range, an escaped character, a character.
+MEMBER = r"(?s)(?:\\.|[^\\])-(?:\\.|[^\\])|\\.|."
 
 
 def ignore_rules(files: DataFrame) -> DataFrame:
@@ -29,7 +33,7 @@ def rule_of(line: Text) -> Column:
 
     def parsed(t: Column) -> Column:
         negated = t.startswith("!")
-        raw = F.when(negated, F.substring(t, 2, 1_000_000)).otherwise(t)
+        raw = F.when(negated, F.substring(t, F.lit(2), F.length(t))).otherwise(t)
         bare = F.regexp_replace(raw, r"/+\z", "")
         anchored = bare.contains("/")
         start = F.when(anchored, F.lit("^")).otherwise(F.lit("(?:^|/)"))
@@ -53,23 +57,44 @@ def _is_malformed(glob: Column) -> Column:
     return glob.rlike(r"(?<!\\)(?:\\\\)*\\\z") | backwards
 
 
+def _literal(text: Column) -> Column:
+    """Characters that stand for themselves, inside a class or outside."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}]", r"\\$0")
+
+
+def _members(token: Column) -> Column:
+    """A class put together again from its members; a range that runs backwards holds nothing."""
+    inside = F.regexp_extract(token, r"(?s)\A\[[!^]?(.*)\]\z", 1)
+
+    def member(m: Column) -> Column:
+        low, high = (F.regexp_extract(m, r"(?s)\A\\?(.)-\\?(.)\z", g) for g in (1, 2))
+        single = F.when((F.length(m) == 2) & m.startswith("\\"), F.substring(m, 2, 1)).otherwise(m)
+        return F.when(F.length(low) == 0, _literal(single)).when(
+            low <= high, F.concat(_literal(low), F.lit("-"), _literal(high))
+        ).otherwise(F.lit(""))
+
+    body = F.array_join(F.transform(F.regexp_extract_all(inside, F.lit(MEMBER), F.lit(0)), member), "")
+    start = F.when(token.rlike(r"\A\[[!^]"), F.lit("[^")).otherwise(F.lit("["))
+    return let(body, lambda b: F.when(b == "", F.lit("(?!)")).otherwise(F.concat(start, b, F.lit("]"))))
+
+
 def _body(glob: Column) -> Column:
-    """Regular expression for one glob, without its start and end."""
-    steps = [
-        (r"\\\*", STAR), (r"\\\?", MARK),                 # escaped wildcards are literal
-        (r"\\([A-Za-z0-9#! ])", "$1"),
-        (r"(?<!\\)(?:(?<!\[)\^|[.+${}()|])", r"\\$0"),  # literal in a glob, special in a regex
-        (r"(?<!\\)\[(?![!^]?[^\]!^][^\]]*\])", r"\\["),  # opens no class
-        (r"(?<=(?<!\\)\[[^\]]{0,99})\[", r"\\["), ("&&", r"&\\&"),
-        (r"(?<!\\)\[!", "[^"),
-        (r"\A\*\*/", DEEP), (r"/\*\*\z", TAIL), (r"/(?:\*\*/)+", INNER),
-        (r"\*+", "[^/]*"), (r"\?", "[^/]"),
-        (DEEP, "(?:.*/)?"), (TAIL, "/.+"), (INNER, "/(?:.*/)?"),
-        (STAR, r"\\*"), (MARK, r"\\?"),
-    ]
-    for regex, text in steps:
-        glob = F.regexp_replace(glob, regex, text)
-    return glob
+    """Regular expression for one glob, without its start and end.
+
+    Each piece becomes an expression that is valid by itself, so no rule text can make an invalid one.
+    """
+
+    def piece(t: Column) -> Column:
+        return (
+            F.when(t == "**/", F.lit("(?:.*/)?")).when(t == "/**", F.lit("/.+"))
+            .when((F.length(t) > 1) & t.startswith("/"), F.lit("/(?:.*/)?"))
+            .when(t.startswith("*"), F.lit("[^/]*")).when(t == "?", F.lit("[^/]"))
+            .when((F.length(t) == 2) & t.startswith("\\"), _literal(F.substring(t, 2, 1)))
+            .when((F.length(t) > 2) & t.startswith("["), _members(t))
+            .otherwise(_literal(t))
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(glob, F.lit(PIECE), F.lit(0)), piece), "")
 
 
 @shared
@@ -118,7 +143,7 @@ def ignored_by(rules: Column, path: Column) -> Column:
     )
 
     def ignored(step: Column) -> Column:
-        hits = F.filter(rules, lambda r: F.rlike(step, r["regex"]))
+        hits = F.filter(rules, lambda r: F.regexp_instr(step, r["regex"]) > 0)
         return let(hits, lambda h: (F.size(h) > 0) & ~F.coalesce(F.get(h, F.size(h) - 1)["negated"], F.lit(True)))
 
     return F.exists(steps, ignored)
@@ -129,6 +154,6 @@ def with_ignored(files: DataFrame, sets: DataFrame) -> DataFrame:
     joined = files.join(sets, "repo_id", "left")
     path = F.col("path")
     verdict = F.when(F.col("first_test").isNull(), F.lit(False)).when(
-        ~F.rlike(path, F.col("first_test")), F.lit(False)
+        F.regexp_instr(path, F.col("first_test")) == 0, F.lit(False)
     ).when(~F.col("has_negation"), F.lit(True)).otherwise(ignored_by(F.col("rules"), path))
     return joined.withColumn("is_gitignored", verdict).drop("first_test", "has_negation", "rules")

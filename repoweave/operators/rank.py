@@ -77,11 +77,7 @@ def priority_cap(rows: DataFrame, cap: int) -> DataFrame:
 
 def priority_union_rest(rows: DataFrame) -> DataFrame:
     """Priority files, then the files that are not among them; ``is_priority`` tells which."""
-    priority = rows.where(paths.is_high_priority() | paths.is_entry_point())
-    rest = rows.join(priority.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
-    return priority.withColumn("is_priority", F.lit(True)).unionByName(
-        rest.withColumn("is_priority", F.lit(False))
-    )
+    return rows.withColumn("is_priority", paths.is_high_priority() | paths.is_entry_point())
 
 
 def critical_files(scored: DataFrame) -> DataFrame:

@@ -76,7 +76,11 @@ def eligible(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None
     their rows are ranked.
     """
     narrow = accepted(files, opts, rules).select(*KEY, "size", "mtime", "chars")
-    rows = written(narrow, "accepted")
+    return capped(written(narrow, "accepted"), opts)
+
+
+def capped(rows: DataFrame, opts: PackOptions) -> DataFrame:
+    """Written rows of accepted files that stay under the file cap and fit the file limit."""
     cap = opts.max_files
     sizes = rows.groupBy("repo_id").agg(F.count("*").alias("n"))
     over = sizes.where(F.col("n") > cap).select("repo_id")
@@ -191,12 +195,14 @@ def dry_run(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: D
 def skip_report(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
     """What each stage dropped, per repository.
 
-    The narrow labels are written, as two plans need them and content should be read once.
+    The narrow labels are written, as several plans need them and content should be read once.  The
+    file cap drops the same files as in a document.
     """
     labels = written(
-        labelled(files, opts, rules).select(*KEY, "size", "chars", "selected"), "labels"
+        labelled(files, opts, rules).select(*KEY, "size", "mtime", "chars", "selected"), "labels"
     )
-    return aggregate.skip_counts(labels, size_budget(eligible_of(labels, opts), opts), opts)
+    under_cap = capped(labels.where("selected").drop("selected"), opts)
+    return aggregate.skip_counts(labels, size_budget(under_cap, opts), opts, under_cap)
 
 
 def security_report(files: DataFrame, opts: PackOptions = PackOptions.preset(security="strict"), rules: DataFrame | None = None) -> DataFrame:

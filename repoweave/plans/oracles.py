@@ -547,7 +547,7 @@ FROM (SELECT repo_id, CAST(sum(chars) AS BIGINT) AS chars FROM elig GROUP BY rep
    CAST(coalesce(sum({quarter('chars')}) FILTER (WHERE k), 0) AS BIGINT) AS included_tokens,
    CAST(count(*) FILTER (WHERE NOT {BINARY} AND size BETWEEN 1 AND 4000 AND NOT k) AS BIGINT) AS over_budget
    FROM (SELECT *, (repo_id, path) IN (SELECT (repo_id, path) FROM budgeted) AS k FROM labels WHERE selected) l GROUP BY l.repo_id)""")
-    out["skip_counts"] = sql("SELECT * FROM skips", *skips)
+    out["skip_counts"] = sql("SELECT *, CAST(0 AS BIGINT) AS over_cap FROM skips", *skips)
     out["repo_stats"] = sql(
         """SELECT repo_id, selected AS total_files, included AS included_files, included_bytes AS total_size,
  included_tokens AS total_tokens, skipped_binary AS skipped_binary_files, skipped_large AS skipped_large_files, CAST(0 AS BIGINT) AS skipped_encoding_issues FROM skips""", *skips)

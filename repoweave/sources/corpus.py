@@ -40,9 +40,14 @@ def scan_tree(
         store, _ = fs.FileSystem.from_uri(root)
         for batch in batches:
             for folder in batch["at"]:
-                found = store.get_file_info(fs.FileSelector(folder))
+                try:
+                    found = store.get_file_info(fs.FileSelector(folder))
+                except OSError:  # gone meanwhile, or not ours to read
+                    found = []
                 if isinstance(store, fs.LocalFileSystem):
                     found = [f for f in found if not os.path.islink(f.path)]
+                # Pipes, sockets and devices would block a reader.
+                found = [f for f in found if f.type in (fs.FileType.File, fs.FileType.Directory)]
                 yield pd.DataFrame({
                     "at": [f.path for f in found],
                     "is_directory": [f.type == fs.FileType.Directory for f in found],
@@ -81,8 +86,12 @@ def _path_in_store(root: str) -> str:
     return fs.FileSystem.from_uri(root)[1].rstrip("/")
 
 
-def with_bytes(listing: DataFrame) -> DataFrame:
-    """``listing`` (of ``scan_tree``, filtered or not) with the ``bytes`` of each file."""
+def with_bytes(listing: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """``listing`` (of ``scan_tree``, filtered or not) with the ``bytes`` of each file.
+
+    A file that is gone, cannot be read or is larger than ``max_bytes`` has null bytes, and
+    ``read_error`` says why; the others go on.
+    """
     names = [c for c in listing.columns if c not in ("root", "at")]
 
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,18 +99,27 @@ def with_bytes(listing: DataFrame) -> DataFrame:
 
         stores: dict[str, object] = {}
         for batch in batches:
-            start, held, texts = 0, 0, []
+            start, held, texts, errors = 0, 0, [], []
             for i, (root, at) in enumerate(zip(batch["root"], batch["at"])):
                 if root not in stores:
                     stores[root] = fs.FileSystem.from_uri(root)[0]
-                with stores[root].open_input_stream(at, compression=None) as stream:
-                    texts.append(stream.read())
-                held += len(texts[-1])
+                data, error = None, None
+                if max_bytes is not None and batch["size"].iloc[i] > max_bytes:
+                    error = "too large"
+                else:
+                    try:
+                        with stores[root].open_input_stream(at, compression=None) as stream:
+                            data = stream.read()
+                    except OSError as reason:
+                        error = str(reason) or type(reason).__name__
+                texts.append(data)
+                errors.append(error)
+                held += len(data or b"")
                 if held >= READ_BATCH_BYTES or i + 1 == len(batch):
-                    yield batch.iloc[start:i + 1][names].assign(bytes=texts)
-                    start, held, texts = i + 1, 0, []
+                    yield batch.iloc[start:i + 1][names].assign(bytes=texts, read_error=errors)
+                    start, held, texts, errors = i + 1, 0, [], []
 
-    schema = listing.select(*names).schema.add("bytes", T.BinaryType())
+    schema = listing.select(*names).schema.add("bytes", T.BinaryType()).add("read_error", T.StringType())
     return listing.repartition("repo_id", "path").mapInPandas(contents, schema)
 
 
@@ -111,8 +129,13 @@ def scan_stats(files: DataFrame) -> DataFrame:
 
 
 def read_text(files: DataFrame) -> DataFrame:
-    """Bytes as UTF-8 text; invalid sequences become U+FFFD and are flagged."""
+    """Bytes as UTF-8 text; invalid sequences become U+FFFD and are flagged.
+
+    Files that could not be read are left out.
+    """
     raw = F.col("bytes").cast("string") if "bytes" in files.columns else F.col("content")
+    if "read_error" in files.columns:
+        files = files.where("read_error is null")
     return files.select(
         "repo_id", "path", "size", "mtime",
         F.make_valid_utf8(raw).alias("content"), F.is_valid_utf8(raw).alias("is_valid_utf8"),
