@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from repoweave.llm.common import ODD_BLANKS, quiet_tokenizers
+from repoweave.llm.common import ODD_BLANKS, lower_ascii, quiet_tokenizers, words_of
 
 _PIECE = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+$")
 #: A blank and a word: such pieces can be joined as they are.
@@ -43,11 +43,15 @@ class TextEncoder:
         if self.tokenizer.normalizer is None and "ByteLevel" in type(self.tokenizer.pre_tokenizer).__name__:
             self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.blank[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
+        #: Whether blanks only part words and ASCII case does not matter, as for vocabularies of lower-case
+        #: words; then pieces are words in lower case, which are fewer.
+        self.words_only = self._ask(" \n") == [] and self._ask("\nAn  Oak.") == self._ask("an") + self._ask("oak.")
         self.cache: dict[bytes, bytes] = {}
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [None if self._whole(t) else _PIECE.findall(t) for t in texts]
+        cut = self._words if self.words_only else _PIECE.findall
+        pieces = [None if self._whole(t) else cut(t) for t in texts]
         cache = self.cache
         new = list(set().union(*[p for p in pieces if p]) - cache.keys())
         held = len(cache)
@@ -63,6 +67,13 @@ class TextEncoder:
                 del cache[piece]
         return out
 
+    @staticmethod
+    def _words(text: bytes) -> list[bytes]:
+        return words_of(lower_ascii(text))
+
+    def _ask(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _whole(self, text: bytes) -> bool:
         if any(s in text for s in self.special):
             return True
