@@ -337,6 +337,10 @@ CREDENTIAL_PATTERNS = [
     ),
 ]
 REDACTED = "[REDACTED]"
+REPORT_TITLE = "Redacted Credentials Summary:"
+REPORT_RULE = "---------------------------"
+REPORT_TOTAL = "Total credentials redacted: "
+LISTING_TITLE = "## FILES INCLUDED"
 FALSE_POSITIVE_WORDS = [
     "true", "false", "null", "undefined", "Object", "Array", "String", "Number", "Boolean",
     "Function", "Math", "Date", "RegExp", "match", "matches", "pattern", "index", "object",

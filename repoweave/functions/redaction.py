@@ -201,11 +201,19 @@ def is_env_file(path: Text = "path") -> Column:
     return column(path).contains(fixed.ENV_FILE_PART) | ends_with_any(path, fixed.ENV_FILE_SUFFIXES)
 
 
-ENV_LINE = r"^([A-Za-z0-9_]+)=(?:['\"]([^\r]*)['\"]|([^\r]*))(\r?)\z"
+LINE_ENDS = r"\n\r\x{2028}\x{2029}"
+ENV_LINE = rf"^([A-Za-z0-9_]+)=(?:['\"]([^{LINE_ENDS}]*)['\"]|([^{LINE_ENDS}]*))[{LINE_ENDS}]?\z"
 
 
-def _env_line(line: Column, i: Column) -> Column:
-    """One line of an environment file: its new text and, where redacted, its finding."""
+def _env_line(line: Column, i: Column, lines: Column) -> Column:
+    """One line of an environment file with its end: its new text and, where redacted, its finding.
+
+    Any of four characters ends a line.  A finding counts lines by line feeds alone, and columns from
+    the last of them, as the other patterns do.
+    """
+    before = F.array_join(F.slice(lines, F.lit(1), i), "")
+    feeds = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+    in_line = F.length(F.substring_index(before, "\n", -1))
     name = F.regexp_extract(line, ENV_LINE, 1)
     value = F.concat(F.regexp_extract(line, ENV_LINE, 2), F.regexp_extract(line, ENV_LINE, 3))
 
@@ -219,12 +227,12 @@ def _env_line(line: Column, i: Column) -> Column:
         )
         finding = F.struct(
             F.lit("env").alias("pattern"),
-            (i + 1).cast("bigint").alias("line"),
-            (F.length(x["name"]) + 1).cast("bigint").alias("column"),
+            (feeds + 1).cast("bigint").alias("line"),
+            (in_line + F.length(x["name"]) + 1).cast("bigint").alias("column"),
             F.lit(fixed.ENV_TYPE).alias("type"),
             preview(x["value"]).alias("preview"),
         )
-        redacted = F.concat(x["name"], F.lit("=" + fixed.REDACTED), F.regexp_extract(line, r"(\r?)\z", 1))
+        redacted = F.concat(x["name"], F.lit("=" + fixed.REDACTED), F.regexp_extract(line, rf"([{LINE_ENDS}]?)\z", 1))
         return F.struct(
             F.when(hit, redacted).otherwise(line).alias("text"),
             F.when(hit, finding).alias("finding"),
@@ -235,10 +243,11 @@ def _env_line(line: Column, i: Column) -> Column:
 
 def _apply_env(state: Column) -> Column:
     """Redact the ``NAME=value`` lines with a sensitive name."""
+    parts = F.split(state["content"], rf"(?<=[{LINE_ENDS}])", -1)
     return let(
-        F.transform(lines_of(state["content"]), _env_line),
+        let(parts, lambda lines: F.transform(lines, lambda line, i: _env_line(line, i, lines))),
         lambda lines: F.struct(
-            F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("content"),
+            F.array_join(F.transform(lines, lambda x: x["text"]), "").alias("content"),
             F.concat(
                 state["findings"],
                 F.filter(F.transform(lines, lambda x: x["finding"]), lambda f: f.isNotNull()),

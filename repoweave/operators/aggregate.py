@@ -137,6 +137,30 @@ def findings_report(findings: DataFrame) -> DataFrame:
     )
 
 
+def report_lines(findings: DataFrame) -> DataFrame:
+    """The whole credential report per repository, to be read by ``part, path, seq``.
+
+    Part 0 is the title, part 1 each file's heading (``seq`` 0) and findings, part 2 the total.
+    ``findings`` is read three times; write it first if it is costly.
+    """
+    def lines(table: DataFrame, part: int, path, seq, entry) -> DataFrame:
+        return table.select(
+            "repo_id", F.lit(part).cast("bigint").alias("part"), path.alias("path"),
+            seq.cast("bigint").alias("seq"), entry.alias("entry"),
+        )
+
+    totals = findings.groupBy("repo_id").agg(F.count("*").alias("n"))
+    files = findings.select("repo_id", "path").distinct()
+    none, zero = F.lit(""), F.lit(0)
+    total = F.concat(F.lit("\n" + fixed.REPORT_TOTAL), F.col("n").cast("string"), F.lit("\n" + fixed.REPORT_RULE))
+    return (
+        lines(totals, 0, none, zero, F.lit(fixed.REPORT_TITLE + "\n" + fixed.REPORT_RULE))
+        .unionByName(lines(files, 1, F.col("path"), zero, F.concat(F.lit("\nFile: "), "path")))
+        .unionByName(lines(findings_report(findings), 1, F.col("path"), F.col("seq"), F.col("entry")))
+        .unionByName(lines(totals, 2, none, zero, total))
+    )
+
+
 def directory_levels(rows: DataFrame, depth: int = fixed.TREE_DEPTH) -> DataFrame:
     """Directories down to ``depth`` with the files at or below them."""
     names = paths.directories()

@@ -108,6 +108,31 @@ def documents(kept: DataFrame, opts: PackOptions) -> DataFrame:
     )
 
 
+def listings(kept: DataFrame, opts: PackOptions) -> DataFrame:
+    """One listing per repository: the header and the names and sizes of the kept files by directory.
+
+    Needs ``rank`` and ``size`` of files that a budget has bounded; no content.
+    """
+    line = F.concat(F.lit("- "), paths.basename(), F.lit(" ("), paths.human_size(), F.lit(")\n"))
+    by_dir = kept.select("repo_id", paths.dirname().alias("dir"), "size", F.struct("rank", line.alias("line")).alias("f"))
+    blocks = by_dir.groupBy("repo_id", "dir").agg(
+        F.sort_array(F.collect_list("f")).alias("fs"), F.count("*").alias("n"), F.sum("size").alias("s")
+    )
+    block = F.concat(
+        F.lit("### "), "dir", F.lit("/\n"), F.array_join(F.transform("fs", lambda f: f["line"]), ""), F.lit("\n")
+    )
+    gathered = blocks.groupBy("repo_id").agg(
+        F.sort_array(F.collect_list(F.struct("dir", block.alias("block")))).alias("blocks"),
+        F.sum("n").alias("files"), F.sum("s").alias("bytes"),
+    )
+    opening = (NOTICE if opts.redact_credentials else "") + fixed.LISTING_TITLE + "\n\n"
+    body = F.array_join(F.transform("blocks", lambda b: b["block"]), "")
+    return gathered.select(
+        "repo_id", "files", "bytes",
+        F.concat(header(opts), F.lit(opening), body, F.lit(footer(opts))).alias("document"),
+    )
+
+
 def _part(part: int, key, pos, text: Column) -> list[Column]:
     """Position and text of a row; the writer ends each text with the line break cut here."""
     return [

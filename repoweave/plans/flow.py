@@ -188,6 +188,18 @@ def list_files(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules
     )
 
 
+def listing_documents(
+    files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None
+) -> DataFrame:
+    """One document per repository that lists the kept files without their contents."""
+    return render.listings(kept(files, opts, rules), opts)
+
+
+def warnings(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
+    """Whether what the size budget left of a repository still exceeds its limits."""
+    return aggregate.budget_warnings(budgeted(files, opts, rules), opts)
+
+
 def dry_run(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
     return aggregate.dry_run_summary(kept(files, opts, rules))
 
@@ -209,3 +221,9 @@ def security_report(files: DataFrame, opts: PackOptions = PackOptions.preset(sec
     """The findings in the files that would be packed."""
     rows = kept_texts(files, opts, rules)
     return aggregate.findings_report(redact.findings_table(redact.redact(rows)))
+
+
+def report_lines(files: DataFrame, opts: PackOptions = PackOptions.preset(security="strict"), rules: DataFrame | None = None) -> DataFrame:
+    """The security report with its title, file headings and totals."""
+    findings = redact.findings_table(redact.redact(kept_texts(files, opts, rules)))
+    return aggregate.report_lines(written(findings, "findings"))

@@ -78,7 +78,7 @@ files AS MATERIALIZED (
          CAST(strlen(concat(replace(t.snippet, '~', {NL}), {NL}, d.text)) AS BIGINT) AS size,
          TIMESTAMP '2024-01-01 00:00:00' + (d.doc_id % 60) * INTERVAL '1' DAY AS mtime,
          concat(replace(t.snippet, '~', {NL}), {NL}, d.text) AS content
-  FROM documents d JOIN tmpl t ON d.doc_id % 23 = t.k)"""
+  FROM documents d JOIN tmpl t ON d.doc_id % {len(TEMPLATES)} = t.k)"""
 )
 PARTS = f"""parts AS (
   SELECT *, string_split(path, '/')[-1] AS base,
@@ -384,18 +384,25 @@ def redact_start(source: str) -> str:
 
 def env_step(source: str, target: str) -> str:
     env_file = f"(contains(path, '.env') OR {any_ends('path', fixed.ENV_FILE_SUFFIXES)})"
-    value = "CASE WHEN regexp_matches(l, '^[A-Za-z0-9_]+=[''\"][^\\r]*[''\"]\\r?\\z') THEN regexp_extract(l, '^[A-Za-z0-9_]+=[''\"]([^\\r]*)[''\"]\\r?\\z', 1) ELSE regexp_extract(l, '^[A-Za-z0-9_]+=([^\\r]*)\\r?\\z', 1) END"
+    value = (
+        "CASE WHEN regexp_matches(l, '(?s)^[A-Za-z0-9_]+=[''\"].*[''\"]\\z') THEN regexp_extract(l, '(?s)^[A-Za-z0-9_]+=[''\"](.*)[''\"]\\z', 1)"
+        " ELSE regexp_extract(l, '(?s)^[A-Za-z0-9_]+=(.*)\\z', 1) END"
+    )
+    ends = r"'[\n\r\x{2028}\x{2029}]'"
+    before = "array_to_string(list_transform(range(1, h.x.i), lambda j: cells[j] || seps[j]), '')"
     name = "regexp_extract(l, '^([A-Za-z0-9_]+)=', 1)"
     hit = (
         f"({any_contains('lower(x.name)', fixed.ENV_SENSITIVE_PARTS)} AND x.value <> '' AND NOT {false_positive('x.value')}"
         " AND NOT contains(x.value, 'REDACTED'))"
     )
-    return f"""{target}_l AS (SELECT *, list_transform(string_split(content, {NL}), lambda l, i: {{'l': l, 'i': i, 'name': {name}, 'value': {value}}}) AS ls FROM {source}),
+    return f"""{target}_c AS (SELECT *, string_split_regex(content, {ends}) AS cells, list_append(regexp_extract_all(content, {ends}), '') AS seps FROM {source}),
+{target}_l AS (SELECT *, list_transform(cells, lambda l, i: {{'l': l, 'i': i, 'name': {name}, 'value': {value}}}) AS ls FROM {target}_c),
 {target}_h AS (SELECT *, list_transform(ls, lambda x: {{'x': x, 'hit': {hit}}}) AS hs FROM {target}_l),
 {target} AS MATERIALIZED (SELECT repo_id, path,
-   CASE WHEN {env_file} THEN array_to_string(list_transform(hs, lambda h: CASE WHEN h.hit THEN h.x.name || '=[REDACTED]' || CASE WHEN ends_with(h.x.l, chr(13)) THEN chr(13) ELSE '' END ELSE h.x.l END), {NL}) ELSE content END AS content,
+   CASE WHEN {env_file} THEN array_to_string(list_transform(hs, lambda h: CASE WHEN h.hit THEN h.x.name || '=[REDACTED]' ELSE h.x.l END || seps[h.x.i]), '') ELSE content END AS content,
    CASE WHEN {env_file} THEN list_concat(found, list_transform(list_filter(hs, lambda h: h.hit), lambda h: {{
-      'pattern': 'env', 'line': CAST(h.x.i AS BIGINT), 'column': CAST(length(h.x.name) + 1 AS BIGINT),
+      'pattern': 'env', 'line': CAST(len(string_split({before}, {NL})) AS BIGINT),
+      'column': CAST(length(string_split({before}, {NL})[-1]) + length(h.x.name) + 1 AS BIGINT),
       'type': 'Environment Variable', 'preview': left(h.x.value, 3) || '...'}})) ELSE found END AS found FROM {target}_h)"""
 
 
@@ -443,6 +450,8 @@ def build() -> dict[str, str]:
     out["scan_files"] = simple(f"size, {time}, chars")
     out["scan_stats"] = simple(f"size, {time}")
     out["read_text"] = simple("content, TRUE AS is_valid_utf8")
+    out["read_text_invalid"] = simple(
+        "CASE WHEN size % 7 = 0 THEN content || chr(65533) ELSE content END AS content, size % 7 <> 0 AS is_valid_utf8")
     out["ignore_rules"] = """SELECT repo_id, CAST(seq AS BIGINT) AS seq, pattern FROM (SELECT DISTINCT source AS repo_id FROM documents),
  (VALUES (1, 'private*/'), (2, '*.log'), (3, '!keep.log')) AS r(seq, pattern)"""
     out["path_parts"] = simple("base, dir, ext, lext AS lower_ext")
@@ -514,6 +523,12 @@ detected AS MATERIALIZED (SELECT repo_id,
         labels(ext_ok="user_ext", include="user_name").replace("FROM p)", "FROM p2)"))
     out["exclude_anti_join"] = kept(f"NOT {EXCLUDED_EXACT}")
     out["gitignore_join"] = simple(f"{GITIGNORED} AS is_gitignored")
+    digit = "CAST(unicode(right(repo_id, 1)) % 10 AS VARCHAR)"
+    out["gitignore_varied"] = simple(f"""(
+  len(list_filter(dirs, lambda d, i: length(d) > 1 AND left(right(d, 2), 1) = {digit} AND NOT (i = 2 AND dirs[1] = 'cmd'))) > 0
+  OR (NOT regexp_matches(base, '^[m-zM-Z]') AND ends_with(base, '.ts') AND left(right(base, 5), 1) = {digit} AND dir <> 'cmd')
+  OR (starts_with(path, 'src/') AND ends_with(base, '.java') AND left(right(base, 7), 1) = {digit})
+  OR (regexp_matches(base, '^[k-nK-N]') AND ends_with(base, '.py') AND left(right(base, 5), 1) = {digit})) AS is_gitignored""")
     budget = (*BASE, labels(), eligible(), size_budget())
     out["survivor_content"] = sql("SELECT repo_id, path, content FROM budgeted", *budget)
     out["size_budget"] = sql("SELECT repo_id, path, size, chars, is_main, used_before FROM budgeted", *budget)
@@ -537,20 +552,26 @@ UNION ALL SELECT repo_id, top, 6, '  |   |- ... ' || (count(*) - 5) || ' more di
     out["budget_warnings"] = sql(
         f"""SELECT repo_id, chars, {quarter('chars')} AS tokens, chars > 51200 AS over_size_limit, chars > 60000 AS over_token_limit
 FROM (SELECT repo_id, CAST(sum(chars) AS BIGINT) AS chars FROM elig GROUP BY repo_id)""", *BASE, labels(), eligible())
-    skips = (*BASE, labels(), eligible(4000), size_budget(), f"""skips AS (SELECT l.repo_id, CAST(count(*) AS BIGINT) AS selected,
+    def skips_of(limit: int) -> str:
+        return f"""skips AS (SELECT l.repo_id, CAST(count(*) AS BIGINT) AS selected,
    CAST(count(*) FILTER (WHERE {BINARY}) AS BIGINT) AS skipped_binary,
-   CAST(count(*) FILTER (WHERE NOT {BINARY} AND size > 4000) AS BIGINT) AS skipped_large,
-   CAST(coalesce(sum(size) FILTER (WHERE NOT {BINARY} AND size > 4000), 0) AS BIGINT) AS skipped_large_bytes,
+   CAST(count(*) FILTER (WHERE NOT {BINARY} AND size > {limit}) AS BIGINT) AS skipped_large,
+   CAST(coalesce(sum(size) FILTER (WHERE NOT {BINARY} AND size > {limit}), 0) AS BIGINT) AS skipped_large_bytes,
    CAST(count(*) FILTER (WHERE NOT {BINARY} AND size = 0) AS BIGINT) AS skipped_empty,
    CAST(count(*) FILTER (WHERE k) AS BIGINT) AS included,
    CAST(coalesce(sum(size) FILTER (WHERE k), 0) AS BIGINT) AS included_bytes,
    CAST(coalesce(sum({quarter('chars')}) FILTER (WHERE k), 0) AS BIGINT) AS included_tokens,
-   CAST(count(*) FILTER (WHERE NOT {BINARY} AND size BETWEEN 1 AND 4000 AND NOT k) AS BIGINT) AS over_budget
-   FROM (SELECT *, (repo_id, path) IN (SELECT (repo_id, path) FROM budgeted) AS k FROM labels WHERE selected) l GROUP BY l.repo_id)""")
-    out["skip_counts"] = sql("SELECT *, CAST(0 AS BIGINT) AS over_cap FROM skips", *skips)
-    out["repo_stats"] = sql(
+   CAST(count(*) FILTER (WHERE NOT {BINARY} AND size BETWEEN 1 AND {limit} AND NOT e) AS BIGINT) AS over_cap,
+   CAST(count(*) FILTER (WHERE e AND NOT k) AS BIGINT) AS over_budget
+   FROM (SELECT *, (repo_id, path) IN (SELECT (repo_id, path) FROM budgeted) AS k,
+     (repo_id, path) IN (SELECT (repo_id, path) FROM elig) AS e FROM labels WHERE selected) l GROUP BY l.repo_id)"""
+
+    skips = (*BASE, labels(), eligible(4000), size_budget(), skips_of(4000))
+    out["skip_counts"] = sql("SELECT * FROM skips", *skips)
+    stats = (
         """SELECT repo_id, selected AS total_files, included AS included_files, included_bytes AS total_size,
- included_tokens AS total_tokens, skipped_binary AS skipped_binary_files, skipped_large AS skipped_large_files, CAST(0 AS BIGINT) AS skipped_encoding_issues FROM skips""", *skips)
+ included_tokens AS total_tokens, skipped_binary AS skipped_binary_files, skipped_large AS skipped_large_files, CAST(0 AS BIGINT) AS skipped_encoding_issues FROM skips""")
+    out["repo_stats"] = sql(stats, *skips)
 
     def ranked(columns: str, order: str, where: str = "TRUE", source: str = "p") -> str:
         return (f"SELECT * FROM (SELECT repo_id, path, {columns}, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY {order}) AS BIGINT) AS rank"
@@ -613,6 +634,16 @@ FROM (SELECT p.*, {block} AS body FROM p {rendered_from})""", *BASE, summaries()
     out["findings_report"] = sql(
         "SELECT repo_id, path, seq, '  - ' || \"type\" || ' at line ' || line || ':' || \"column\" || ': ' || preview AS entry FROM findings",
         *red, FINDINGS)
+    out["security_report"] = sql(
+        f"""SELECT repo_id, CAST(part AS BIGINT) AS part, path, CAST(seq AS BIGINT) AS seq, entry FROM (
+  SELECT DISTINCT repo_id, 0 AS part, '' AS path, 0 AS seq, '{fixed.REPORT_TITLE}' || {NL} || '{fixed.REPORT_RULE}' AS entry FROM findings
+  UNION ALL SELECT DISTINCT repo_id, 1, path, 0, {NL} || 'File: ' || path FROM findings
+  UNION ALL SELECT repo_id, 1, path, seq, '  - ' || "type" || ' at line ' || line || ':' || "column" || ': ' || preview FROM findings
+  UNION ALL SELECT repo_id, 2, '', 0, {NL} || '{fixed.REPORT_TOTAL}' || count(*) || {NL} || '{fixed.REPORT_RULE}' FROM findings GROUP BY repo_id)""",
+        *red, FINDINGS)
+    out["redact_env_cr"] = sql(
+        "SELECT * FROM findings", FILES, f"cr AS (SELECT repo_id, path, replace(content, {NL}, chr(13)) AS content FROM files)",
+        redact_start("cr"), env_step("r0", "redacted"), FINDINGS)
     out["credential_type"] = sql(
         f"SELECT repo_id, path, pattern, CAST(n AS BIGINT) AS n, match, {cred_type('match')} AS type FROM raw", FILES, RAW_MATCHES)
     out["credential_false_positive"] = sql(
@@ -660,12 +691,28 @@ docs AS (SELECT repo_id, CAST(count(*) AS BIGINT) AS files, CAST(sum(size) AS BI
    count(*) OVER (PARTITION BY repo_id) AS accepted FROM labels WHERE selected) WHERE accepted <= 20 OR {priority} OR n <= 20),
 elig AS MATERIALIZED (SELECT * EXCLUDE (n, accepted) FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {main}) AS m
    FROM discovered WHERE NOT {BINARY} AND size BETWEEN 1 AND {fixed.MAX_FILE_BYTES}) WHERE m <= 20)"""
+    capped = (*BASE, labels(), discovered, size_budget(), skips_of(fixed.MAX_FILE_BYTES))
+    out["skip_counts_capped"] = sql("SELECT * FROM skips", *capped)
+    out["repo_stats_capped"] = sql(stats, *capped)
     out["list_files_capped"] = sql(
         "SELECT repo_id, path, size, rank FROM final", *BASE, labels(), discovered, size_budget(), metadata)
-    out["pack_document"] = sql(
+    document = (
         f"""SELECT repo_id, files, bytes, {start} || repeat({NL}, 2)
-  || {notice} || repeat({NL}, 2) || '# PROJECT FILES' || repeat({NL}, 2) || pieces || '---' || {NL} || 'Generated with repoweave.' || {NL} AS document FROM docs""",
-        *pack, redacted("final"), clean, summaries("clean"), stripped("clean"), pieces, recursive=True)
+  || {notice} || repeat({NL}, 2) || '# PROJECT FILES' || repeat({NL}, 2) || pieces || '---' || {NL} || 'Generated with repoweave.' || {NL} AS document FROM docs""")
+    after = (redacted("final"), clean, summaries("clean"), stripped("clean"), pieces)
+    out["pack_document"] = sql(document, *pack, *after, recursive=True)
+    out["pack_document_small_tokens"] = sql(document, *packed(Q.SMALL_TOKENS.token_limit_chars), *after, recursive=True)
+    out["budget_warnings_kept"] = sql(
+        f"""SELECT repo_id, chars, {quarter('chars')} AS tokens, chars > {Q.SMALL_TOKENS.limit_bytes} AS over_size_limit,
+  chars > {Q.SMALL_TOKENS.token_limit_chars} AS over_token_limit
+FROM (SELECT repo_id, CAST(sum(chars) AS BIGINT) AS chars FROM budgeted GROUP BY repo_id)""",
+        *BASE, labels(), eligible(), size_budget())
+    by_dir = f"""dirs_listed AS (SELECT repo_id, dir, count(*) AS n, sum(size) AS s,
+  '### ' || dir || '/' || {NL} || string_agg({entry} || {NL}, '' ORDER BY rank) || {NL} AS block FROM final GROUP BY repo_id, dir),
+docs AS (SELECT repo_id, CAST(sum(n) AS BIGINT) AS files, CAST(sum(s) AS BIGINT) AS bytes, string_agg(block, '' ORDER BY dir) AS blocks FROM dirs_listed GROUP BY repo_id)"""
+    out["listing_document"] = sql(
+        f"""SELECT repo_id, files, bytes, {start} || repeat({NL}, 2) || {notice} || repeat({NL}, 2) || '{fixed.LISTING_TITLE}' || repeat({NL}, 2)
+  || blocks || '---' || {NL} || 'Generated with repoweave.' || {NL} AS document FROM docs""", *pack, by_dir, recursive=True)
     return out
 
 

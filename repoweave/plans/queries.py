@@ -16,6 +16,7 @@ from repoweave.operators.facts import facts
 from repoweave.plans import flow
 from repoweave.plans.options import PackOptions
 from repoweave.sources import corpus, sample
+from repoweave.sources.scratch import written
 
 KEY = ["repo_id", "path"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,7 @@ USER_LISTS = PackOptions(
 USER_IGNORE = PackOptions(ignore=("notes/**", "**/k8s*/**"))
 FILE_CAP, PRIORITY_CAP = 30, 20
 CAPPED = PackOptions.preset("code", max_files=20, as_of=sample.AS_OF)
+SMALL_TOKENS = PackOptions.preset("auto", token_limit_chars=20_000, as_of=sample.AS_OF)
 TREE = PackOptions.preset("code", tree=True, as_of=sample.AS_OF)
 
 QUERIES: dict[str, Query] = {}
@@ -77,6 +79,15 @@ over_files("scan_stats", lambda f: with_time_text(corpus.scan_stats(f)))
 over_files("read_text", lambda f: corpus.read_text(f).select(*KEY, "content", "is_valid_utf8"))
 
 
+def damaged(files: DataFrame) -> DataFrame:
+    """The files as bytes, with a byte that is no UTF-8 after the text where the size is a multiple of 7."""
+    extra = F.when(F.col("size") % 7 == 0, F.lit(b"\xff")).otherwise(F.lit(b""))
+    return files.withColumn("bytes", F.concat(F.col("content").cast("binary"), extra))
+
+
+over_files("read_text_invalid", lambda f: corpus.read_text(damaged(f)).select(*KEY, "content", "is_valid_utf8"))
+
+
 @query
 def ignore_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gitignore.ignore_rules(sample.gitignore_files(spark, sf_dir))
@@ -133,6 +144,12 @@ def exclude_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.without_excluded(files, select.excluded_names(spark)).select(*KEY)
 
 
+@query
+def gitignore_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = gitignore.rule_sets(sample.gitignore_files(spark, sf_dir, sample.varied_gitignore()))
+    return gitignore.with_ignored(sample.files(spark, sf_dir).select(*KEY), rules)
+
+
 over_flow("gitignore_join", lambda f, rules: gitignore.with_ignored(f.select(*KEY), rules))
 over_flow("survivor_content", lambda f, rules: flow.with_content(
     budget.size_budget(flow.eligible(f, AUTO, rules), AUTO).select(*KEY, "size"), f).select(*KEY, "content"))
@@ -153,6 +170,10 @@ over_labels("budget_warnings", lambda l, o: aggregate.budget_warnings(flow.eligi
 over_flow("skip_counts", lambda f, rules: flow.skip_report(f, SMALL_FILES, rules))
 over_flow("repo_stats", lambda f, rules: aggregate.repo_stats(flow.skip_report(f, SMALL_FILES, rules)))
 
+over_flow("skip_counts_capped", lambda f, rules: flow.skip_report(f, CAPPED, rules))
+over_flow("repo_stats_capped", lambda f, rules: aggregate.repo_stats(flow.skip_report(f, CAPPED, rules)))
+over_flow("budget_warnings_kept", lambda f, rules: flow.warnings(f, SMALL_TOKENS, rules))
+
 # ------------------------------------------------- ranks, limits, set operations ----
 over_facts("rank_by_score", lambda f: rank.rank_within_repo(
     score.scored(f, AUTO).select(*KEY, "score"), rank.score_order(), costly=True))
@@ -233,12 +254,19 @@ over_files("credential_false_positive", lambda f: redact.pattern_matches(f).sele
     *KEY, "pattern", "n", "value", "is_false_positive"))
 over_files("redact_env", lambda f: redact.redact_env(f).select(
     *KEY, "content", F.size("findings").cast("bigint").alias("findings")))
+# The same texts with the line ends of old systems, which end a line of an environment file as well.
+over_files("redact_env_cr", lambda f: redact.findings_table(redact.redact_env(
+    f.withColumn("content", F.replace("content", F.lit("\n"), F.lit("\r"))))))
+over_files("security_report", lambda f: aggregate.report_lines(
+    written(redact.findings_table(redact.redact(f)), "findings")))
 for _pattern in R.PATTERNS:
     over_files(f"redact_{_pattern.name}", lambda f, p=_pattern: redact.redact_pattern(f, p).select(
         *KEY, "content", F.size("findings").cast("bigint").alias("findings")))
 
 # ------------------------------------------------------------------- documents ----
 over_flow("pack_document", lambda f, rules: flow.pack(f, AUTO, rules))
+over_flow("pack_document_small_tokens", lambda f, rules: flow.pack(f, SMALL_TOKENS, rules))
+over_flow("listing_document", lambda f, rules: flow.listing_documents(f, AUTO, rules))
 over_flow("pack_parts", lambda f, rules: flow.pack_parts(f, TREE, rules))
 over_flow("list_files_capped", lambda f, rules: flow.kept(f, CAPPED, rules).select(*KEY, "size", "rank"))
 over_flow("list_files", lambda f, rules: flow.list_files(f, AUTO, rules))

@@ -105,6 +105,15 @@ def test_environment_files(spark):
     assert run(spark, [text], redact.redact_env, "conf/env.txt")[0].content == text
 
 
+def test_environment_lines_end_at_a_lone_carriage_return(spark):
+    text = "DEBUG=1\rDB_LOGIN=svc_user_01\rX=2\nA_KEY='v1'\u2028B_KEY=v2\r\nC_KEY=v3\r"
+    row = run(spark, [text], redact.redact_env, "conf/.env")[0]
+    assert row.content == (
+        "DEBUG=1\rDB_LOGIN=[REDACTED]\rX=2\nA_KEY=[REDACTED]\u2028B_KEY=[REDACTED]\r\nC_KEY=[REDACTED]\r")
+    assert [(f.line, f.column, f.preview) for f in row.findings] == [
+        (1, 17, "svc..."), (2, 6, "v1..."), (2, 17, "v2..."), (3, 6, "v3...")]
+
+
 def test_texts_that_hold_the_mark(spark):
     row = run(spark, ['\ufdd2 x \ufdd2 pwd="abcd1234"\n\ufdd2pwd="efgh5678"'], redact.redact)[0]
     assert row.content == '\ufdd2 x \ufdd2 pwd="[REDACTED]"\n\ufdd2pwd="[REDACTED]"'
