@@ -98,7 +98,7 @@ def budget_warnings(rows: DataFrame, opts: PackOptions = PackOptions()) -> DataF
 
 
 def dry_run_summary(kept: DataFrame) -> DataFrame:
-    """The largest kept files of each repository beside its totals; no content is read for it.
+    """The largest kept files of each repository beside its totals.
 
     A budget has bounded the rows of a repository, so windows over it are safe.
     """

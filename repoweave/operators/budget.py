@@ -24,6 +24,25 @@ def _salt(buckets: int) -> Column:
     return F.pmod(F.xxhash64("path"), F.lit(buckets))
 
 
+def _running(value: Column, *keys: str) -> Column:
+    """Sum of ``value`` over the files before this one in metadata order."""
+    # Ordering by a plain column lets the windows of a step share one sort.
+    order = [F.col("is_main").desc(), F.col("size").asc(), F.col("path").asc()]
+    window = Window.partitionBy("repo_id", *keys).orderBy(*order)
+    return F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def within_reach(rows: DataFrame, opts: PackOptions = PackOptions()) -> DataFrame:
+    """``rows`` with ``is_main``, without the files that the size budget cannot keep; sizes alone tell."""
+    limit, size, main = opts.limit_bytes, F.col("size"), F.col("is_main")
+    fewest = F.ceil(size / F.lit(4))
+    rows = rows.where(size.between(1, limit)).withColumn("is_main", paths.is_include_name())
+    return rows.withColumn("_salt", _salt(opts.salt_buckets)).withColumns({
+        "_main": _running(F.when(main, fewest), "_salt"),
+        "_rest": _running(F.when(~main, fewest), "_salt"),
+    }).where(F.when(main, F.col("_main")).otherwise(F.col("_rest")) + size <= limit).drop("_salt", "_main", "_rest")
+
+
 def size_budget(rows: DataFrame, opts: PackOptions = PackOptions()) -> DataFrame:
     """Files kept when walked in metadata order: ``rows`` plus ``is_main, used_before``.
 
@@ -37,31 +56,17 @@ def size_budget(rows: DataFrame, opts: PackOptions = PackOptions()) -> DataFrame
        usually a few hundred, is decided exactly in one window.
     """
     limit, size, chars, main = opts.limit_bytes, F.col("size"), F.col("chars"), F.col("is_main")
-    # Ordering by a plain column lets the windows of a step share one sort.
-    order = [main.desc(), size.asc(), F.col("path").asc()]
-    rows = rows.where(size.between(1, limit)).withColumn("is_main", paths.is_include_name())
-
-    def running(value: Column, *keys: str) -> Column:
-        window = Window.partitionBy("repo_id", *keys).orderBy(*order)
-        before = window.rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum(value).over(before), F.lit(0))
-
-    fewest = F.ceil(size / F.lit(4))
-    possible = rows.withColumn("_salt", _salt(opts.salt_buckets)).withColumns({
-        "_main": running(F.when(main, fewest), "_salt"),
-        "_rest": running(F.when(~main, fewest), "_salt"),
-    }).where(F.when(main, F.col("_main")).otherwise(F.col("_rest")) + size <= limit)
-
+    possible = within_reach(rows, opts)
     fits_main = main & (F.col("_main") + size <= limit)
     used = F.when(main, F.col("_main")).otherwise(F.col("_kept_main") + F.col("_rest"))
     return (
         possible.withColumns({
-            "_main": running(F.when(main, chars)), "_rest": running(F.when(~main, chars)),
+            "_main": _running(F.when(main, chars)), "_rest": _running(F.when(~main, chars)),
         })
-        .withColumn("_kept_main", running(F.when(fits_main, chars)))
+        .withColumn("_kept_main", _running(F.when(fits_main, chars)))
         .withColumn("used_before", used.cast("bigint"))
         .where(F.col("used_before") + size <= limit)
-        .drop("_salt", "_main", "_rest", "_kept_main")
+        .drop("_main", "_rest", "_kept_main")
     )
 
 

@@ -4,7 +4,10 @@
                                      |
     files -- join on (repository, path) -> texts -> score -> token budget -> redact -> render -> pack
 
-The first pass over all content takes only its length and, where names do not
+``from_listing`` takes files that are listed and not yet read: names and sizes
+decide first, and only files that a look or the budget needs are opened.
+
+For a table of files, the first pass over all content takes only its length and, where names do not
 decide, a look at its opening.  Everything up to the join works on narrow rows.
 The second pass filters the texts of the files in budget out of the scan; what
 is costly per character runs on those alone.
@@ -12,17 +15,32 @@ is costly per character runs on those alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repoweave.functions import paths
 from repoweave.operators import aggregate, detect, gitignore, rank, redact, render, score, select
-from repoweave.operators.budget import size_budget, token_budget
-from repoweave.operators.facts import facts
+from repoweave.operators.budget import size_budget, token_budget, within_reach
+from repoweave.operators.facts import facts, named_facts
 from repoweave.plans.options import PackOptions
 from repoweave.sources.scratch import broadcast_if_small, fits_broadcast, written
 
 KEY = ["repo_id", "path"]
+NARROW = [*KEY, "size", "mtime", "chars"]
+
+
+class Listed(NamedTuple):
+    """Files of a listing after the selection; the functions below take it in place of a table of files."""
+
+    labels: DataFrame  # all files: repo_id, path, size, mtime, selected
+    rows: DataFrame  # those the size budget could keep: repo_id, path, size, mtime, chars
+    texts: DataFrame  # the same files with content
+
+
+Files = DataFrame | Listed
 
 
 def first_labels(files: DataFrame, opts: PackOptions) -> DataFrame:
@@ -68,14 +86,55 @@ def accepted(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None
     return _with_rules(candidates, files, opts, rules).where(select.is_accepted())
 
 
-def eligible(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
+def from_listing(
+    listing: DataFrame, read: Callable[[DataFrame], DataFrame], opts: PackOptions = PackOptions.preset(),
+    rules: DataFrame | None = None,
+) -> Listed:
+    """Selects listed files and reads the few whose content matters.
+
+    ``read`` gives a table of files for the rows of a listing that it is handed; it may leave out
+    files that it cannot read.  It sees the root ignore files, the small files that no name decides,
+    and the files that the size budget could keep by their sizes.  The options must be those of the
+    calls that follow.
+    """
+    names = listing.select(*KEY, "size", "mtime")
+    table = named_facts(names, opts)
+    if opts.needs_detection:
+        context = detect.repo_context(detect.detect_repo_type(table), opts)
+        table = table.join(context, "repo_id", "left")
+    table = table.withColumn("first_reason", select.first_reason(opts))
+    if opts.respect_gitignore and rules is None:
+        rules = gitignore.rule_sets(read(listing.where(F.col("path") == ".gitignore")))
+    labels = written(
+        _with_rules(table, names, opts, rules).select(*KEY, "size", "mtime", "reason"), "labels"
+    )
+    looked_at = _listed(listing, labels.where(F.col("reason") == "content"))
+    code = facts(read(looked_at), opts).where("looks_like_code").select(*KEY, F.lit(True).alias("_code"))
+    chosen = select.is_accepted() & ((F.col("reason") != "content") | F.coalesce("_code", F.lit(False)))
+    labels = written(
+        labels.join(code, KEY, "left").select(*KEY, "size", "mtime", chosen.alias("selected")), "looked_at"
+    )
+    near = within_reach(capped(labels.where("selected").drop("selected"), opts), opts)
+    texts = written(read(_listed(listing, near)).select(*KEY, "size", "mtime", "content"), "texts")
+    rows = texts.select(*KEY, "size", "mtime", F.length("content").cast("bigint").alias("chars"))
+    return Listed(labels, rows, texts)
+
+
+def _listed(listing: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of a listing that ``rows`` names."""
+    return listing.join(rows.select(*KEY), KEY, "left_semi")
+
+
+def eligible(files: Files, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
     """Accepted files under the file cap that are not binary and fit the file limit.
 
     The narrow rows are written, so content is read once.  The cap touches only
     repositories with more files than it, at most all rows / cap of them; only
     their rows are ranked.
     """
-    narrow = accepted(files, opts, rules).select(*KEY, "size", "mtime", "chars")
+    if isinstance(files, Listed):
+        return files.rows
+    narrow = accepted(files, opts, rules).select(*NARROW)
     return capped(written(narrow, "accepted"), opts)
 
 
@@ -92,9 +151,9 @@ def capped(rows: DataFrame, opts: PackOptions) -> DataFrame:
     return _fits(rows.join(over, "repo_id", "left_anti"), opts).unionByName(chosen)
 
 
-def budgeted(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
+def budgeted(files: Files, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
     """The files that fit the size budget; it bounds every repository from here on."""
-    return size_budget(eligible(files, opts, rules), opts).select(*KEY, "size", "mtime", "chars")
+    return size_budget(eligible(files, opts, rules), opts).select(*NARROW)
 
 
 def ranked(rows: DataFrame, opts: PackOptions) -> DataFrame:
@@ -112,13 +171,13 @@ def ranked(rows: DataFrame, opts: PackOptions) -> DataFrame:
     )
 
 
-def kept(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
+def kept(files: Files, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
     """The files that go into the documents: path, size, chars, rank, whether summarised."""
     rows = budgeted(files, opts, rules)
     return ranked(with_content(rows, files) if opts.smart else rows, opts)
 
 
-def with_content(rows: DataFrame, files: DataFrame) -> DataFrame:
+def with_content(rows: DataFrame, files: Files) -> DataFrame:
     """Late materialisation: ``rows`` (with ``size``) joined to their text.
 
     The rows are written once and measured.  A small table is broadcast and the
@@ -127,6 +186,7 @@ def with_content(rows: DataFrame, files: DataFrame) -> DataFrame:
     dropped most texts before they move; if even that is too large, the shuffle
     does without.
     """
+    files = files.texts if isinstance(files, Listed) else files
     keys = written(rows, "kept")
     texts = files.select(*KEY, "content")
     if fits_broadcast(keys):
@@ -142,7 +202,7 @@ def with_content(rows: DataFrame, files: DataFrame) -> DataFrame:
     return texts.join(keys, KEY)
 
 
-def kept_texts(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
+def kept_texts(files: Files, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
     """The kept files with their content."""
     rows = budgeted(files, opts, rules)
     if not opts.smart:
@@ -152,7 +212,7 @@ def kept_texts(files: DataFrame, opts: PackOptions, rules: DataFrame | None = No
     return ranked(texts, opts).join(texts.select(*KEY, "content"), KEY)
 
 
-def pack_bodies(files: DataFrame, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
+def pack_bodies(files: Files, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
     """The kept files with their cleaned ``body``; the long form of the documents."""
     rows = kept_texts(files, opts, rules)
     if opts.redact_credentials:
@@ -160,12 +220,12 @@ def pack_bodies(files: DataFrame, opts: PackOptions, rules: DataFrame | None = N
     return rows.withColumn("body", render.rendered(opts, "summarized"))
 
 
-def pack(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
+def pack(files: Files, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
     """One Markdown document per repository."""
     return render.documents(pack_bodies(files, opts, rules), opts)
 
 
-def pack_parts(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
+def pack_parts(files: Files, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
     """The documents as text rows ``repo_id, part, key, pos, text``, with the tree if asked for.
 
     A tree is not bounded by any budget, so these documents are never put
@@ -175,13 +235,16 @@ def pack_parts(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules
     parts = render.document_parts(bodies, opts)
     if opts.tree:
         repos = bodies.select("repo_id").distinct()
-        tree = aggregate.directory_tree(files).join(repos, "repo_id", "left_semi")
+        tree = aggregate.directory_tree(files.labels if isinstance(files, Listed) else files).join(repos, "repo_id", "left_semi")
         parts = parts.unionByName(render.tree_parts(tree, bodies))
     return parts
 
 
-def list_files(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
-    """The files a document would hold, by directory; content is not read for it."""
+def list_files(files: Files, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
+    """The files a document would hold, by directory.
+
+    The budget counts characters, so content is looked at, for a ``Listed`` only that within reach.
+    """
     return kept(files, opts, rules).select(
         "repo_id", paths.dirname().alias("dir"), "rank", paths.basename().alias("name"), "size",
         F.concat(F.lit("- "), paths.basename(), F.lit(" ("), paths.human_size(), F.lit(")")).alias("entry"),
@@ -189,41 +252,42 @@ def list_files(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules
 
 
 def listing_documents(
-    files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None
+    files: Files, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None
 ) -> DataFrame:
     """One document per repository that lists the kept files without their contents."""
     return render.listings(kept(files, opts, rules), opts)
 
 
-def warnings(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
+def warnings(files: Files, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
     """Whether what the size budget left of a repository still exceeds its limits."""
     return aggregate.budget_warnings(budgeted(files, opts, rules), opts)
 
 
-def dry_run(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
+def dry_run(files: Files, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
     return aggregate.dry_run_summary(kept(files, opts, rules))
 
 
-def skip_report(files: DataFrame, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
+def skip_report(files: Files, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
     """What each stage dropped, per repository.
 
     The narrow labels are written, as several plans need them and content should be read once.  The
     file cap drops the same files as in a document.
     """
-    labels = written(
-        labelled(files, opts, rules).select(*KEY, "size", "mtime", "chars", "selected"), "labels"
-    )
+    if isinstance(files, Listed):
+        under_cap = capped(files.labels.where("selected").drop("selected"), opts)
+        return aggregate.skip_counts(files.labels, size_budget(files.rows, opts), opts, under_cap)
+    labels = written(labelled(files, opts, rules).select(*NARROW, "selected"), "labels")
     under_cap = capped(labels.where("selected").drop("selected"), opts)
     return aggregate.skip_counts(labels, size_budget(under_cap, opts), opts, under_cap)
 
 
-def security_report(files: DataFrame, opts: PackOptions = PackOptions.preset(security="strict"), rules: DataFrame | None = None) -> DataFrame:
+def security_report(files: Files, opts: PackOptions = PackOptions.preset(security="strict"), rules: DataFrame | None = None) -> DataFrame:
     """The findings in the files that would be packed."""
     rows = kept_texts(files, opts, rules)
     return aggregate.findings_report(redact.findings_table(redact.redact(rows)))
 
 
-def report_lines(files: DataFrame, opts: PackOptions = PackOptions.preset(security="strict"), rules: DataFrame | None = None) -> DataFrame:
+def report_lines(files: Files, opts: PackOptions = PackOptions.preset(security="strict"), rules: DataFrame | None = None) -> DataFrame:
     """The security report with its title, file headings and totals."""
     findings = redact.findings_table(redact.redact(kept_texts(files, opts, rules)))
     return aggregate.report_lines(written(findings, "findings"))

@@ -10,7 +10,7 @@ read in tasks through Arrow's file systems (local, HDFS, S3, GCS).
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -25,14 +25,17 @@ READ_BATCH_BYTES = 32 * 1024 * 1024
 
 
 def scan_tree(
-    spark: SparkSession, root: str, repo_id: str | None = None, modified_after: str | None = None
+    spark: SparkSession, root: str, repo_id: str | None = None, modified_after: str | None = None,
+    prune: Iterable[str] = (),
 ) -> DataFrame:
     """Every regular file below ``root`` with size and time; no content is read.
 
     The first directory level names the repository, unless ``repo_id`` makes the
     whole root one.  Directories are listed level by level, each level in
-    parallel; symbolic links are not followed.
+    parallel; symbolic links are not followed.  Directories below a repository's
+    root with a name in ``prune`` are not listed, so their files do not appear.
     """
+    pruned = set(prune)
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -66,6 +69,9 @@ def scan_tree(
         )
         files.append(listed.where(~F.col("is_directory")))
         level = listed.where("is_directory").select("at")
+        # The first level names repositories, whatever they are called, unless the root is one.
+        if pruned and (repo_id or len(files) > 1):
+            level = level.where(~F.substring_index("at", "/", -1).isin(*pruned))
         if level.isEmpty():
             break
     relative = F.substring(F.col("at"), F.lit(len(base) + 2), F.length("at"))
@@ -142,6 +148,11 @@ def read_text(files: DataFrame) -> DataFrame:
     )
 
 
+def reader(max_bytes: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """What reads the texts of listed files, for ``flow.from_listing``."""
+    return lambda listing: read_text(with_bytes(listing, max_bytes))
+
+
 def from_table(table: DataFrame) -> DataFrame:
     """Files from a table with at least ``repo_id``, ``path`` and ``content``."""
     size = F.col("size") if "size" in table.columns else F.octet_length("content")
