@@ -10,6 +10,7 @@ memory; nothing is shuffled.
 
 from __future__ import annotations
 
+import gc
 from functools import lru_cache, partial
 from math import log
 
@@ -48,31 +49,44 @@ def unigram_scores(path: str) -> tuple[dict[str, float], int, float]:
 
 
 class ForwardTrie:
-    """Forward scores by prefix; ties go to fewer pieces."""
+    """Forward scores by prefix; ties go to fewer pieces.
+
+    A node is a list of the score and the number of pieces of its prefix and, by character, the nodes
+    below it.
+    """
 
     def __init__(self, pieces: dict[str, float], longest: int, byte_score: float, max_nodes: int = MAX_NODES):
-        self.pieces, self.longest, self.byte_score, self.max_nodes = pieces, longest, byte_score, max_nodes
+        self.byte_score, self.max_nodes = byte_score, max_nodes
+        #: Scores by piece, and None for what is only the end of longer pieces: a search for pieces that
+        #: end at a place stops at the first text that is neither.
+        self.endings: dict[str, float | None] = {p[i:]: None for p in pieces for i in range(1, len(p))}
+        self.endings |= pieces
         self.computed = 0
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
-        self.score, self.count = [0.0], [0]
+        self.root: list = [0.0, 0, None]
+        self.nodes = 1
         self.terminal: dict[str, tuple[int, float]] = {}
 
-    def _forward(self, word: str, end: int, score: list[float], count: list[int]) -> tuple[float, int]:
-        """Best way to ``end`` from the forward scores of all shorter prefixes."""
+    def _forward(self, word: str, end: int, path: list[list]) -> list:
+        """Node for the prefix up to ``end`` from those of all shorter prefixes."""
         n = len(word[end - 1].encode())
-        best, pieces = score[end - 1] + n * self.byte_score, count[end - 1] + n
-        get = self.pieces.get
-        for start in range(max(0, end - self.longest), end):
-            s = get(word[start:end])
+        above = path[end - 1]
+        best, pieces = above[0] + n * self.byte_score, above[1] + n
+        endings, start = self.endings, end - 1
+        while start >= 0:
+            s = endings.get(word[start:end], 0)
             if s is not None:
-                s += score[start]
-                if s > best or (s == best and count[start] + 1 < pieces):
-                    best, pieces = s, count[start] + 1
+                if s == 0:  # no logarithm of a share below one is zero
+                    break
+                node = path[start]
+                s += node[0]
+                if s > best or (s == best and node[1] + 1 < pieces):
+                    best, pieces = s, node[1] + 1
+            start -= 1
         self.computed += 1
-        return best, pieces
+        return [best, pieces, None]
 
     def lookup(self, word: str) -> tuple[int, float]:
         """Number of pieces of a pre-token, and the score of its best segmentation."""
@@ -82,27 +96,30 @@ class ForwardTrie:
         return found
 
     def _insert(self, word: str) -> tuple[int, float]:
-        if len(word) > KEPT_LENGTH:
-            score, count = [0.0], [0]
-            for end in range(1, len(word) + 1):
-                s, c = self._forward(word, end, score, count)
-                score.append(s)
-                count.append(c)
-            return count[-1], score[-1]
-        if len(self.score) + len(word) > self.max_nodes:
+        kept = len(word) <= KEPT_LENGTH
+        if kept and self.nodes + len(word) > self.max_nodes:
             self.clear()
-        node, score, count = 0, [0.0], [0]
-        for end, char in enumerate(word, 1):
-            below = self.child.get((node, char))
-            if below is None:
-                s, c = self._forward(word, end, score, count)
-                below = self.child[(node, char)] = len(self.score)
-                self.score.append(s)
-                self.count.append(c)
-            node = below
-            score.append(self.score[node])
-            count.append(self.count[node])
-        self.terminal[word] = found = (count[-1], score[-1])
+        node = self.root
+        path = [node]
+        if kept:
+            for char in word:
+                below = node[2]
+                node = below.get(char) if below else None
+                if node is None:
+                    break
+                path.append(node)
+        for end in range(len(path), len(word) + 1):
+            node = self._forward(word, end, path)
+            if kept:
+                above = path[-1]
+                if above[2] is None:
+                    above[2] = {}
+                above[2][word[end - 1]] = node
+                self.nodes += 1
+            path.append(node)
+        found = (path[-1][1], path[-1][0])
+        if kept:
+            self.terminal[word] = found
         return found
 
 
@@ -110,6 +127,16 @@ def _count_step(path: str, max_nodes: int):
     trie = ForwardTrie(*unigram_scores(path), max_nodes=max_nodes)
 
     def step(texts, rest):
+        # Tries hold no cycles, and the collector would walk all their nodes again and again.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return counted(texts) | {"doc_id": rest["doc_id"]}
+        finally:
+            if collecting:
+                gc.enable()
+
+    def counted(texts):
         out = {name: [] for name in ("n_chars", "n_pretokens", "n_distinct", "n_tokens", "score")}
         for text in texts:
             words = words_of(text)
@@ -120,7 +147,7 @@ def _count_step(path: str, max_nodes: int):
             out["n_distinct"].append(len(distinct))
             out["n_tokens"].append(sum(f[0] for f in found))
             out["score"].append(float(sum(f[1] for f in found)))
-        return out | {"doc_id": rest["doc_id"]}
+        return out
 
     return step
 
