@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """Documents as Parquet, one folder per repository."""
-    documents.write.mode("errorifexists").partitionBy("repo_id").parquet(path)
+    """Documents as one Parquet table; a folder per repository would be millions of small files."""
+    documents.write.mode("errorifexists").parquet(path)
 
 
 def write_markdown(documents: DataFrame, path: str) -> None:
-    """Documents as text files, one folder per repository."""
+    """Documents as text files, one folder per repository: for people, not for millions of repositories."""
     documents.select("repo_id", F.col("document").alias("value")).write.mode(
         "errorifexists"
     ).partitionBy("repo_id").text(path)
