@@ -84,14 +84,20 @@ def token_candidates(rows: DataFrame, opts: PackOptions) -> DataFrame:
     large = F.col("size") > fixed.SUMMARY_COST if opts.summarize_large_files else F.lit(False)
     quota = F.floor(F.lit(limit) / F.col("_cost")) + fixed.ALWAYS_KEPT
 
-    def first(table: DataFrame, *keys: str) -> DataFrame:
-        window = Window.partitionBy("repo_id", "_cost", "_large", *keys).orderBy(*score_order())
-        return table.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= quota)
+    def first(table: DataFrame, most: Column, *keys: str) -> DataFrame:
+        window = Window.partitionBy("repo_id", "_cost", *keys).orderBy(*score_order())
+        return table.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= most)
 
     classed = rows.where(F.col("size") >= 1).withColumns(
         {"_cost": cost, "_large": large, "_salt": _salt(opts.salt_buckets)}
     )
-    return first(first(classed, "_salt")).drop("_cost", "_large", "_salt", "_n")
+    bounded = first(first(classed.where(~F.col("_large")), quota, "_salt"), quota)
+    if opts.summarize_large_files:
+        # All large files cost the same, so their quota is a number that Spark cuts by before the shuffle.
+        most = F.lit(limit // fixed.SUMMARY_COST + fixed.ALWAYS_KEPT)
+        large_rows = classed.where("_large")
+        bounded = bounded.unionByName(first(first(large_rows, most, "_salt"), most))
+    return bounded.drop("_cost", "_large", "_salt", "_n")
 
 
 def token_budget(scored: DataFrame, opts: PackOptions = PackOptions(), bounded: bool = False) -> DataFrame:
