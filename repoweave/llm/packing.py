@@ -67,6 +67,8 @@ class Schedule:
         #: What a round adds to each deficit; at least one unit, so that every queue ends.
         self.adds = np.array([max(1, round(window * UNIT * w / whole)) for w in weights], np.int64)
         self.quantum, self.cost = quantum, quantum * UNIT
+        #: Rounds after which each queue is empty; later ones would only make large numbers.
+        self.last = -(-(self.tokens // quantum + 1) * self.cost // self.adds)
 
     def places(self, queue: int, quanta: np.ndarray) -> np.ndarray:
         """Tokens emitted before each of the numbered quanta of one queue."""
@@ -75,7 +77,8 @@ class Schedule:
         step = max(1, _CELLS // len(self.tokens))
         ahead = (np.arange(len(self.tokens)) < queue).astype(np.int64)
         for i in range(0, len(quanta), step):
-            served = (turn[i : i + step, None] + ahead) * self.adds // self.cost * self.quantum
+            rounds = np.minimum(turn[i : i + step, None] + ahead, self.last)
+            served = rounds * self.adds // self.cost * self.quantum
             served = np.minimum(served, self.tokens)
             served[:, queue] = quanta[i : i + step] * self.quantum
             out[i : i + step] = served.sum(axis=1)

@@ -84,6 +84,14 @@ def test_places_are_those_of_the_rounds(seed):
     assert taken == tokens
 
 
+def test_a_source_without_weight_comes_last_at_any_size():
+    """Numbers of its rounds are far larger than a long holds when they count for the others."""
+    plan = packing.Schedule([10**9, 10**9], [1.0, 0.0], 2048, 256)
+    last = 10**9 // 256
+    assert plan.places(1, np.array([last])).tolist() == [10**9 + last * 256]
+    assert plan.places(0, np.array([0])).tolist() == [0]
+
+
 def test_windows_hold_the_target_proportions(spark):
     text = "some words that make tokens " * 60
     rows = [(i, text, "abbcccc"[i % 7]) for i in range(210)]
