@@ -115,7 +115,7 @@ class Codes:
 def _encode(batches, path: str, end_id: int, segment_ids: int, schema: pa.Schema):
     coder, part = encoder(path), TaskContext.get().partitionId()
     end = np.array([end_id], coder.dtype).tobytes()
-    state = {"segment": 0, "first": 0}
+    state = {"segment": 0, "first": 0, "held": 0}
     docs, counts, parts = [], [], []
 
     def flush():
@@ -123,6 +123,7 @@ def _encode(batches, path: str, end_id: int, segment_ids: int, schema: pa.Schema
         row = [part, state["segment"], state["first"], len(ids), list(docs), list(counts), Codes.encode(ids)]
         state["segment"] += 1
         state["first"] += len(ids)
+        state["held"] = 0
         docs.clear(), counts.clear(), parts.clear()
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
@@ -133,7 +134,8 @@ def _encode(batches, path: str, end_id: int, segment_ids: int, schema: pa.Schema
                 docs.append(doc)
                 parts.append(ids + end)
                 counts.append(len(parts[-1]) // len(end))
-                if sum(counts) >= segment_ids:
+                state["held"] += counts[-1]
+                if state["held"] >= segment_ids:
                     yield flush()
     if docs:
         yield flush()
