@@ -4,8 +4,8 @@ The table is staged once with a locator for each row (its number in the staged t
 over the staged rows keeps, for every digest, the row that stays (size, stable identifier, locator)
 and the number of rows in RocksDB state below the shared folder; Spark combines rows on the map
 side, so a digest held by a third of all rows is a few rows per task in the shuffle.  The state is
-then read as a table.  Rows that hit a digest already held are compared with the kept row byte by
-byte, and a digest whose texts differ is split by the texts themselves.
+then read as a table.  The full texts of a digest with hits are compared byte by byte, equal ones
+combined before the shuffle, and a digest whose texts differ is split by the texts themselves.
 """
 
 from __future__ import annotations
@@ -115,14 +115,13 @@ def find_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = text_d
         empty = "_row long, doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string"
         return staged, spark.createDataFrame([], empty)
     groups = keyed_state(spark, path)
-    # Hits are compared with the text of the row that was kept for their digest; texts held once stay put.
-    several = stored(groups.where("group_size > 1").select("digest", F.col("best._row").alias("keep_row")), "dedup-hits")
-    copies = staged.select("_row", "digest", F.col("_doc.text").alias("text")).join(broadcast_if_small(several), "digest")
-    copies = copies.select("_row", "digest", "keep_row", normalised(F.col("text")).alias("same"))
-    kept = copies.where("_row = keep_row").select("digest", F.col("same").alias("kept_text"))
+    # All texts of a digest with hits are compared in full: equal ones are combined on the map side, so a
+    # group of any size is one text per task in the shuffle, and texts held once stay put.
+    several = stored(groups.where("group_size > 1").select("digest"), "dedup-hits")
+    texts = staged.select("digest", F.col("_doc.text").alias("text")).join(broadcast_if_small(several), "digest")
+    distinct = texts.select("digest", normalised(F.col("text")).alias("same")).distinct()
     unlike = stored(
-        copies.where("_row <> keep_row").join(kept, "digest").where("same <> kept_text").select("digest").distinct(),
-        "dedup-unlike",
+        distinct.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "dedup-unlike"
     )
     rows = staged.select("_row", "doc_id", "digest", "text_sha256")
     found = rows.join(groups, "digest").select("_row", "doc_id", "text_sha256", "best", "group_size", "digest")
