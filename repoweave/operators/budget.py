@@ -1,14 +1,15 @@
 """Fitting a repository into a size budget and a token budget.
 
 Both budgets are walks in a fixed order that skip what does not fit.  Neither
-needs a whole repository in one place: a large repository is first split by a
-hash of the path, and each part drops the rows that provably cannot be kept.
-What is left per repository is bounded by the budget, not by the data.
+needs a whole repository in one place: counts by size, or a cut per hash part
+of a large repository, first drop the rows that provably cannot be kept.  What
+is left per repository is bounded by the budget, not by the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,31 +17,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repoweave.functions import fixed, paths
-from repoweave.operators.rank import score_order
+from repoweave.operators.rank import rank_within_repo, score_order
 from repoweave.plans.options import PackOptions
+from repoweave.sources.scratch import broadcast_if_small, written
+
+#: Files of one size in a repository above which no window ranks them.
+EDGE_ROWS = 50_000
 
 
 def _salt(buckets: int) -> Column:
     return F.pmod(F.xxhash64("path"), F.lit(buckets))
 
 
-def _running(value: Column, *keys: str) -> Column:
+def _running(value: Column) -> Column:
     """Sum of ``value`` over the files before this one in metadata order."""
     # Ordering by a plain column lets the windows of a step share one sort.
     order = [F.col("is_main").desc(), F.col("size").asc(), F.col("path").asc()]
-    window = Window.partitionBy("repo_id", *keys).orderBy(*order)
+    window = Window.partitionBy("repo_id").orderBy(*order)
     return F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def within_reach(rows: DataFrame, opts: PackOptions = PackOptions()) -> DataFrame:
-    """``rows`` with ``is_main``, without the files that the size budget cannot keep; sizes alone tell."""
-    limit, size, main = opts.limit_bytes, F.col("size"), F.col("is_main")
+def within_reach(rows: DataFrame, opts: PackOptions = PackOptions(), edge_rows: int = EDGE_ROWS) -> DataFrame:
+    """``rows`` with ``is_main``, without the files that the size budget cannot keep; sizes alone tell.
+
+    Files are counted by (repository, tier, size), which gives the largest size that can still be
+    kept if every file has the fewest characters its bytes can hold (a quarter).  Files below that
+    size stay, and of those of that size as many as then fit, in path order.  Where more than
+    ``edge_rows`` files have that size, their places come from a range sort and not from a window.
+    """
+    limit, size, tier = opts.limit_bytes, F.col("size"), ["repo_id", "is_main"]
     fewest = F.ceil(size / F.lit(4))
     rows = rows.where(size.between(1, limit)).withColumn("is_main", paths.is_include_name())
-    return rows.withColumn("_salt", _salt(opts.salt_buckets)).withColumns({
-        "_main": _running(F.when(main, fewest), "_salt"),
-        "_rest": _running(F.when(~main, fewest), "_salt"),
-    }).where(F.when(main, F.col("_main")).otherwise(F.col("_rest")) + size <= limit).drop("_salt", "_main", "_rest")
+    smaller = Window.partitionBy(*tier).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.groupBy(*tier, "size").agg(F.count(F.lit(1)).alias("_n"))
+    left = F.lit(limit) - size - F.coalesce(F.sum(F.col("_n") * fewest).over(smaller), F.lit(0))
+    reached = counted.withColumn("_quota", F.floor(left / fewest) + 1).where(F.col("_quota") > 0)
+    edge = F.max(F.struct("size", "_quota", "_n")).alias("_e")
+    last = written(
+        reached.groupBy(*tier).agg(edge)
+        .select(*tier, F.col("_e.size").alias("_last"), F.col("_e._quota").alias("_quota"), F.col("_e._n").alias("_n")),
+        "cut_off",
+    )
+    near = rows.join(broadcast_if_small(last), tier)
+    at_edge, many = near.where(size == F.col("_last")), F.col("_n") > edge_rows
+    by_path = Window.partitionBy(*tier).orderBy("path")
+    parts = [near.where(size < F.col("_last")), at_edge.where(~many).withColumn("rank", F.row_number().over(by_path))]
+    if not last.where(many).isEmpty():
+        parts += [rank_within_repo(at_edge.where(many & t), [F.col("path")]) for t in (F.col("is_main"), ~F.col("is_main"))]
+    first = [p.where(F.col("rank") <= F.col("_quota")) for p in parts[1:]]
+    return reduce(DataFrame.unionByName, [p.select(*rows.columns) for p in (parts[0], *first)])
 
 
 def size_budget(rows: DataFrame, opts: PackOptions = PackOptions()) -> DataFrame:
@@ -50,10 +75,9 @@ def size_budget(rows: DataFrame, opts: PackOptions = PackOptions()) -> DataFrame
     limit.  Sizes ascend within a tier (main files, others), so once a file does
     not fit no later one of its tier does, and a running sum decides:
 
-    1. Per hash part, each file counts with the fewest characters its bytes can
-       hold (a quarter).  A file beyond the limit even so cannot be kept.
-    2. The rest, at most ``salt_buckets * limit`` files per repository and
-       usually a few hundred, is decided exactly in one window.
+    1. ``within_reach`` drops what the limit excludes whatever the characters are.
+    2. The rest, at most some ``limit`` files per tier and usually a few hundred, is decided exactly
+       in one window.
     """
     limit, size, chars, main = opts.limit_bytes, F.col("size"), F.col("chars"), F.col("is_main")
     possible = within_reach(rows, opts)

@@ -60,10 +60,24 @@ def table(spark, rows):
 def test_size_budget(spark, seed, limit, salts):
     rows = random_files(seed)
     opts = PackOptions(limit_bytes=limit, salt_buckets=salts)
+    reach = budget.within_reach(table(spark, rows), opts, edge_rows=salts)
+    assert {(r.repo_id, r.path) for r in reach.collect()} >= size_walk(rows, limit)
     kept = budget.size_budget(table(spark, rows), opts).collect()
     assert {(r.repo_id, r.path) for r in kept} == size_walk(rows, limit)
 
 
+@pytest.mark.parametrize("edge_rows", [50_000, 10])
+def test_reach_is_bounded_by_the_limit(spark, edge_rows):
+    """Equal files of a large repository are cut to what the limit could hold, ranked either way."""
+    rows = [("r", f"p{i:05}", 100, 100, 1) for i in range(10_000)] + [("r", "small", 8, 8, 1), ("s", "big", 5_000, 9, 1)]
+    rows += [("r", f"{i:02}/README.md", 400, 400, 1) for i in range(30)] + [("t", "one", 3, 3, 1)]
+    near = budget.within_reach(table(spark, rows), PackOptions(limit_bytes=2_000), edge_rows)
+    assert near.columns == ["repo_id", "path", "size", "chars", "score", "is_main"]
+    want = [f"{i:02}/README.md" for i in range((2_000 - 400) // 100 + 1)] + ["one"]
+    want += [f"p{i:05}" for i in range((2_000 - 2 - 100) // 25 + 1)] + ["small"]
+    assert sorted(r.path for r in near.collect()) == want
+
+
 @pytest.mark.parametrize("seed, limit, summarize, salts", [
     (1, 4000, False, 1), (2, 9000, True, 4), (3, 20000, True, 16), (4, 300, False, 8), (5, 60000, True, 2),
 ])
