@@ -1,17 +1,22 @@
 """Scores of documents by a probabilistic suffix tree over tokens.
 
 Tokens are words (ASCII letters in lower case) and one end per document.  A state is a context of up
-to ``DEPTH`` tokens before the next one.  Contexts that hold at least the share ``LEAST`` of all
-training tokens are candidates, and next tokens of at least the share ``ENTRY`` are counted one by
-one; as shares add up to one, there are at most 1 / LEAST contexts and 1 / ENTRY entries of each
-length, however large the corpus.  A candidate is retained if the divergence of its next tokens from
-those of its suffix gains more nats than its entries cost.  A distribution is smoothed by that of the
-longest retained suffix, which gets what the entries leave and a discount of each; the root is the
+to ``DEPTH`` tokens before the next one.  Contexts seen at least ``LEAST_COUNT`` times in training
+are candidates, and next tokens seen at least ``ENTRY_COUNT`` times after them are counted one by
+one, so the tree grows with the corpus.  A candidate is retained if the divergence of its next tokens
+from those of its suffix gains more nats than its entries cost.  A distribution is smoothed by that of
+the longest retained suffix, which gets what the entries leave and a discount of each; the root is the
 smoothed unigram distribution of all words.  A token is scored by the longest retained context
 before it.
 
-Every token's root probability depends on the word alone: that of frequent words (bounded by their
-share) is known in the tasks that read the texts, that of all others comes by a join on the word.
+The tree is never held in one place.  Contexts, entries and their probabilities are Spark tables; a
+context is as frequent as the sequence that ends with its last token, so each length gives the
+candidates of the next.  All retained contexts before a token lie on one path to the root, so its
+log10 probability is a sum over them: of what a context leaves to its suffix, and, for an entry, of
+what the entry changes.  A document's score is thus a sum of weights of its token sequences.  Weights
+of frequent sequences (bounded by their share) are known in the tasks that read the texts, those of
+all others come by a join on the sequence.  A bit table of fixed size keeps out sequences that have
+no weight; a bit hit by chance only sends a row to a join that finds nothing.
 """
 
 from __future__ import annotations
@@ -19,8 +24,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from functools import partial
-from math import log, log10
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -28,21 +33,27 @@ from pyspark.sql import functions as F
 
 from repoweave.llm.common import arrow_schema, lower_ascii, slices, stored, words_of
 
-DEPTH = 2
-LEAST = 1e-4
-ENTRY = 1e-5
+DEPTH = 3
+LEAST_COUNT = 20.0
+ENTRY_COUNT = 2.0
+#: Shares of all training tokens that a context and an entry must hold besides; none, at any size.
+LEAST = 0.0
+ENTRY = 0.0
 #: Nats that a context must gain beyond half the logarithm of its count for each entry.
 DIVERGENCE = 5.0
 #: Taken off the count of every entry and given to the suffix.
 DISCOUNT = 0.5
-#: Share of all tokens from which on a word counts as frequent; at most 1 / FREQUENT words are.
+#: Share of all tokens from which on a sequence is frequent; at most 1 / FREQUENT of a length are.
 FREQUENT = 1 / 131_072
 FOLDS = 10
 #: Counts a task holds before it passes them on.
 HELD_WORDS = 300_000
+#: Logarithm of the number of bits in a table that sequences are tested against.
+SIEVE = 27
+_SEED = 42
 
 _COUNTS = "word string, train long, total long"
-_GRAMS = "context long, next long, n long"
+_GRAMS = "context string, next string, n long"
 _PARTS = "row long, doc_id long, word string, n long, n_tokens long, n_known long, base double, gain double"
 
 
@@ -95,7 +106,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class SuffixTree:
-    """Retained contexts (tuples of token numbers, the last token last) and their next tokens."""
+    """Probabilities in memory as the tables have them: retained contexts (tuples of token numbers,
+    the last token last) and their next tokens."""
 
     def __init__(self, root: list[float]):
         #: Probability of each numbered token by the root; number 0 stands for all others.
@@ -118,134 +130,144 @@ class SuffixTree:
             context = context[1:]
         return context
 
-    def divergence(self, context: tuple, entries: dict[int, int], total: int) -> float:
-        """Nats gained over the suffix by telling the entries apart, less what they cost."""
-        below, gain, rest, share = self.suffix(context), 0.0, total, 1.0
-        for token, n in entries.items():
-            q = self.probability(below, token)
-            gain += n * log(n / total / q)
-            rest, share = rest - n, share - q
-        if rest > 0 and share > 0:
-            gain += rest * log(rest / total / share)
-        return gain - 0.5 * len(entries) * log(total)
-
     def retain(self, context: tuple, entries: dict[int, int], total: int) -> None:
         taken = sum(max(0.0, n - DISCOUNT) for n in entries.values())
         self.entries[context], self.totals[context] = entries, total
         self.left[context] = 1 - taken / total
 
 
-class Gains:
-    """log10 of a token's probability by the longest retained context over that by the root."""
+def _sieve(keys: DataFrame) -> Broadcast:
+    """Bits that the hashes of the only column of ``keys`` set, as words of 64 in a broadcast."""
+    bit = F.shiftrightunsigned(F.xxhash64(F.col(keys.columns[0])), 64 - SIEVE)
+    words = (
+        keys.select(bit.alias("bit"))
+        .select(F.shiftright("bit", 6).alias("at"), F.expr("shiftleft(1L, int(bit & 63))").alias("bits"))
+        .groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    )
+    table = np.zeros(1 << (SIEVE - 6), np.int64)
+    table[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+
+def _passed(sieve: np.ndarray, keys: list[bytes]) -> list[bool]:
+    from xxhash import xxh64_intdigest
 
-    def __init__(self, tree: SuffixTree):
-        self.tree, self.known = tree, {}
-        self.depths = sorted({len(c) for c in tree.entries}, reverse=True)
+    bit = np.array([xxh64_intdigest(k, _SEED) for k in keys], np.uint64) >> np.uint64(64 - SIEVE)
+    return (sieve[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool).tolist()
 
-    def of(self, tokens: list[int]) -> float:
-        total, contexts = 0.0, self.tree.entries
-        for i, token in enumerate(tokens):
-            for depth in self.depths:
-                context = tuple(tokens[i - depth : i]) if depth <= i else None
-                if context in contexts:
-                    gain = self.known.get((context, token))
-                    if gain is None:
-                        gain = self.known[(context, token)] = self._gain(context, token)
-                    total += gain
-                    break
-        return total
 
-    def _gain(self, context: tuple, token: int) -> float:
-        if token:
-            return log10(self.tree.probability(context, token) / self.tree.root[token])
-        share = 1.0  # a token without a number is no entry anywhere
-        while context:
-            share *= self.tree.left[context]
-            context = self.tree.suffix(context)
-        return log10(share)
+def _sequences(tokens: list[bytes], length: int) -> list[bytes]:
+    """All runs of ``length`` tokens; words hold no blank, and the end is empty."""
+    if length == 1:
+        return tokens
+    return list(map(b" ".join, zip(*(tokens[i:] for i in range(length)), strict=False)))
 
 
-def _count_grams(batches, numbers: Broadcast, contexts: Broadcast, depth: int, base: int, schema: pa.Schema):
-    number, wanted, grams = numbers.value, contexts.value, Counter()
+def _count_grams(batches, contexts: Broadcast, depth: int, schema: pa.Schema):
+    sieve, grams = contexts.value, Counter()
 
     def flush():
-        keys = list(grams)
-        out = _batch(schema, [k // base for k in keys], [k % base for k in keys], [grams[k] for k in keys])
+        keys = [k.rpartition(b" ") for k in grams]
+        counts = list(grams.values())
         grams.clear()
-        return out
+        at = [i for i, ok in enumerate(_passed(sieve, [k[0] for k in keys])) if ok]
+        return _batch(schema, [keys[i][0].decode() for i in at], [keys[i][2].decode() for i in at], [counts[i] for i in at])
 
     for batch in batches:
         for _, doc, words in _texts(batch):
             if held_out(doc):
                 continue
-            tokens = [number.get(w, 0) for w in words]
-            tokens.append(number.get(b"", 0))
-            context = tokens
-            for d in range(1, depth):
-                context = [a * base + b for a, b in zip(context, tokens[d:], strict=False)]
-            grams.update(c * base + x for c, x in zip(context, tokens[depth:], strict=False) if c in wanted)
+            words.append(b"")
+            grams.update(_sequences(words, depth + 1))
             if len(grams) >= HELD_WORDS:
                 yield flush()
     if grams:
         yield flush()
 
 
-def learn(docs: DataFrame, numbers: dict[bytes, int], root: list[float], n: int, depth: int = DEPTH) -> SuffixTree:
-    """The tree of the training documents, one pass over them for each length of context.
+def learn(docs: DataFrame, scored: DataFrame, n: int, depth: int = DEPTH) -> DataFrame:
+    """Weights (word, n, gain) of the sequences of training documents, one pass for each length.
 
-    The driver gets candidate contexts and their entries alone, at most 1 / LEAST and 1 / ENTRY of
-    each length.  An entry's own token holds the share ENTRY too, and a candidate's suffix and
-    beginning the share LEAST, so no count that matters is missed by numbering frequent tokens only.
+    ``scored`` has word, train and base.  A sequence's gain is what it leaves to its suffix as a
+    context, if it is retained, and what its last token changes as an entry of the tokens before.
+    An entry's count is no larger than that of the same token after the suffix, so the suffix of a
+    candidate is a candidate and every entry finds its probability by the suffix one length below.
     """
-    spark, tree, base = docs.sparkSession, SuffixTree(root), len(root)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    shared = spark.sparkContext.broadcast(numbers)
-    least, entry = max(20.0, LEAST * n), max(2.0, ENTRY * n)
-    wanted = set(range(1, base))
+    least, entry = max(LEAST_COUNT, LEAST * n), max(ENTRY_COUNT, ENTRY * n)
+    below = scored.select(F.lit("").alias("suffix"), F.col("word").alias("next"), F.pow(F.lit(10.0), "base").alias("q"))
+    contexts = scored.where((F.col("word") != "") & (F.col("train") >= least)).select(
+        F.col("word").alias("context"), F.col("train").alias("total")
+    )
+    weights = scored.select("word", F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("gain")).limit(0)
     for length in range(1, depth + 1):
+        contexts = stored(contexts, "contexts")
+        if contexts.isEmpty():
+            break
         count = partial(
-            _count_grams, numbers=shared, contexts=spark.sparkContext.broadcast(wanted), depth=length, base=base,
-            schema=arrow_schema(_GRAMS),
+            _count_grams, contexts=_sieve(contexts.select("context")), depth=length, schema=arrow_schema(_GRAMS)
         )
         grams = rows.mapInArrow(count, _GRAMS).groupBy("context", "next").agg(F.sum("n").alias("n"))
-        grams = stored(grams, "grams")
-        totals = grams.groupBy("context").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
-        total = {r["context"]: r["total"] for r in totals.collect()}
-        entries: dict[int, dict[int, int]] = {c: {} for c in total}
-        counted = grams.join(F.broadcast(totals), "context", "left_semi")
-        for r in counted.where((F.col("n") >= entry) & (F.col("next") > 0)).collect():
-            entries[r["context"]][r["next"]] = r["n"]
-        for code in sorted(total):
-            context, c = (), code
-            for _ in range(length):
-                context, c = (c % base, *context), c // base
-            if entries[code] and tree.divergence(context, entries[code], total[code]) >= DIVERGENCE:
-                tree.retain(context, entries[code], total[code])
-        # Longer candidates extend a candidate of this length by one token.
-        wanted = {c * base + x for c, own in entries.items() for x, k in own.items() if k >= least}
-        if not wanted:
-            break
-    return tree
+        # A context of one word has the root below it.
+        suffix = F.lit("") if length == 1 else F.expr("substr(context, locate(' ', context) + 1)")
+        on = ["next"] if length == 1 else ["suffix", "next"]
+        counted = grams.where(F.col("n") >= entry).join(contexts, "context").withColumn("suffix", suffix)
+        counted = stored(
+            counted.join(below.select(*on, "q"), on).select("context", "next", "n", "total", "q"), "grams"
+        )
+        sums = counted.groupBy("context", "total").agg(
+            F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain"),
+            F.sum("n").alias("taken"), F.sum("q").alias("share"), F.count(F.lit(1)).alias("entries"),
+            F.sum(F.greatest(F.lit(0.0), F.col("n") - DISCOUNT)).alias("own"),
+        )
+        rest, share = F.col("total") - F.col("taken"), 1 - F.col("share")
+        others = F.when((rest > 0) & (share > 0), rest * F.log(rest / F.col("total") / share)).otherwise(0.0)
+        gain = F.col("gain") + others - 0.5 * F.col("entries") * F.log("total")
+        states = stored(
+            sums.where(gain >= DIVERGENCE).select("context", "total", (1 - F.col("own") / F.col("total")).alias("left")),
+            "states",
+        )
+        own = F.greatest(F.lit(0.0), F.col("n") - DISCOUNT) / F.col("total") + F.col("left") * F.col("q")
+        entries = stored(
+            counted.join(states.select("context", "left"), "context", "left").select(
+                "context", "next", "n", F.coalesce(own, "q").alias("p"), F.log10(own / F.col("left") / F.col("q")).alias("gain")
+            ),
+            "entries",
+        )
+        whole = F.concat_ws(" ", "context", "next")
+        weights = weights.unionByName(
+            states.select(F.col("context").alias("word"), F.col("total").alias("n"), F.log10("left").alias("gain"))
+        ).unionByName(entries.where("gain is not null").select(whole.alias("word"), "n", "gain"))
+        below = entries.select(F.col("context").alias("suffix"), "next", F.col("p").alias("q"))
+        contexts = entries.where((F.col("next") != "") & (F.col("n") >= least)).select(
+            whole.alias("context"), F.col("n").alias("total")
+        )
+    return weights
 
 
-def _score_texts(batches, frequent: Broadcast, tree: Broadcast, schema: pa.Schema):
-    known, gains, names = frequent.value, Gains(tree.value), schema.names
+def _score_texts(batches, frequent: Broadcast, sieve: Broadcast, depth: int, schema: pa.Schema):
+    known, bits, names = frequent.value, sieve.value, schema.names
     for batch in batches:
         out = {n: [] for n in names}
         for row, doc, words in _texts(batch):
             words.append(b"")
-            base, seen, rare, tokens = 0.0, 0, [], []
-            for w in words:
-                hit = known.get(w)
-                if hit is None:
-                    rare.append(w)
-                    tokens.append(0)
-                else:
-                    seen += hit[0]
-                    base += hit[1]
-                    tokens.append(hit[2])
-            parts = [(row, doc, None, 0, len(words), seen, base, gains.of(tokens))]
-            parts += [(row, doc, w.decode(), n, 0, 0, 0.0, 0.0) for w, n in Counter(rare).items()]
+            base, gain, seen, rare = 0.0, 0.0, 0, {}
+            for length in range(1, depth + 2):
+                others = {}
+                for w, n in Counter(_sequences(words, length)).items():
+                    hit = known.get(w)
+                    if hit is None:
+                        others[w] = n
+                    else:
+                        seen += n * hit[0]
+                        base += n * hit[1]
+                        gain += n * hit[2]
+                if others and length > 1:
+                    passed = _passed(bits, list(others))
+                    others = {w: n for (w, n), ok in zip(others.items(), passed, strict=True) if ok}
+                rare |= others
+            parts = [(row, doc, None, 0, len(words), seen, base, gain)]
+            parts += [(row, doc, w.decode(), n, 0, 0, 0.0, 0.0) for w, n in rare.items()]
             for name, values in zip(names, zip(*parts, strict=True), strict=True):
                 out[name].extend(values)
             if len(out["row"]) >= 100_000:
@@ -277,24 +299,30 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         ),
         "scored-words",
     )
-    # Shares of all tokens add up to one, so these are at most 1 / FREQUENT + 1 / ENTRY rows.
-    numbered = F.col("train") >= max(2.0, ENTRY * n)
-    top = scored.where(numbered | (F.col("total") >= max(1.0, FREQUENT * everything)))
-    frequent, numbers, root = {}, {}, [0.0]
-    for r in top.withColumn("numbered", numbered).orderBy("word").collect():
-        word = r["word"].encode()
-        if r["numbered"]:
-            numbers[word] = len(root)
-            root.append(10.0 ** r["base"])
-        frequent[word] = (r["known"], r["base"], numbers.get(word, 0))
-    root[0] = max(1e-12, 1 - sum(root[1:]))
-    tree = spark.sparkContext.broadcast(learn(docs, numbers, root, n, depth))
+    learned = learn(docs, scored, n, depth).withColumn("known", F.lit(0).cast("bigint")).withColumn("base", F.lit(0.0))
+    plain = scored.select("word", F.col("total").alias("n"), F.lit(0.0).alias("gain"), "known", "base")
+    # A sequence can have a weight as a word, as a context and as an entry; its count is that of all.
+    weights = stored(
+        learned.unionByName(plain).groupBy("word").agg(
+            F.max("n").alias("n"), F.sum("gain").alias("gain"), F.sum("known").alias("known"), F.sum("base").alias("base")
+        ),
+        "weights",
+    )
+    # Shares of all tokens add up to one for each length, so these are at most 1 / FREQUENT rows of each.
+    top = F.col("n") >= max(1.0, FREQUENT * everything)
+    frequent = {
+        r["word"].encode(): (r["known"], r["base"], r["gain"])
+        for r in weights.where(top).select("word", "known", "base", "gain").collect()
+    }
+    rest = weights.where(~top)
     hot = spark.sparkContext.broadcast(frequent)
+    sieve = _sieve(rest.where("contains(word, ' ')").select("word"))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"
     )
-    parts = rows.mapInArrow(partial(_score_texts, frequent=hot, tree=tree, schema=arrow_schema(_PARTS)), _PARTS)
-    rare = scored.select("word", "known", F.col("base").alias("w_base"))
+    score = partial(_score_texts, frequent=hot, sieve=sieve, depth=depth, schema=arrow_schema(_PARTS))
+    parts = rows.mapInArrow(score, _PARTS)
+    rare = rest.select("word", "known", F.col("base").alias("w_base"), F.col("gain").alias("w_gain"))
     joined = parts.join(rare, "word", "left")
 
     def whole(part: str, each: str):
@@ -302,7 +330,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     sums = joined.groupBy("row", "doc_id").agg(
         F.sum("n_tokens").alias("n_tokens"), whole("n_known", "known").alias("n_known"),
-        whole("base", "w_base").alias("base_score"), F.sum("gain").alias("gain"),
+        whole("base", "w_base").alias("base_score"), whole("gain", "w_gain").alias("gain"),
     )
     text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     return sums.select(

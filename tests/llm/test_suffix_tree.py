@@ -106,3 +106,16 @@ def test_held_out_documents_are_likelier_than_by_single_words(spark):
 
 def test_no_rows(empty):
     assert S.score_documents(empty).collect() == []
+
+
+def test_the_tree_grows_with_the_corpus_and_needs_no_frequent_words(spark, monkeypatch):
+    """A context of a few dozen occurrences counts in any corpus, also where every weight comes by the join."""
+    filler = [(i, " ".join(f"w{(i * 31 + j * j) % 4999}" for j in range(2000))) for i in range(200)]
+    rare = [(1000 + i, "quartz lantern drifts over") for i in range(60)]
+    docs = spark.createDataFrame(filler + rare, "doc_id long, text string").repartition(4)
+    want, tree = brute([r.asDict() for r in docs.collect()], S.DEPTH)
+    assert ("quartz",) in tree and S.DEPTH >= 3 and S.LEAST == S.ENTRY == 0
+    for share in (S.FREQUENT, 1.0):
+        monkeypatch.setattr(S, "FREQUENT", share)
+        got = {r["doc_id"]: r["score"] for r in S.score_documents(docs).collect()}
+        assert got == pytest.approx({d: v[0][-1] for d, v in want.items()}, rel=1e-9)
