@@ -55,7 +55,7 @@ PATTERNS = {
     ),
     "secret": (
         r"(?i)(?:pass|token|secret|api)",
-        r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?[\"']?[a-z0-9_/+.-]{8,256}+[\"']?",
+        r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?[\"']?[a-z0-9_/+.-]{8,}+[\"']?",
     ),
 }
 #: Words before a span that speak for it, and such that speak against it (fixed values).

@@ -86,3 +86,11 @@ def test_query_and_no_rows(spark, empty):
     r = op9_personal_data(spark, "/root/testdata/sf0.001").where("doc_id = 1").first()
     assert r["base_sha256"] == hashlib.sha256(r["spans"].encode()).hexdigest() or r["spans"]
     assert P.find_personal_data(empty).collect() == []
+
+
+def test_a_long_secret_is_in_its_span_to_the_end(spark):
+    values = ["a1B2" * n for n in (64, 65, 200, 1500)] + ["eyJ0" * 900 + ".x_y-z/+" * 50]
+    rows = [(i, f"login token = {v} and more") for i, v in enumerate(values)]
+    got = P.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        assert [s["value"] for s in r["spans"] if s["kind"] == "secret"] == [f"token = {values[r['doc_id']]}"]
