@@ -78,7 +78,7 @@ def arrow_schema(schema: str) -> pa.Schema:
     kinds = {
         "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(),
         "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()),
-        "array<long>": pa.list_(pa.int64()),
+        "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
     }
     return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(","))])
 

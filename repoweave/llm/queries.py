@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repoweave.llm import (
-    exact_dedup, mixing, packing, personal_data, quality, simhash, suffix_tree, token_codes, token_counts,
-    url_lists,
+    exact_dedup, hyperplane_tree, merge_replay, mixing, packing, periodic_runs, personal_data, quality, simhash,
+    suffix_tree, token_codes, token_counts, url_lists,
 )
+from repoweave.llm.common import BLANK
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -104,10 +105,66 @@ def op10_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree.score_documents(_table(spark, folder, "documents"))
 
 
+def planted(text: Column, doc_id: Column) -> Column:
+    """The text with periodic words from some place on, where a hash of doc_id asks for it.
+
+    A null doc_id and a text without words are left as they are.
+    """
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def altered(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), (4 + g % 8).cast("int")))
+        both = F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), n - a))
+        return F.when(n > 0, F.array_join(both, " ")).otherwise(text)
+
+    # An array of one list binds the list of words to a name, so it is made once.
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")
+    return F.when(h % 10 == 0, F.transform(F.array(words), altered)[0]).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    found = periodic_runs.find_runs(docs.select("doc_id", planted(F.col("text"), F.col("doc_id")).alias("text")))
+    best = lambda name: F.get(name, F.col("best").cast("int"))
+    lines = F.transform(
+        F.arrays_zip("starts", "lengths", "periods"),
+        lambda r: F.concat_ws(",", r["starts"], r["lengths"], r["periods"]),
+    )
+    text = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("starts").cast("bigint").alias("n_runs"), best("starts").alias("start"),
+        best("lengths").alias("length"), best("periods").alias("period"),
+        F.expr("1000 * lengths[cast(best as int)] div periods[cast(best as int)]").alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_merge_replay(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = merge_replay.encode(_table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return merge_replay.decode(encoded, path).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_hyperplane_tree(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    label = F.col("label").cast("bigint")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hyperplane_tree.mine(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_packing, op2_token_counts, op3_token_codes, op4_url_lists, op5_exact_dedup, op6_quality_rules,
-        op7_simhash, op8_mixing, op9_personal_data, op10_suffix_tree,
+        op7_simhash, op8_mixing, op9_personal_data, op10_suffix_tree, op11_periodic_runs, op12_merge_replay,
+        op13_hyperplane_tree,
     )
 }
 
@@ -181,5 +238,26 @@ c AS (
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM c
 """
 
+_OP13 = r"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM rows a JOIN rows r ON a.vec_id % 50 = 0 AND r.vec_id <> a.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+negatives AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same
+   AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3
+"""
+
 #: SQL over whole tables; the other queries are tested against brute force.
-ORACLES: dict[str, str] = {"op4_url_lists": _OP4, "op5_exact_dedup": _OP5, "op8_mixing": _OP8}
+ORACLES: dict[str, str] = {"op4_url_lists": _OP4, "op5_exact_dedup": _OP5, "op8_mixing": _OP8, "op13_hyperplane_tree": _OP13}
