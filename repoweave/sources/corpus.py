@@ -51,6 +51,8 @@ def scan_tree(
                     found = [f for f in found if not os.path.islink(f.path)]
                 # Pipes, sockets and devices would block a reader.
                 found = [f for f in found if f.type in (fs.FileType.File, fs.FileType.Directory)]
+                if not found:
+                    continue
                 yield pd.DataFrame({
                     "at": [f.path for f in found],
                     "is_directory": [f.type == fs.FileType.Directory for f in found],
