@@ -10,6 +10,7 @@ would be copied again at every step.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -124,6 +125,12 @@ def _rewritten(text: Column, matches: Column, pattern: Column) -> Column:
     return F.array_join(F.transform(F.split(text, pattern["regex"], -1), put_back), "")
 
 
+def _places(text: Column, wanted: Callable[[Column], Column]) -> Column:
+    """Numbers, from 0, of the characters that are wanted, in one pass over the text."""
+    numbered = F.transform(F.split(text, ""), lambda c, i: F.when(wanted(c), i))
+    return F.filter(numbered, lambda i: i.isNotNull())
+
+
 def _positions(text: Column, pattern: Column) -> Column:
     """``array<struct<line, column>>`` of the match starts.
 
@@ -135,16 +142,11 @@ def _positions(text: Column, pattern: Column) -> Column:
     marked = F.regexp_replace(unmarked, pattern["regex"], F.lit(MARK + "$0"))
 
     def in_line(line: Column, i: Column) -> Column:
-        return let(
-            F.split(line, MARK, -1),
-            lambda pieces: F.transform(
-                F.sequence(F.lit(1), F.size(pieces) - 1),
-                lambda k: F.struct(
-                    (i + 1).cast("bigint").alias("line"),
-                    F.aggregate(
-                        F.slice(pieces, F.lit(1), k), F.lit(1), lambda n, p: n + F.length(p)
-                    ).cast("bigint").alias("column"),
-                ),
+        # The marks before a mark are not in the text itself.
+        return F.transform(
+            _places(line, lambda c: c == MARK),
+            lambda at, nth: F.struct(
+                (i + 1).cast("bigint").alias("line"), (at - nth + 1).cast("bigint").alias("column")
             ),
         )
 
@@ -201,19 +203,18 @@ def is_env_file(path: Text = "path") -> Column:
     return column(path).contains(fixed.ENV_FILE_PART) | ends_with_any(path, fixed.ENV_FILE_SUFFIXES)
 
 
-LINE_ENDS = r"\n\r\x{2028}\x{2029}"
+OTHER_ENDS = r"\r\x{2028}\x{2029}"
+LINE_ENDS = r"\n" + OTHER_ENDS
 ENV_LINE = rf"^([A-Za-z0-9_]+)=(?:['\"]([^{LINE_ENDS}]*)['\"]|([^{LINE_ENDS}]*))[{LINE_ENDS}]?\z"
 
 
-def _env_line(line: Column, i: Column, lines: Column) -> Column:
+def _env_line(line: Column, number: Column, start: Column) -> Column:
     """One line of an environment file with its end: its new text and, where redacted, its finding.
 
     Any of four characters ends a line.  A finding counts lines by line feeds alone, and columns from
-    the last of them, as the other patterns do.
+    the last of them, as the other patterns do: ``number`` and ``start`` are those of the line's first
+    character, from 0.
     """
-    before = F.array_join(F.slice(lines, F.lit(1), i), "")
-    feeds = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
-    in_line = F.length(F.substring_index(before, "\n", -1))
     name = F.regexp_extract(line, ENV_LINE, 1)
     value = F.concat(F.regexp_extract(line, ENV_LINE, 2), F.regexp_extract(line, ENV_LINE, 3))
 
@@ -227,8 +228,8 @@ def _env_line(line: Column, i: Column, lines: Column) -> Column:
         )
         finding = F.struct(
             F.lit("env").alias("pattern"),
-            (feeds + 1).cast("bigint").alias("line"),
-            (in_line + F.length(x["name"]) + 1).cast("bigint").alias("column"),
+            (number + 1).cast("bigint").alias("line"),
+            (start + F.length(x["name"]) + 1).cast("bigint").alias("column"),
             F.lit(fixed.ENV_TYPE).alias("type"),
             preview(x["value"]).alias("preview"),
         )
@@ -243,9 +244,28 @@ def _env_line(line: Column, i: Column, lines: Column) -> Column:
 
 def _apply_env(state: Column) -> Column:
     """Redact the ``NAME=value`` lines with a sensitive name."""
-    parts = F.split(state["content"], rf"(?<=[{LINE_ENDS}])", -1)
+    def lines_between(feeds: Column, number: Column, count: Column) -> Column:
+        """What lies between two line feeds: lines that the other characters end, and the feed after them."""
+        pieces = F.split(feeds, rf"(?<=[{OTHER_ENDS}])", -1)
+        none = F.array().cast("array<int>")
+        ends = F.when(feeds.rlike(f"[{OTHER_ENDS}]"), _places(feeds, lambda c: c.rlike(f"[{OTHER_ENDS}]"))).otherwise(none)
+        feed = F.when(number < count - 1, F.lit("\n")).otherwise(F.lit(""))
+        return let(
+            F.struct(pieces.alias("pieces"), ends.alias("ends"), feed.alias("feed")),
+            lambda x: F.transform(
+                x["pieces"],
+                lambda piece, k: _env_line(
+                    F.concat(piece, F.when(k == F.size(x["pieces"]) - 1, x["feed"]).otherwise(F.lit(""))),
+                    number, F.coalesce(F.get(x["ends"], k - 1) + 1, F.lit(0)),
+                ),
+            ),
+        )
+
     return let(
-        let(parts, lambda lines: F.transform(lines, lambda line, i: _env_line(line, i, lines))),
+        let(
+            F.split(state["content"], "\n", -1),
+            lambda rows: F.flatten(F.transform(rows, lambda row, i: lines_between(row, i, F.size(rows)))),
+        ),
         lambda lines: F.struct(
             F.array_join(F.transform(lines, lambda x: x["text"]), "").alias("content"),
             F.concat(
