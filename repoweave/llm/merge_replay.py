@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
+from array import array
 from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
 
@@ -27,8 +28,8 @@ from repoweave.llm.common import map_texts
 
 #: Pieces that a worker remembers before it forgets those not met since (twice as many at most).
 KEPT_PIECES = 300_000
-#: Bytes above which a piece is not remembered.
-KEPT_BYTES = 48
+#: Characters above which a piece is not remembered.
+KEPT_LENGTH = 48
 
 _ENCODED = "_row long, doc_id long, ids array<int>"
 
@@ -40,7 +41,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Splitter:
-    """Matches of a pattern for the rank files' library, as bytes.
+    """Matches of a pattern as the rank files' library finds them.
 
     Letters and numbers newer than that library's Unicode tables count as other characters there;
     they are found by asking it and stand aside while the pattern is matched.
@@ -53,9 +54,9 @@ class Splitter:
         newer = self._newer(pattern, regex)
         self.newer = frozenset(newer)
         self.aside = dict.fromkeys(map(ord, newer), "\uffff")
-        # In ASCII texts, letters, numbers and blanks are these, for bytes as well.
+        # In ASCII texts, letters, numbers and blanks are these.
         plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
-        self.plain = re.compile(plain.encode()) if r"\p" not in plain else None
+        self.plain = re.compile(plain, re.ASCII) if r"\p" not in plain else None
 
     @staticmethod
     def _newer(pattern: str, regex) -> list[str]:
@@ -72,14 +73,12 @@ class Splitter:
         probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         return [c for c in asked if len(probe.encode_ordinary("!" + c)) == 1]
 
-    def cut(self, text: bytes) -> list[bytes]:
+    def cut(self, text: str) -> list[str]:
         if self.plain and text.isascii():
             return self.plain.findall(text)
-        whole = text.decode()
-        if not self.newer.isdisjoint(whole):
-            spans = [m.span() for m in self.pattern.finditer(whole.translate(self.aside))]
-            return [whole[a:b].encode() for a, b in spans]
-        return [m.encode() for m in self.pattern.findall(whole)]
+        if not self.newer.isdisjoint(text):
+            return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.aside))]
+        return self.pattern.findall(text)
 
 
 class Merges:
@@ -88,13 +87,15 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.width = ranks, max(ranks.values()) + 1
         self.bytes = [ranks[bytes([b])] for b in range(256)]
-        #: Rank by left * width + right.
-        self.pairs: dict[int, int] = {}
+        #: For a token, ranks by the token after it and by the token before it.
+        self.after: dict[int, dict[int, int]] = {}
+        self.before: dict[int, dict[int, int]] = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left * self.width + right] = rank
+                    self.after.setdefault(left, {})[right] = rank
+                    self.before.setdefault(right, {})[left] = rank
         #: The same for pairs of bytes, by their values; the width stands for none.
         self.first = np.full(1 << 16, self.width, np.int64)
         for a in range(256):
@@ -110,7 +111,7 @@ class Merges:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         ends = np.cumsum(sizes)
-        n, none, width, pairs = len(flat), self.width, self.width, self.pairs
+        n, none, nothing = len(flat), self.width, {}
         last, begin = ends[sizes > 0] - 1, (ends - sizes)[sizes > 0]
         held = np.full(n, none, np.int64)
         held[:-1] = self.first[flat[:-1] << 8 | flat[1:]]
@@ -126,30 +127,33 @@ class Merges:
         held, after, before = held.tolist(), after.tolist(), before.tolist()
         queue = list(index)
         heapify(queue)
-        find = pairs.get
         while queue:
             rank = heappop(queue)
+            with_next = self.after.get(rank, nothing).get
+            with_last = self.before.get(rank, nothing).get
             for i in sorted(index.pop(rank)):
                 if held[i] != rank:
                     continue  # an earlier merge took one of the two
                 j = after[i]
                 k = after[j]
-                token[i], after[i], held[j] = rank, k, none
-                found = none
+                token[i], after[i], held[j], held[i] = rank, k, none, none
                 if k >= 0:
                     before[k] = i
-                    found = find(rank * width + token[k], none)
-                    if found != none:
+                    found = with_next(token[k])
+                    if found is not None:
+                        held[i] = found
                         if found in index:
                             index[found].append(i)
                         else:
                             index[found] = [i]
                             heappush(queue, found)
-                held[i] = found
                 h = before[i]
                 if h >= 0:
-                    found = held[h] = find(token[h] * width + rank, none)
-                    if found != none:
+                    found = with_last(token[h])
+                    if found is None:
+                        held[h] = none
+                    else:
+                        held[h] = found
                         if found in index:
                             index[found].append(h)
                         else:
@@ -165,38 +169,52 @@ class Merges:
         return out
 
 
+class Remembered(dict):
+    """Ids of pieces met since the last change of generation; asking for another piece adds it.
+
+    A piece that no generation knows gets empty ids, which are in ``new`` to be filled.
+    """
+
+    def __init__(self, older: dict[str, bytes]):
+        self.older, self.new = older, {}
+
+    def __missing__(self, piece: str):
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.new[piece] = bytearray()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts; remembers those of short pieces."""
 
     def __init__(self, path: str, pattern: str, kept: int = KEPT_PIECES):
         self.merges, self.splitter, self.kept = Merges(load_ranks(path)), Splitter(pattern), kept
-        self.recent: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.recent = Remembered({})
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        pieces = [self.splitter.cut(t) for t in texts]
-        found = [list(map(self.recent.get, p)) for p in pieces]
-        missing = {piece for p, ids in zip(pieces, found, strict=True) if None in ids for piece, x in zip(p, ids, strict=True) if x is None}
-        fresh = {p: self.older[p] for p in missing if p in self.older}
-        new = []
-        for p in missing - fresh.keys():
+        known = self.recent
+        found = [list(map(known.__getitem__, self.splitter.cut(t.decode()))) for t in texts]
+        new, known.new = known.new, {}
+        merged = []
+        for piece, ids in new.items():
             # A piece that is a token is that token.
-            rank = self.merges.ranks.get(p)
+            data = piece.encode()
+            rank = self.merges.ranks.get(data)
             if rank is None:
-                new.append(p)
+                merged.append((piece, data))
             else:
-                fresh[p] = np.int32(rank).tobytes()
-        for p, ids in zip(new, self.merges.replay(new), strict=True):
-            fresh[p] = np.array(ids, "<i4").tobytes()
-        out = []
-        for p, ids in zip(pieces, found, strict=True):
-            if None in ids:
-                ids = [fresh[piece] if x is None else x for piece, x in zip(p, ids, strict=True)]
-            out.append(np.frombuffer(b"".join(ids), "<i4"))
-        self.recent.update((p, ids) for p, ids in fresh.items() if len(p) <= KEPT_BYTES)
-        if len(self.recent) > self.kept:
-            self.recent, self.older = {}, self.recent
-        return out
+                known[piece] = ids[:] = array("i", (rank,)).tobytes()
+        for (piece, _), numbers in zip(merged, self.merges.replay([data for _, data in merged]), strict=True):
+            known[piece] = new[piece][:] = array("i", numbers).tobytes()
+        for piece in new:
+            if len(piece) > KEPT_LENGTH:
+                del known[piece]
+        if len(known) > self.kept:
+            known.older = {}
+            self.recent = Remembered(known)
+        return [np.frombuffer(b"".join(ids), np.int32) for ids in found]
 
 
 @lru_cache(maxsize=2)

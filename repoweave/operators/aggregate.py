@@ -202,3 +202,56 @@ def directory_tree(rows: DataFrame) -> DataFrame:
         F.concat(F.lit("  |   |- ... "), (F.col("n") - shown).cast("string"), F.lit(" more directories")).alias("line"),
     )
     return head.unionByName(subs).unionByName(more)
+
+
+def directory_tree_deep(rows: DataFrame, depth: int = fixed.TREE_DEPTH, shown: int = fixed.TREE_CHILDREN) -> DataFrame:
+    """A tree of ``depth`` levels: ``repo_id, key, level, line, files, directories``.
+
+    Sort by repository and key to print.  Below each directory, and at the root, the first ``shown``
+    directories by name are given with the files at or below them and the directories right below
+    them, then a line that counts the others.  Hidden directories and what lies in them are left out.
+
+    Counts are rolled up once from the files; the first children of a directory are a cut by rank, which
+    Spark makes before it shuffles; levels below are kept by a join with the few directories above them.
+    """
+    names = F.filter(paths.directories(), lambda n: n != "")
+    hidden = F.filter(F.transform("_dirs", lambda n, i: F.when(n.startswith("."), i)), lambda i: i.isNotNull())
+    # What lies in a hidden directory counts for the directories above it.
+    visible = F.coalesce(F.get(hidden, F.lit(0)), F.size("_dirs"))
+    levels = F.least("_visible", F.lit(depth + 1))
+    at = (
+        rows.select("repo_id", names.alias("_dirs")).withColumn("_visible", visible).where(F.col("_visible") > 0)
+        .withColumn("level", F.explode(F.sequence(F.lit(1), levels)))
+    )
+    nodes = at.groupBy("repo_id", F.slice("_dirs", F.lit(1), F.col("level")).alias("names")).agg(F.count("*").alias("files"))
+    above = F.slice("names", F.lit(1), F.size("names") - 1)
+    nodes = nodes.select("*", F.size("names").cast("bigint").alias("level"), above.alias("above"))
+    below = nodes.groupBy("repo_id", "above").agg(F.count("*").alias("directories"))
+    by_name = Window.partitionBy("repo_id", "above").orderBy(F.element_at("names", -1))
+    first = nodes.where(F.col("level") <= depth).withColumn("_nth", F.row_number().over(by_name)).where(F.col("_nth") <= shown)
+    first = first.drop("_nth")
+    kept = first.where("level = 1")
+    whole = kept
+    for level in range(2, depth + 1):
+        up = kept.select("repo_id", F.col("names").alias("above"))
+        kept = first.where(F.col("level") == level).join(up, ["repo_id", "above"], "left_semi").select(whole.columns)
+        whole = whole.unionByName(kept)
+    # Names end in a character before all others, so a directory stands before what lies in it.
+    key = lambda dirs: F.array_join(F.transform(dirs, lambda n: F.concat(n, F.lit("\x01"))), "")
+    indent = lambda level: F.concat(F.lit("  "), F.repeat(F.lit("|   "), level.cast("int")))
+    counts = below.select("repo_id", F.col("above").alias("names"), "directories")
+    lines = whole.join(counts, ["repo_id", "names"], "left").select(
+        "repo_id", key("names").alias("key"), "level",
+        F.concat(indent(F.col("level") - 1), F.lit("|- "), F.element_at("names", -1), F.lit("/")).alias("line"), "files",
+        F.coalesce("directories", F.lit(0).cast("bigint")).alias("directories"),
+    )
+    roots = counts.where(F.size("names") == 0).select("repo_id", "names")
+    parents = whole.where(F.col("level") < depth).select("repo_id", "names").unionByName(roots)
+    more = counts.where(F.col("directories") > shown).join(parents, ["repo_id", "names"], "left_semi")
+    level = F.size("names").cast("bigint") + 1
+    rest = more.select(
+        "repo_id", F.concat(key("names"), F.lit(chr(0x10FFFF))).alias("key"), level.alias("level"),
+        F.concat(indent(level - 1), F.lit("|- ... "), (F.col("directories") - shown).cast("string"), F.lit(" more directories")).alias("line"),
+        F.lit(None).cast("bigint").alias("files"), (F.col("directories") - shown).alias("directories"),
+    )
+    return lines.unionByName(rest)

@@ -549,6 +549,21 @@ detected AS MATERIALIZED (SELECT repo_id,
 UNION ALL SELECT repo_id, top, pos, '  |   |- ' || sub || '/' FROM subs WHERE pos <= 5 AND NOT starts_with(sub, '.')
 UNION ALL SELECT repo_id, top, 6, '  |   |- ... ' || (count(*) - 5) || ' more directories' FROM subs GROUP BY repo_id, top HAVING count(*) > 5)""")
     out["directory_tree"] = sql("SELECT * FROM tree", *BASE, *tree)
+    out["directory_tree_deep"] = sql(
+        """SELECT repo_id, array_to_string(list_transform(names, lambda n: n || chr(1)), '') AS key, len(names)::BIGINT AS level,
+  '  ' || repeat('|   ', len(names) - 1) || '|- ' || names[-1] || '/' AS line, files, coalesce(n, 0)::BIGINT AS directories
+FROM shown LEFT JOIN (SELECT repo_id AS r, above AS a, n FROM below) ON repo_id = r AND names = a
+UNION ALL SELECT repo_id, array_to_string(list_transform(above, lambda n: n || chr(1)), '') || chr(1114111), len(above)::BIGINT + 1,
+  '  ' || repeat('|   ', len(above)) || '|- ... ' || (n - 5) || ' more directories', CAST(NULL AS BIGINT), n - 5
+FROM below WHERE n > 5 AND len(above) < 3 AND (len(above) = 0 OR (repo_id, above) IN (SELECT (repo_id, names) FROM shown))""", *BASE,
+        f"""deep AS (SELECT repo_id, list_concat(['area' || size % 3, ['.p', 'p', 'p-', 'q', 'r', 's', 't', 'u'][size % 8 + 1]], dirs) AS d FROM p WHERE NOT {GITIGNORED})""",
+        """seen AS (SELECT repo_id, coalesce(list_min([i FOR i IN range(1, len(d) + 1) IF starts_with(d[i], '.')]) - 1, len(d)) AS v, d FROM deep)""",
+        """nodes AS (SELECT repo_id, d[1:l] AS names, d[1:l - 1] AS above, count(*) AS files FROM seen, range(1, 5) t(l) WHERE l <= v GROUP BY ALL)""",
+        "below AS (SELECT repo_id, above, count(*) AS n FROM nodes GROUP BY ALL)",
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_id, above ORDER BY names[-1]) AS nth FROM nodes WHERE len(names) <= 3)",
+        """shown AS (SELECT * FROM ranked WHERE nth <= 5
+  AND (len(names) < 2 OR (repo_id, names[1:1]) IN (SELECT (repo_id, names) FROM ranked WHERE nth <= 5))
+  AND (len(names) < 3 OR (repo_id, names[1:2]) IN (SELECT (repo_id, names) FROM ranked WHERE nth <= 5)))""")
     out["budget_warnings"] = sql(
         f"""SELECT repo_id, chars, {quarter('chars')} AS tokens, chars > 51200 AS over_size_limit, chars > 60000 AS over_token_limit
 FROM (SELECT repo_id, CAST(sum(chars) AS BIGINT) AS chars FROM elig GROUP BY repo_id)""", *BASE, labels(), eligible())

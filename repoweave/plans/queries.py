@@ -161,6 +161,17 @@ over_files("by_directory", aggregate.by_directory)
 over_files("by_type", aggregate.by_type)
 over_files("directory_levels", aggregate.directory_levels)
 over_files("directory_tree", aggregate.directory_tree)
+
+
+def deeper(files: DataFrame) -> DataFrame:
+    """The files two directories further down, of which there are 3 and 8 by size, one of them hidden."""
+    area = F.concat(F.lit("area"), F.pmod("size", F.lit(3)).cast("string"))
+    part = F.concat(F.element_at(F.array(*map(F.lit, [".p", "p", "p-", "q", "r", "s", "t", "u"])), F.pmod("size", F.lit(8)).cast("int") + 1))
+    return files.select("repo_id", F.concat_ws("/", area, part, "path").alias("path"))
+
+
+over_flow("directory_tree_deep", lambda f, rules: aggregate.directory_tree_deep(
+    deeper(gitignore.with_ignored(f.select(*KEY, "size"), rules).where(~F.col("is_gitignored")))))
 over_files("findings_by_file", lambda f: aggregate.findings_by_file(redact.findings_table(redact.redact(f))))
 over_files("findings_total", lambda f: aggregate.findings_total(redact.redact(f)))
 over_files("findings_report", lambda f: aggregate.findings_report(redact.findings_table(redact.redact(f))))
