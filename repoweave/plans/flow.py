@@ -43,6 +43,13 @@ class Listed(NamedTuple):
 Files = DataFrame | Listed
 
 
+class Packed(NamedTuple):
+    """Documents and, where the options show what was redacted, the lines of the credential report."""
+
+    documents: DataFrame
+    report: DataFrame | None
+
+
 def first_labels(files: DataFrame, opts: PackOptions) -> DataFrame:
     """The facts of every file with the decision that its own row allows."""
     table = facts(files, opts)
@@ -214,9 +221,15 @@ def kept_texts(files: Files, opts: PackOptions, rules: DataFrame | None = None)
 
 def pack_bodies(files: Files, opts: PackOptions, rules: DataFrame | None = None) -> DataFrame:
     """The kept files with their cleaned ``body``; the long form of the documents."""
+    return _rendered(_redacted(files, opts, rules), opts)
+
+
+def _redacted(files: Files, opts: PackOptions, rules: DataFrame | None) -> DataFrame:
     rows = kept_texts(files, opts, rules)
-    if opts.redact_credentials:
-        rows = redact.redact(rows)
+    return redact.redact(rows, opts.patterns) if opts.redact_credentials else rows
+
+
+def _rendered(rows: DataFrame, opts: PackOptions) -> DataFrame:
     return rows.withColumn("body", render.rendered(opts, "summarized"))
 
 
@@ -225,6 +238,19 @@ def pack(files: Files, opts: PackOptions = PackOptions.preset(), rules: DataFram
     return render.documents(pack_bodies(files, opts, rules), opts)
 
 
+def pack_reported(
+    files: Files, opts: PackOptions = PackOptions.preset(security="strict"), rules: DataFrame | None = None
+) -> Packed:
+    """Documents with the credential report of a strict run, from one redaction of the kept files.
+
+    The redacted texts are written once, within the size budget; documents and report read them.
+    """
+    if not (opts.redact_credentials and opts.show_redacted):
+        return Packed(pack(files, opts, rules), None)
+    rows = written(_redacted(files, opts, rules), "redacted")
+    return Packed(render.documents(_rendered(rows, opts), opts), aggregate.report_lines(redact.findings_table(rows)))
+
+
 def pack_parts(files: Files, opts: PackOptions = PackOptions.preset(), rules: DataFrame | None = None) -> DataFrame:
     """The documents as text rows ``repo_id, part, key, pos, text``, with the tree if asked for.
 
@@ -283,11 +309,11 @@ def skip_report(files: Files, opts: PackOptions = PackOptions.preset(), rules: D
 
 def security_report(files: Files, opts: PackOptions = PackOptions.preset(security="strict"), rules: DataFrame | None = None) -> DataFrame:
     """The findings in the files that would be packed."""
-    rows = kept_texts(files, opts, rules)
-    return aggregate.findings_report(redact.findings_table(redact.redact(rows)))
+    rows = redact.redact(kept_texts(files, opts, rules), opts.patterns)
+    return aggregate.findings_report(redact.findings_table(rows))
 
 
 def report_lines(files: Files, opts: PackOptions = PackOptions.preset(security="strict"), rules: DataFrame | None = None) -> DataFrame:
     """The security report with its title, file headings and totals."""
-    findings = redact.findings_table(redact.redact(kept_texts(files, opts, rules)))
+    findings = redact.findings_table(redact.redact(kept_texts(files, opts, rules), opts.patterns))
     return aggregate.report_lines(written(findings, "findings"))

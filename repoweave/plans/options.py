@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, fields
+from dataclasses import dataclass, fields
 
 from repoweave.functions import fixed
+from repoweave.functions.redaction import CredentialPattern
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,8 @@ class PackOptions:
     summarize_large_files: bool = False
     redact_credentials: bool = True
     show_redacted: bool = False
+    # Credential patterns in place of the built-in ones.
+    patterns: tuple[CredentialPattern, ...] | None = None
     respect_gitignore: bool = True
     strict_gitignore: bool = False
     tree: bool = False
@@ -81,7 +84,16 @@ class PackOptions:
         unknown = set(saved) - known
         if unknown:
             raise ValueError(f"unknown options: {sorted(unknown)}")
-        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in saved.items()})
+        values = {k: tuple(v) if isinstance(v, list) else v for k, v in saved.items()}
+        if values.get("patterns") is not None:
+            values["patterns"] = tuple(
+                CredentialPattern(**{k: tuple(v) if isinstance(v, list) else v for k, v in dict(p).items()}) for p in values["patterns"]
+            )
+        return cls(**values)
 
     def to_dict(self) -> dict:
-        return asdict(self)
+        """Plain values that a profile can hold; ``from_dict`` reads them."""
+        plain = {f.name: getattr(self, f.name) for f in fields(self)}
+        if self.patterns is not None:
+            plain["patterns"] = tuple(p._asdict() for p in self.patterns)
+        return plain

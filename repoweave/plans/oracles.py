@@ -649,13 +649,12 @@ FROM (SELECT p.*, {block} AS body FROM p {rendered_from})""", *BASE, summaries()
     out["findings_report"] = sql(
         "SELECT repo_id, path, seq, '  - ' || \"type\" || ' at line ' || line || ':' || \"column\" || ': ' || preview AS entry FROM findings",
         *red, FINDINGS)
-    out["security_report"] = sql(
-        f"""SELECT repo_id, CAST(part AS BIGINT) AS part, path, CAST(seq AS BIGINT) AS seq, entry FROM (
+    report = f"""SELECT repo_id, CAST(part AS BIGINT) AS part, path, CAST(seq AS BIGINT) AS seq, entry FROM (
   SELECT DISTINCT repo_id, 0 AS part, '' AS path, 0 AS seq, '{fixed.REPORT_TITLE}' || {NL} || '{fixed.REPORT_RULE}' AS entry FROM findings
   UNION ALL SELECT DISTINCT repo_id, 1, path, 0, {NL} || 'File: ' || path FROM findings
   UNION ALL SELECT repo_id, 1, path, seq, '  - ' || "type" || ' at line ' || line || ':' || "column" || ': ' || preview FROM findings
-  UNION ALL SELECT repo_id, 2, '', 0, {NL} || '{fixed.REPORT_TOTAL}' || count(*) || {NL} || '{fixed.REPORT_RULE}' FROM findings GROUP BY repo_id)""",
-        *red, FINDINGS)
+  UNION ALL SELECT repo_id, 2, '', 0, {NL} || '{fixed.REPORT_TOTAL}' || count(*) || {NL} || '{fixed.REPORT_RULE}' FROM findings GROUP BY repo_id)"""
+    out["security_report"] = sql(report, *red, FINDINGS)
     out["redact_env_cr"] = sql(
         "SELECT * FROM findings", FILES, f"cr AS (SELECT repo_id, path, replace(content, {NL}, chr(13)) AS content FROM files)",
         redact_start("cr"), env_step("r0", "redacted"), FINDINGS)
@@ -716,6 +715,7 @@ elig AS MATERIALIZED (SELECT * EXCLUDE (n, accepted) FROM (SELECT *, row_number(
   || {notice} || repeat({NL}, 2) || '# PROJECT FILES' || repeat({NL}, 2) || pieces || '---' || {NL} || 'Generated with repoweave.' || {NL} AS document FROM docs""")
     after = (redacted("final"), clean, summaries("clean"), stripped("clean"), pieces)
     out["pack_document"] = sql(document, *pack, *after, recursive=True)
+    out["strict_report"] = sql(report, *pack, redacted("final"), FINDINGS, recursive=True)
     out["pack_document_small_tokens"] = sql(document, *packed(Q.SMALL_TOKENS.token_limit_chars), *after, recursive=True)
     out["budget_warnings_kept"] = sql(
         f"""SELECT repo_id, chars, {quarter('chars')} AS tokens, chars > {Q.SMALL_TOKENS.limit_bytes} AS over_size_limit,

@@ -34,6 +34,7 @@ USER_IGNORE = PackOptions(ignore=("notes/**", "**/k8s*/**"))
 FILE_CAP, PRIORITY_CAP = 30, 20
 CAPPED = PackOptions.preset("code", max_files=20, as_of=sample.AS_OF)
 SMALL_TOKENS = PackOptions.preset("auto", token_limit_chars=20_000, as_of=sample.AS_OF)
+STRICT = PackOptions.preset("auto", security="strict", as_of=sample.AS_OF)
 TREE = PackOptions.preset("code", tree=True, as_of=sample.AS_OF)
 
 QUERIES: dict[str, Query] = {}
@@ -276,6 +277,7 @@ for _pattern in R.PATTERNS:
 
 # ------------------------------------------------------------------- documents ----
 over_flow("pack_document", lambda f, rules: flow.pack(f, AUTO, rules))
+over_flow("strict_report", lambda f, rules: flow.pack_reported(f, STRICT, rules).report)
 over_flow("pack_document_small_tokens", lambda f, rules: flow.pack(f, SMALL_TOKENS, rules))
 over_flow("listing_document", lambda f, rules: flow.listing_documents(f, AUTO, rules))
 over_flow("pack_parts", lambda f, rules: flow.pack_parts(f, TREE, rules))
