@@ -115,6 +115,23 @@ def map_texts(df: DataFrame, make: Callable, schema: str, text: str = "text") ->
     return df.mapInArrow(partial(_run, make=make, text=text, schema=arrow_schema(schema)), schema)
 
 
+class Remembered(dict):
+    """Ids of pieces met since the last change of generation; asking for another piece adds it.
+
+    A piece that no generation knows gets empty ids, which are in ``new`` to be filled.
+    """
+
+    def __init__(self, older: dict[str, bytes]):
+        self.older, self.new = older, {}
+
+    def __missing__(self, piece: str):
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.new[piece] = bytearray()
+        self[piece] = ids
+        return ids
+
+
 def quiet_tokenizers() -> None:
     """One thread for the tokenizers library: Spark's tasks are the parallelism."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

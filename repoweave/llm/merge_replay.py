@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repoweave.llm.common import map_texts
+from repoweave.llm.common import Remembered, map_texts
 
 #: Pieces that a worker remembers before it forgets those not met since (twice as many at most).
 KEPT_PIECES = 300_000
@@ -169,23 +169,6 @@ class Merges:
         return out
 
 
-class Remembered(dict):
-    """Ids of pieces met since the last change of generation; asking for another piece adds it.
-
-    A piece that no generation knows gets empty ids, which are in ``new`` to be filled.
-    """
-
-    def __init__(self, older: dict[str, bytes]):
-        self.older, self.new = older, {}
-
-    def __missing__(self, piece: str):
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self.new[piece] = bytearray()
-        self[piece] = ids
-        return ids
-
-
 class Encoder:
     """Ids of texts; remembers those of short pieces."""
 
