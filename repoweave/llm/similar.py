@@ -1,13 +1,15 @@
 """Near duplicates by similarity: word shingles with a Jaccard similarity of at least a bound.
 
-Candidates share a band of minima of hashed shingles; with 24 bands of five minima, a pair of
-similarity 0.8 shares none in less than one of 10,000 cases, and more similar ones in fewer.  Every
-link is then proved with the shingles of both texts.  Bits of one SimHash fingerprint do not serve
-here: texts of similarity 0.8 lie about ten of 64 bits apart.
+Candidates come from two places, and every link is proved with the shingles of both texts.  SimHash
+fingerprints that meet at Golay codewords (``simhash``) link the closest texts first.  Texts of
+similarity 0.8 lie about ten of 64 bits apart, too far for codewords to meet, so the others share a band
+of minima of hashed shingles: with 24 bands of five minima, a pair of similarity 0.8 shares none in less
+than one of 10,000 cases, and more similar ones in fewer.  Of candidates by bands, only pairs that
+agree in enough of all minima are proved; at similarity 0.8 fewer than one of 10,000 does not.
 
 A band can hold a large group of near copies, so its members are first compared with one of them
-chosen by hash, in a few rounds; after that only members of different components are paired, all of
-them, so no link between components is left out.
+chosen by hash, in a few rounds.  After that, members of different components are compared by their
+minima within the tasks that hold a band, or two blocks of a large one, and only likely pairs come out.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repoweave.llm.common import arrow_schema, lower_ascii, map_texts, stored, words_of, wrapped
-from repoweave.llm.simhash import components
+from repoweave.llm.simhash import components, fingerprint, link_edges
 from repoweave.sources.scratch import broadcast_if_small
 
 WORDS = 5
@@ -29,8 +31,14 @@ BANDS, MINIMA = 24, 5
 SEED = 42
 #: Rounds in which members of a band are compared with one of them only.
 ROUNDS = 2
-
-_SETS = "_row long, size long, bands array<long>"
+#: Share of all minima in which a pair must agree to be proved.
+LIKELY = 0.65
+#: Members of a band that a task compares with each other or with as many others, and cells at a time.
+BLOCK = 4096
+_CELLS = 1 << 24
+
+_SETS = "_row long, size long, bands array<long>, minima binary, fingerprint long"
+_PAIRS = "a long, b long, size_a long, size_b long"
 _LINKS = "a long, b long"
 
 
@@ -47,8 +55,8 @@ def similarity(one: set[bytes], other: set[bytes]) -> float:
     return both / (len(one) + len(other) - both)
 
 
-def bands(found: set[bytes]) -> list[int]:
-    """One number for each band of minima over the hashed shingles."""
+def bands(found: set[bytes]) -> tuple[list[int], bytes]:
+    """One number for each band of minima over the hashed shingles, and 16 bits of each minimum."""
     from xxhash import xxh64_intdigest
 
     rng = np.random.default_rng(SEED)
@@ -59,17 +67,78 @@ def bands(found: set[bytes]) -> list[int]:
         part = hashes[at : at + 2048, None] * factors + offsets
         least = np.minimum(least, (part ^ part >> np.uint64(29)).min(axis=0))
     sums = (least * mix).reshape(BANDS, MINIMA).sum(axis=1, dtype=np.uint64) ^ mix[:BANDS]
-    return sums.view(np.int64).tolist()
+    # The upper bits of a minimum are mostly zero.
+    return sums.view(np.int64).tolist(), least.astype("<u2").tobytes()
 
 
 def _sets_step(words: int):
     def step(texts, rest):
         found = [shingles(t, words) for t in texts]
-        return rest | {"size": [len(f) for f in found], "bands": [bands(f) for f in found]}
+        banded = [bands(f) for f in found]
+        prints = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64).tolist()
+        return rest | {
+            "size": [len(f) for f in found], "bands": [b for b, _ in banded], "minima": [m for _, m in banded], "fingerprint": prints,
+        }
 
     return step
 
 
+def agreement(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """In how many minima each row of ``one`` agrees with each of ``other``."""
+    out = np.empty((len(one), len(other)), np.int16)
+    step = max(1, _CELLS // max(1, other.size))
+    for at in range(0, len(one), step):
+        out[at : at + step] = (one[at : at + step, None, :] == other[None, :, :]).sum(axis=2)
+    return out
+
+
+def _minima(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), BANDS * MINIMA)
+
+
+def _likely(batches, schema: pa.Schema):
+    """Of pairs with the minima of both, those that agree in enough."""
+    for batch in batches:
+        same = (_minima(batch.column("minima_a")) == _minima(batch.column("minima_b"))).sum(axis=1)
+        yield batch.select(schema.names).filter(pa.array(same >= LIKELY * BANDS * MINIMA))
+
+
+def _compare(batches, schema: pa.Schema):
+    """Likely pairs of different roots, from members sorted by (band, low, high).
+
+    ``low`` and ``high`` are two blocks of a band; where they are the same, all its members meet.
+    """
+    current, parts = None, []
+
+    def done():
+        whole = pa.Table.from_batches(parts)
+        minima = _minima(whole.column("minima").combine_chunks())
+        row, size, root, block = (whole.column(n).to_numpy() for n in ("_row", "size", "root", "block"))
+        low, high = np.flatnonzero(block == current[1]), np.flatnonzero(block == current[2])
+        for at in range(0, len(low), 512):
+            some = low[at : at + 512]
+            likely = agreement(minima[some], minima[high]) >= LIKELY * BANDS * MINIMA
+            likely &= root[some][:, None] < root[high] if current[1] == current[2] else root[some][:, None] != root[high]
+            i, j = np.nonzero(likely)
+            i, j = some[i], high[j]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row[i], row[j], size[i], size[j])], schema=schema)
+
+    for batch in batches:
+        keys = np.column_stack([batch.column(n).to_numpy() for n in ("band", "low", "high")])
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            key = tuple(keys[a].tolist())
+            if key != current:
+                if parts:
+                    yield from done()
+                current, parts = key, []
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield from done()
+
+
 def _prove(batches, words: int, least: float, schema: pa.Schema):
     """Pairs that are links, from rows with both texts; those of one ``a`` follow each other."""
     known, own = None, set()
@@ -89,53 +158,77 @@ def _links(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Data
     """Pairs (a, b) of rows of at least the similarity, from candidates (a, b, size_a, size_b)."""
     # No two sets are more similar than the smaller is to the larger by size.
     fits = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b")
-    pairs = stored(pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    ordered = pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stored(ordered.distinct(), "near-pairs")
+    # Most rows are in no pair; their texts do not move.
+    asked = stored(pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).distinct(), "near-asked")
+    texts = texts.join(broadcast_if_small(asked), "_row", "left_semi")
     text = lambda side: texts.select(F.col("_row").alias(side), F.col("text").alias(f"text_{side}"))
     both = pairs.join(text("b"), "b").join(text("a"), "a").sortWithinPartitions("a")
     return stored(both.mapInArrow(partial(_prove, words=words, least=least, schema=arrow_schema(_LINKS)), _LINKS), "near-links")
 
 
+def _by_fingerprint(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, size_a, size_b) that connect all rows whose fingerprints link."""
+    first = F.min(F.struct("_row", "size"))
+    classes = stored(sets.groupBy("fingerprint").agg(first.alias("f")).select("fingerprint", "f.*"), "near-classes")
+    small = broadcast_if_small(classes)
+    same = sets.select("fingerprint", F.col("_row").alias("b"), F.col("size").alias("size_b")).join(small, "fingerprint")
+    same = same.where("b <> _row").select(F.col("_row").alias("a"), "b", F.col("size").alias("size_a"), "size_b")
+
+    def side(x: str) -> DataFrame:
+        return small.select(F.col("fingerprint").alias(f"f{x}"), F.col("_row").alias(x), F.col("size").alias(f"size_{x}"))
+
+    edges = link_edges(classes).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    return same.unionByName(edges.join(side("a"), "fa").join(side("b"), "fb").select(same.columns))
+
+
 def linked(texts: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """(node, root) of all rows of ``texts`` (_row, text) that are similar to another one."""
-    sets = map_texts(texts, partial(_sets_step, words), _SETS)
-    members = stored(sets.select("_row", "size", F.explode("bands").alias("band")), "bands")
+    sets = stored(map_texts(texts, partial(_sets_step, words), _SETS), "near-sets")
+    links = _links(_by_fingerprint(sets), texts, words, least)
+    roots = stored(components(links), "near-roots")
+    minima = sets.select("_row", "minima")
+    members = sets.select("_row", "size", F.explode("bands").alias("band"))
     shared = members.groupBy("band").count().where("count > 1").select("band")
     members = stored(members.join(shared, "band"), "shared-bands")
-    links, roots = None, None
-
-    def labelled() -> DataFrame:
-        if roots is None:
-            return members.withColumn("root", F.col("_row"))
-        return members.join(broadcast_if_small(roots).withColumnRenamed("node", "_row"), "_row", "left").select(
-            "band", "_row", "size", F.coalesce("root", "_row").alias("root")
-        )
-
     for number in range(ROUNDS + 1):
-        rows = stored(labelled(), "band-members")
+        rooted = members.join(broadcast_if_small(roots).withColumnRenamed("node", "_row"), "_row", "left")
+        rows = rooted.withColumn("root", F.coalesce("root", "_row"))
+        open_bands = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+        rows = stored(rows.join(open_bands.where("low < high").select("band", "n"), "band"), "band-members")
+        if rows.isEmpty():
+            break
         if number < ROUNDS:
             order = F.struct(F.xxhash64("_row", F.lit(number)).alias("h"), "_row", "size", "root")
             first = rows.groupBy("band").agg(F.min(order).alias("f"))
-            pairs = rows.join(first, "band").where("root <> f.root").select(
+            met = rows.join(first, "band").where("root <> f.root").select(
                 F.col("_row").alias("a"), F.col("f._row").alias("b"), F.col("size").alias("size_a"), F.col("f.size").alias("size_b")
             )
+            of = lambda x: minima.select(F.col("_row").alias(x), F.col("minima").alias(f"minima_{x}"))
+            both = met.distinct().join(of("a"), "a").join(of("b"), "b")
+            pairs = both.mapInArrow(partial(_likely, schema=arrow_schema(_PAIRS)), _PAIRS)
         else:
-            roots_of = rows.select("band", "root").distinct()
-            apart = roots_of.alias("x").join(roots_of.alias("y"), "band").where("x.root < y.root").select(
-                "band", F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b")
-            )
-
-            def side(x: str) -> DataFrame:
-                return rows.select(
-                    "band", F.col("root").alias(f"root_{x}"), F.col("_row").alias(x), F.col("size").alias(f"size_{x}")
-                )
-
-            pairs = apart.join(side("a"), ["band", "root_a"]).join(side("b"), ["band", "root_b"])
+            pairs = _likely_pairs(rows.join(minima, "_row"))
         found = _links(pairs, texts, words, least)
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         roots = stored(components(links), "near-roots")
     return roots
 
 
+def _likely_pairs(rows: DataFrame) -> DataFrame:
+    """Likely pairs of all members of a band that have different roots, each band or two blocks of it in a task."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("_row", F.lit("block")), blocks).cast("bigint")
+    placed = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select(
+        "band", "_row", "size", "root", "minima", "block",
+        F.least("block", "other").cast("bigint").alias("low"), F.greatest("block", "other").cast("bigint").alias("high"),
+    )
+    by_key = placed.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+    return by_key.mapInArrow(partial(_compare, schema=arrow_schema(_PAIRS)), _PAIRS)
+
+
 def drop_similar(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """One row of every component of similar texts, the one with the smallest doc_id, with all its columns.
 
