@@ -69,7 +69,7 @@ def wrapped(docs: DataFrame, *columns: Column) -> DataFrame:
     Columns of the input cannot clash with names that an operator uses; ``select("_doc.*")``
     gives them back.  To be stored before it is read twice, which fixes the locators.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    whole = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("_doc")
     return docs.select(whole, F.monotonically_increasing_id().alias("_row"), *columns)
 
 

@@ -61,8 +61,12 @@ def source_targets(
 
 
 def _copies(position: Column) -> Column:
-    """Integers crossed by the step of the ``position``-th document."""
-    end = F.col("offset") + position * F.col("step")
+    """Integers crossed by the step of the ``position``-th document.
+
+    Whole turns of the position change the sum by whole steps, and so by integers that cancel; only
+    its rest is multiplied, which keeps the product within 64 bits at any number of documents.
+    """
+    end = F.col("offset") + F.pmod(position, F.lit(1 << UNIT_BITS)) * F.col("step")
     return F.shiftright(end, UNIT_BITS) - F.shiftright(end - F.col("step"), UNIT_BITS)
 
 

@@ -51,7 +51,7 @@ def _captures(pages: DataFrame) -> DataFrame:
 def _list_events(pages: DataFrame) -> DataFrame:
     """Dated list entries for the hosts of the pages and the domains above them, by a hash of the name."""
     host = url_lists.host_of(F.col("url"))
-    names = pages.select(F.explode(url_lists.domains_of(host)).alias("domain")).where("domain like '%.%.%'").distinct()
+    names = pages.select(F.explode(url_lists.domains_of(host)).alias("domain")).where("domain like '%.%'").distinct()
     names = names.withColumn("h", mixing.hashed(F.col("domain"), "list"))
     day = F.col("h") % 300
 
@@ -179,7 +179,7 @@ covered AS (
   SELECT host, array_to_string(p[i:], '.') AS domain FROM (SELECT host, p, unnest(range(1, len(p) + 1)) AS i FROM parts)),
 names AS (
   SELECT domain, ('0x' || substr(sha256('list' || domain), 1, 7))::BIGINT AS h
-  FROM (SELECT DISTINCT domain FROM covered WHERE domain LIKE '%.%.%')),
+  FROM (SELECT DISTINCT domain FROM covered WHERE domain LIKE '%.%')),
 events AS (
   SELECT 'block' AS list, domain, h % 300 AS day, false AS off FROM names WHERE h % 3 = 0
   UNION ALL SELECT 'block', domain, h % 300 + 45, true FROM names WHERE h % 6 = 0

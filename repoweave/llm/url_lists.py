@@ -7,8 +7,9 @@ below it; the most specific entry decides, and an allowing entry beats a blockin
 
 Time is cut into buckets, so that one domain's events or captures never meet in one task: intervals
 are formed within (list, domain, bucket) from that bucket's events and the state that earlier buckets
-left, and the join is an equality on (host, bucket) with a test of the interval.  Domains are matched
-with the distinct hosts, so a capture is not multiplied by the parts of its host name.
+left, and the join is an equality on (host, bucket) with a test of the interval.  Only buckets in which
+a host was captured are formed.  Domains are matched with the distinct (host, bucket), so a capture is
+not multiplied by the parts of its host name.
 """
 
 from __future__ import annotations
@@ -39,72 +40,78 @@ def domains_of(host: Column) -> Column:
     )
 
 
-def _bucket(at: Column) -> Column:
-    return F.floor(at / BUCKET_SECONDS).cast("bigint")
+def _seconds(at: str) -> Column:
+    """A time as a whole number; what is none is null, like a time that is missing."""
+    return F.col(at).try_cast("bigint")
 
 
-def intervals(events: DataFrame, last_bucket: int) -> DataFrame:
-    """(list, domain, bucket, start, end) in which a domain is on a list, cut at buckets.
+def _bucket(at: str) -> Column:
+    """Number of the bucket, exact for any 64-bit time."""
+    return F.expr(f"{at} div {BUCKET_SECONDS} - if({at} < 0 and {at} % {BUCKET_SECONDS} <> 0, 1, 0)")
 
-    ``events`` has list, domain, at (seconds) and action (add or remove).  Of events of one instant
-    a removal wins; adding twice is adding once; a removal without an addition does nothing.  Rows
-    with a null are left out.
+
+def intervals(events: DataFrame, asked: DataFrame) -> DataFrame:
+    """(list, domain, bucket, start, end) in which a domain is on a list, for the buckets in ``asked``.
+
+    ``events`` has list, domain, at (seconds) and action (add or remove); ``asked`` has distinct
+    (domain, bucket).  A null start or end is that of the bucket.  Of events of one instant a removal
+    wins; adding twice is adding once; a removal without an addition does nothing.  Rows with a null
+    are left out.  No bucket is made that nothing asks for, so times may lie any distance apart.
     """
     clean = events.select(
-        "list", F.rtrim(F.lower("domain"), F.lit(".")).alias("domain"), F.col("at").cast("bigint").alias("at"),
+        "list", F.rtrim(F.lower("domain"), F.lit(".")).alias("domain"), _seconds("at").alias("at"),
         F.when(F.col("action").isin("add", "remove"), F.col("action") == "remove").alias("off"),
     ).dropna()
     instants = stored(
-        clean.groupBy("list", "domain", "at").agg(F.max("off").alias("off")).withColumn("bucket", _bucket(F.col("at"))),
+        clean.groupBy("list", "domain", "at").agg(F.max("off").alias("off")).withColumn("bucket", _bucket("at")),
         "list-events",
     )
     inside = Window.partitionBy("list", "domain", "bucket").orderBy("at")
-    end = F.coalesce(F.lead("at").over(inside), (F.col("bucket") + 1) * BUCKET_SECONDS)
     opened = (
-        instants.withColumn("end", end).where(~F.col("off"))
+        instants.withColumn("end", F.lead("at").over(inside)).where(~F.col("off"))
         .select("list", "domain", "bucket", F.col("at").alias("start"), "end")
+        .join(asked, ["domain", "bucket"], "left_semi")
     )
-    # The state a bucket leaves holds up to the first event of the next bucket that has one.
+    # The state a bucket leaves holds in later ones, up to their first event.  A window holds one row per
+    # bucket of a listed domain, whatever the number of captures and events.
     left = instants.groupBy("list", "domain", "bucket").agg(
         F.max_by("off", "at").alias("off"), F.min("at").alias("first")
     )
-    buckets = Window.partitionBy("list", "domain").orderBy("bucket")
-    left = left.withColumn("next", F.lead("bucket").over(buckets)).withColumn("until", F.lead("first").over(buckets))
-    last = F.coalesce("next", F.greatest(F.lit(last_bucket), F.col("bucket")))
-    on = left.where(~F.col("off")).where(last > F.col("bucket"))
-    held = on.select(
-        "list", "domain", "next", "until", F.explode(F.sequence(F.col("bucket") + 1, last)).alias("bucket")
+    listed = asked.join(instants.select("list", "domain").distinct(), "domain")
+    buckets = listed.join(left, ["list", "domain", "bucket"], "full").select(
+        "list", "domain", "bucket", "off", "first"
     )
-    carried = held.select(
-        "list", "domain", "bucket", (F.col("bucket") * BUCKET_SECONDS).alias("start"),
-        F.when(F.col("bucket") == F.col("next"), F.col("until"))
-        .otherwise((F.col("bucket") + 1) * BUCKET_SECONDS).alias("end"),
+    earlier = Window.partitionBy("list", "domain").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        buckets.withColumn("before", F.last("off", ignorenulls=True).over(earlier)).where(~F.col("before"))
+        .select("list", "domain", "bucket", F.lit(None).cast("bigint").alias("start"), F.col("first").alias("end"))
     )
-    return opened.unionByName(carried.where("start < end"))
+    return opened.select(carried.columns).unionByName(carried)
 
 
 def filter_captures(captures: DataFrame, events: DataFrame) -> DataFrame:
     """One row per capture: page_id, url, host, fetched_at, list and domain that decided, kept.
 
-    ``captures`` has page_id, url and fetched_at (seconds).  A capture without host or time is kept,
-    as is one that no entry covers.  Repeated captures are judged alike; other columns are not looked
-    at.
+    ``captures`` has page_id, url and fetched_at (seconds, any 64-bit number).  A capture without host
+    or time is kept, as is one that no entry covers.  Repeated captures are judged alike; other columns
+    are not looked at.
     """
     rows = stored(
         captures.select(
             F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("bigint").alias("page_id"), "url",
-            host_of(F.col("url")).alias("host"), F.col("fetched_at").cast("bigint").alias("fetched_at"),
-        ).withColumn("bucket", _bucket(F.col("fetched_at"))),
+            host_of(F.col("url")).alias("host"), _seconds("fetched_at").alias("fetched_at"),
+        ).withColumn("bucket", _bucket("fetched_at")),
         "captures",
     )
-    last = rows.agg(F.max("bucket")).first()[0] or 0
-    hosts = rows.where("host is not null").select("host").distinct()
-    covered = hosts.select("host", F.explode(domains_of(F.col("host"))).alias("domain"))
-    valid = stored(intervals(events, last).join(covered, "domain").select("host", "bucket", "list", "domain", "start", "end"), "list-intervals")
+    visited = rows.where("host is not null and bucket is not null").select("host", "bucket").distinct()
+    covered = stored(visited.select("*", F.explode(domains_of(F.col("host"))).alias("domain")), "list-covered")
+    found = stored(intervals(events, covered.select("domain", "bucket").distinct()), "list-intervals")
+    valid = stored(covered.join(broadcast_if_small(found), ["domain", "bucket"]), "list-valid")
     hit = rows.select("row", "host", "bucket", "fetched_at").alias("c").join(
         broadcast_if_small(valid).alias("v"),
         (F.col("c.host") == F.col("v.host")) & (F.col("c.bucket") == F.col("v.bucket"))
-        & (F.col("c.fetched_at") >= F.col("v.start")) & (F.col("c.fetched_at") < F.col("v.end")),
+        & (F.col("v.start").isNull() | (F.col("c.fetched_at") >= F.col("v.start")))
+        & (F.col("v.end").isNull() | (F.col("c.fetched_at") < F.col("v.end"))),
     )
     rule = F.max(F.struct(F.length("v.domain").alias("size"), (F.col("v.list") == "allow").alias("allowed"), "v.list", "v.domain"))
     decided = hit.groupBy("c.row").agg(rule.alias("rule"))

@@ -69,3 +69,16 @@ def test_mix_gives_whole_rows(odd, empty):
     assert got.count() == mixing.plan_mix(mixing.measure(odd)).agg(F.sum("copies")).first()[0]
     assert mixing.mix(empty).collect() == []
     assert mixing.plan_mix(mixing.measure(empty)).collect() == []
+
+
+def test_positions_beyond_32_bits_do_not_overflow(spark):
+    rows = [(p, off, step) for p in (1, 2**30, 2**33, 2**33 + 7, 2**40 + 12345) for off in (0, 2**30 - 4) for step in (0, 3, 2**30 + 1, 2**31)]
+    got = spark.createDataFrame(rows, "p long, offset long, step long").select("*", mixing._copies(F.col("p")).alias("n")).collect()
+    for r in got:
+        end = r["offset"] + r["p"] * r["step"]
+        assert r["n"] == (end >> 30) - ((end - r["step"]) >> 30)
+
+
+def test_any_column_name(odd):
+    named = odd.withColumn("tick`and.dot", F.lit(1))
+    assert mixing.mix(named).columns == named.columns

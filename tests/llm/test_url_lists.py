@@ -4,6 +4,7 @@ from collections import Counter
 from repoweave.llm import url_lists
 
 CAPTURES = "page_id long, url string, fetched_at long, host string, list string"
+YEAR = 1_704_067_200
 EVENTS = "list string, domain string, at long, action string, note string"
 
 
@@ -29,6 +30,11 @@ def test_every_capture_against_the_entries_of_its_time(spark):
         for i in range(400)
     ]
     captures += [(1000, None, 5, None, None), (1001, "no host", 5, None, None), (1002, "http://example.com/", None, None, None)]
+    far = [-(1 << 63), (1 << 63) - 1, YEAR * 10**6, -YEAR * 10**6, 2**53 * 1000 + 1]
+    events += [("allow", "example.org", t, rng.choice(["add", "remove"]), "n") for t in far]
+    events += [("block", "net", -(1 << 63), "add", "n"), ("block", "net", YEAR, "remove", "n")]
+    captures += [(2000 + i, f"http://{h}/", t + d, None, None) for i, (h, t, d) in enumerate(
+        (h, t, d) for h in hosts for t in far for d in (-1, 0, 1) if abs(t + d) < 1 << 63 or t + d == -(1 << 63))]
     captures += [(1003, "http://" + "a." * 200 + "com/", 5 * day, None, None), (None, "ftp://example.com./", 399 * day, None, None)] * 2
     got = url_lists.filter_captures(
         spark.createDataFrame(captures, CAPTURES).repartition(4), spark.createDataFrame(events, EVENTS)
@@ -57,3 +63,10 @@ def test_no_rows(spark):
     some = spark.createDataFrame([(1, "http://a.com/", 5, None, None)], CAPTURES)
     assert url_lists.filter_captures(none, no_events).collect() == []
     assert [r["kept"] for r in url_lists.filter_captures(some, no_events).collect()] == [True]
+
+
+def test_times_as_text_and_a_domain_above_all_hosts(spark):
+    events = spark.createDataFrame([("block", "com", "100", "add"), ("block", "com", "soon", "remove")], "list string, domain string, at string, action string")
+    rows = [(i, f"http://h{i}.com/", t) for i, t in enumerate(["99", "100", "never", None, str(1 << 62)])]
+    got = url_lists.filter_captures(spark.createDataFrame(rows, "page_id long, url string, fetched_at string"), events)
+    assert {r["page_id"]: r["kept"] for r in got.collect()} == {0: True, 1: False, 2: True, 3: True, 4: False}
