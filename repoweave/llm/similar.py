@@ -9,7 +9,10 @@ agree in enough of all minima are proved; at similarity 0.8 fewer than one of 10
 
 A band can hold a large group of near copies, so its members are first compared with one of them
 chosen by hash, in a few rounds.  After that, members of different components are compared by their
-minima within the tasks that hold a band, or two blocks of a large one, and only likely pairs come out.
+minima within the tasks that hold a band, or two blocks of a large one, each pair in the first band that
+it shares.  What comes out are the members that have a likely partner; only those are sent again, with
+their hashed shingles, and proved where they meet.  So neither step gives more rows than a band has
+members: the second gives the links of a spanning forest.
 """
 
 from __future__ import annotations
@@ -33,13 +36,17 @@ SEED = 42
 ROUNDS = 2
 #: Share of all minima in which a pair must agree to be proved.
 LIKELY = 0.65
-#: Members of a band that a task compares with each other or with as many others, and cells at a time.
+#: Members of a band that a task compares with each other or with as many others, their shingles, and
+#: cells and shingles at a time.
 BLOCK = 4096
+BLOCK_SHINGLES = 1 << 21
 _CELLS = 1 << 24
 
 _SETS = "_row long, size long, bands array<long>, minima binary, fingerprint long"
 _PAIRS = "a long, b long, size_a long, size_b long"
 _LINKS = "a long, b long"
+_MEMBERS = "band long, nth int, low long, high long, block long, _row long, root long"
+_HASHES = "_row long, hashes binary"
 
 
 def shingles(text: bytes, words: int = WORDS) -> set[bytes]:
@@ -56,19 +63,35 @@ def similarity(one: set[bytes], other: set[bytes]) -> float:
 
 
 def bands(found: set[bytes]) -> tuple[list[int], bytes]:
-    """One number for each band of minima over the hashed shingles, and 16 bits of each minimum."""
-    from xxhash import xxh64_intdigest
+    """16 bits of each minimum over the hashed shingles, and one number for each band of them.
 
+    The numbers follow from these bits, so that two texts share a band where its minima are the same.
+    """
     rng = np.random.default_rng(SEED)
     factors, offsets, mix = (rng.integers(1 << 62, size=BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(3))
-    hashes = np.array([xxh64_intdigest(s, SEED) for s in found], np.uint64)
+    hashes = hashed(found)
     least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 2048):
         part = hashes[at : at + 2048, None] * factors + offsets
         least = np.minimum(least, (part ^ part >> np.uint64(29)).min(axis=0))
-    sums = (least * mix).reshape(BANDS, MINIMA).sum(axis=1, dtype=np.uint64) ^ mix[:BANDS]
     # The upper bits of a minimum are mostly zero.
-    return sums.view(np.int64).tolist(), least.astype("<u2").tobytes()
+    least = least.astype("<u2")
+    sums = (least * mix).reshape(BANDS, MINIMA).sum(axis=1, dtype=np.uint64) ^ mix[:BANDS]
+    return sums.view(np.int64).tolist(), least.tobytes()
+
+
+def hashed(found: set[bytes]) -> np.ndarray:
+    """XXH64 of each shingle, in order."""
+    from xxhash import xxh64_intdigest
+
+    return np.sort(np.array([xxh64_intdigest(s, SEED) for s in found], np.uint64))
+
+
+def _hashes_step(words: int):
+    def step(texts, rest):
+        return rest | {"hashes": [hashed(shingles(t, words)).astype("<u8").tobytes() for t in texts]}
+
+    return step
 
 
 def _sets_step(words: int):
@@ -103,26 +126,9 @@ def _likely(batches, schema: pa.Schema):
         yield batch.select(schema.names).filter(pa.array(same >= LIKELY * BANDS * MINIMA))
 
 
-def _compare(batches, schema: pa.Schema):
-    """Likely pairs of different roots, from members sorted by (band, low, high).
-
-    ``low`` and ``high`` are two blocks of a band; where they are the same, all its members meet.
-    """
+def _groups(batches):
+    """(low, high, table) of each (band, low, high), from members sorted by these."""
     current, parts = None, []
-
-    def done():
-        whole = pa.Table.from_batches(parts)
-        minima = _minima(whole.column("minima").combine_chunks())
-        row, size, root, block = (whole.column(n).to_numpy() for n in ("_row", "size", "root", "block"))
-        low, high = np.flatnonzero(block == current[1]), np.flatnonzero(block == current[2])
-        for at in range(0, len(low), 512):
-            some = low[at : at + 512]
-            likely = agreement(minima[some], minima[high]) >= LIKELY * BANDS * MINIMA
-            likely &= root[some][:, None] < root[high] if current[1] == current[2] else root[some][:, None] != root[high]
-            i, j = np.nonzero(likely)
-            i, j = some[i], high[j]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row[i], row[j], size[i], size[j])], schema=schema)
-
     for batch in batches:
         keys = np.column_stack([batch.column(n).to_numpy() for n in ("band", "low", "high")])
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
@@ -132,11 +138,84 @@ def _compare(batches, schema: pa.Schema):
             key = tuple(keys[a].tolist())
             if key != current:
                 if parts:
-                    yield from done()
+                    yield current[1], current[2], pa.Table.from_batches(parts)
                 current, parts = key, []
             parts.append(batch.slice(a, b - a))
     if parts:
-        yield from done()
+        yield current[1], current[2], pa.Table.from_batches(parts)
+
+
+def _likely_within(low: int, high: int, members: pa.Table):
+    """Places (i, j) of likely pairs of different roots that share no earlier band, some at a time.
+
+    ``low`` and ``high`` are two blocks of a band; where they are the same, all its members meet.
+    """
+    minima = _minima(members.column("minima").combine_chunks())
+    root, block = members.column("root").to_numpy(), members.column("block").to_numpy()
+    nth = members.column("nth")[0].as_py()
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    for at in range(0, len(left), 512):
+        some = left[at : at + 512]
+        likely = agreement(minima[some], minima[right]) >= LIKELY * BANDS * MINIMA
+        likely &= root[some][:, None] < root[right] if low == high else root[some][:, None] != root[right]
+        i, j = np.nonzero(likely)
+        for k in range(0, len(i), _CELLS >> 8):
+            a, b = some[i[k : k + (_CELLS >> 8)]], right[j[k : k + (_CELLS >> 8)]]
+            shared = (minima[a] == minima[b]).reshape(-1, BANDS, MINIMA).all(axis=2)
+            first = shared.argmax(axis=1) == nth
+            yield a[first], b[first]
+
+
+def _with_partner(batches, schema: pa.Schema):
+    """Members that have a likely partner in their band."""
+    for low, high, members in _groups(batches):
+        has = np.zeros(len(members), bool)
+        for i, j in _likely_within(low, high, members):
+            has[i] = has[j] = True
+        yield from members.select(schema.names).filter(pa.array(has)).to_batches()
+
+
+def _shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many hashes of ``own`` each of the ``others`` holds."""
+    lengths = np.array([len(o) for o in others])
+    every = np.concatenate(others)
+    found = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+    return np.add.reduceat(found, np.append(0, np.cumsum(lengths)[:-1]), dtype=np.int64)
+
+
+def _forest(batches, least: float, schema: pa.Schema):
+    """Links (a, b) that connect all members of a band that are linked in it, with no more than that."""
+    for low, high, members in _groups(batches):
+        hashes = [np.frombuffer(h, "<u8") for h in members.column("hashes").to_pylist()]
+        row, parent = members.column("_row").to_numpy(), {r: r for r in members.column("root").to_pylist()}
+        root, links = members.column("root").to_pylist(), []
+
+        def top(place):
+            x = root[place]
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for i, j in _likely_within(low, high, members):
+            starts = np.append(np.flatnonzero(np.append(True, i[1:] != i[:-1])), len(i)) if len(i) else []
+            for a, b in zip(starts, starts[1:], strict=False):
+                one = int(i[a])
+                others = [k for k in j[a:b].tolist() if top(k) != top(one)]
+                while others:
+                    # As many at a time as hold a bounded number of hashes, or one longer.
+                    held, n = 0, 0
+                    while n < len(others) and (n == 0 or held + len(hashes[others[n]]) <= BLOCK_SHINGLES):
+                        held, n = held + len(hashes[others[n]]), n + 1
+                    some, others = others[:n], others[n:]
+                    both = _shared(hashes[one], [hashes[k] for k in some]).tolist()
+                    for k, n_both in zip(some, both, strict=True):
+                        similar = n_both / (len(hashes[one]) + len(hashes[k]) - n_both) >= least
+                        if similar and top(k) != top(one):
+                            parent[top(k)] = top(one)
+                            links.append((one, k))
+        places = np.array(links, np.int64).reshape(-1, 2)
+        ends = np.sort(row[places], axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=schema)
 
 
 def _prove(batches, words: int, least: float, schema: pa.Schema):
@@ -189,14 +268,16 @@ def linked(texts: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFr
     links = _links(_by_fingerprint(sets), texts, words, least)
     roots = stored(components(links), "near-roots")
     minima = sets.select("_row", "minima")
-    members = sets.select("_row", "size", F.explode("bands").alias("band"))
+    members = sets.select("_row", "size", F.posexplode("bands").alias("nth", "band"))
     shared = members.groupBy("band").count().where("count > 1").select("band")
     members = stored(members.join(shared, "band"), "shared-bands")
     for number in range(ROUNDS + 1):
         rooted = members.join(broadcast_if_small(roots).withColumnRenamed("node", "_row"), "_row", "left")
         rows = rooted.withColumn("root", F.coalesce("root", "_row"))
-        open_bands = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
-        rows = stored(rows.join(open_bands.where("low < high").select("band", "n"), "band"), "band-members")
+        open_bands = rows.groupBy("band").agg(
+            F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")
+        )
+        rows = stored(rows.join(open_bands.where("least < most").select("band", "n", "total"), "band"), "band-members")
         if rows.isEmpty():
             break
         if number < ROUNDS:
@@ -208,25 +289,33 @@ def linked(texts: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFr
             of = lambda x: minima.select(F.col("_row").alias(x), F.col("minima").alias(f"minima_{x}"))
             both = met.distinct().join(of("a"), "a").join(of("b"), "b")
             pairs = both.mapInArrow(partial(_likely, schema=arrow_schema(_PAIRS)), _PAIRS)
+            found = _links(pairs, texts, words, least)
         else:
-            pairs = _likely_pairs(rows.join(minima, "_row"))
-        found = _links(pairs, texts, words, least)
+            found = _links_within(rows, minima, texts, words, least)
         links = links.unionByName(found)
         roots = stored(components(links), "near-roots")
     return roots
 
 
-def _likely_pairs(rows: DataFrame) -> DataFrame:
-    """Likely pairs of all members of a band that have different roots, each band or two blocks of it in a task."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+def _links_within(rows: DataFrame, minima: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Links between members of a band that have different roots, each band or two blocks of it in a task."""
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
     block = F.pmod(F.xxhash64("_row", F.lit("block")), blocks).cast("bigint")
     placed = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select(
-        "band", "_row", "size", "root", "minima", "block",
+        "band", "nth", "_row", "root", "block",
         F.least("block", "other").cast("bigint").alias("low"), F.greatest("block", "other").cast("bigint").alias("high"),
     )
-    by_key = placed.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
-    return by_key.mapInArrow(partial(_compare, schema=arrow_schema(_PAIRS)), _PAIRS)
+
+    def by_key(table: DataFrame) -> DataFrame:
+        return table.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+
+    likely = by_key(placed.join(minima, "_row")).mapInArrow(partial(_with_partner, schema=arrow_schema(_MEMBERS)), _MEMBERS)
+    likely = stored(likely, "near-likely")
+    asked = stored(likely.select("_row").distinct(), "near-asked")
+    hashes = map_texts(texts.join(broadcast_if_small(asked), "_row", "left_semi"), partial(_hashes_step, words), _HASHES)
+    both = by_key(likely.join(minima, "_row").join(hashes, "_row"))
+    return stored(both.mapInArrow(partial(_forest, least=least, schema=arrow_schema(_LINKS)), _LINKS), "near-links")
 
 
 def drop_similar(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
