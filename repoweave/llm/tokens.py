@@ -1,28 +1,60 @@
-"""Token ids of whole texts by a public tokenizer file, piece by piece with a bounded cache.
-
-Both tokenizers used here split a text at white space before any merge, so the ids of a text
-are those of its pieces (blanks and the word after them) in order.  Words repeat, so most
-pieces are found in the cache.  A text that holds blanks other than ASCII ones, which the
-libraries count as white space too, or the text of a special token, is encoded whole.
+"""Token ids of whole texts by a public tokenizer file, piece by piece with bounded memory.
+
+Both tokenizers used here cut a text by a pattern before any merge, so the ids of a text are those of
+its pieces in order.  Texts are cut by that pattern, which the tokenizer file names, as it reads for
+ASCII and the letters up to U+00FF; a word with other characters is one piece.  Pieces repeat, so a worker remembers their ids and forgets
+those not met for long; only pieces that it does not know go to the library.  A text that holds blanks
+other than ASCII ones, which the libraries count as white space too, or the text of a special token, is
+encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
 import numpy as np
 
-from repoweave.llm.common import ODD_BLANKS, lower_ascii, quiet_tokenizers, words_of
+from repoweave.llm.common import ODD_BLANKS, Remembered, lower_ascii, quiet_tokenizers
 
-_PIECE = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+$")
+_PIECE = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+$")
 #: A blank and a word: such pieces can be joined as they are.
-_ONE_BLANK = re.compile(rb" [^\x20\x09-\x0D]+")
+_ONE_BLANK = re.compile(r" [^\x20\x09-\x0D]+")
+#: Letters whose kind every Unicode table agrees on and which no normalizer joins with others.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 #: Pieces that are encoded in one call.
 JOINED = 500
-#: Pieces a worker remembers, and bytes above which one is not remembered.
-CACHE_PIECES = 400_000
-CACHE_PIECE_BYTES = 48
+#: Pieces a worker remembers before it forgets those not met since (twice as many at most).
+KEPT_PIECES = 400_000
+#: Characters above which a piece is not remembered.
+KEPT_LENGTH = 48
+#: The pattern that byte-level tokenizers cut by if their file names none (fixed value).
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _cut_pattern(tokenizer, blank: str) -> re.Pattern[str]:
+    """Words of other characters, behind ``blank``, and what the tokenizer matches in all others before it merges.
+
+    Words with the blanks before them, if the file says it in another way.
+    """
+    rules = json.loads(tokenizer.to_str())["pre_tokenizer"] or {}
+    rules = rules.get("pretokenizers", [rules])
+    cut = [r for r in rules if r.get("type") != "ByteLevel" or r.get("use_regex", True)]
+    if len(cut) != 1:
+        return _PIECE
+    if cut[0].get("type") == "ByteLevel" and not cut[0]["add_prefix_space"]:
+        pattern = BYTE_LEVEL_PATTERN
+    elif cut[0].get("type") == "Split" and cut[0]["invert"] and cut[0]["behavior"] == "Removed":
+        pattern = cut[0]["pattern"].get("Regex", "")
+    else:
+        return _PIECE
+    pattern = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_LETTERS}0-9]")
+    for kind, known in ((r"\p{L}", _LETTERS), (r"\p{N}", "0-9")):
+        pattern = pattern.replace(f"[{kind}]", f"[{known}]").replace(kind, f"[{known}]")
+    if not pattern or r"\p" in pattern:
+        return _PIECE
+    return re.compile(rf"{blank}[\x21-\x7e{_LETTERS}]*[^\x00-\x7f{_LETTERS}][^\x20\x09-\x0D]*|" + pattern, re.ASCII)
 
 
 class TextEncoder:
@@ -35,7 +67,8 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         added = self.tokenizer.get_added_tokens_decoder()
-        self.special = [t.content.encode() for t in added.values()]
+        self.marks = [t.content for t in added.values()]
+        self.special = [m.encode() for m in self.marks]
         #: Stands between pieces that are encoded in one call: its id shows where they part.
         self.mark, self.mark_id = next(((t.content, i) for i, t in added.items()), (None, None))
         #: Byte-level vocabularies show a piece's blank in its first token, which parts pieces without a mark.
@@ -46,30 +79,33 @@ class TextEncoder:
         #: Whether blanks only part words and ASCII case does not matter, as for vocabularies of lower-case
         #: words; then pieces are words in lower case, which are fewer.
         self.words_only = self._ask(" \n") == [] and self._ask("\nAn  Oak.") == self._ask("an") + self._ask("oak.")
-        self.cache: dict[bytes, bytes] = {}
+        self.pieces = _cut_pattern(self.tokenizer, "" if self.words_only else " ?").findall
+        self.known = Remembered({})
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = self._words if self.words_only else _PIECE.findall
-        pieces = [None if self._whole(t) else cut(t) for t in texts]
-        cache = self.cache
-        new = list(set().union(*[p for p in pieces if p]) - cache.keys())
-        held = len(cache)
-        cache.update(zip(new, self._ids(new), strict=True))
-        known = cache.__getitem__
-        out = [
-            self._encoded(t.decode()).tobytes() if p is None else b"".join(map(known, p))
-            for t, p in zip(texts, pieces, strict=True)
+        known, cut = self.known.__getitem__, self.pieces
+        lower = lower_ascii if self.words_only else bytes
+        found = [None if self._whole(t) else list(map(known, cut(lower(t).decode()))) for t in texts]
+        self._learn()
+        return [
+            self._encoded(t.decode()).tobytes() if ids is None else b"".join(ids)
+            for t, ids in zip(texts, found, strict=True)
         ]
-        room = CACHE_PIECES - held
-        for n, piece in enumerate(new):
-            if n >= room or len(piece) > CACHE_PIECE_BYTES:
-                del cache[piece]
-        return out
 
-    @staticmethod
-    def _words(text: bytes) -> list[bytes]:
-        return words_of(lower_ascii(text))
+    def _learn(self) -> None:
+        """Gives new pieces their ids; forgets long ones, and at times all not met since the last time."""
+        known = self.known
+        new, known.new = known.new, {}
+        for (piece, place), ids in zip(new.items(), self._ids(list(new)), strict=True):
+            place[:] = ids
+            if len(piece) > KEPT_LENGTH:
+                del known[piece]
+            else:
+                known[piece] = ids
+        if len(known) > KEPT_PIECES:
+            known.older = {}
+            self.known = Remembered(known)
 
     def _ask(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -81,7 +117,7 @@ class TextEncoder:
             text.isascii() and any(c in text for c in (b"\x1c", b"\x1d", b"\x1e", b"\x1f"))
         )
 
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+    def _ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece.  Many short pieces go to the library as one text, as each call costs more."""
         out: list[bytes] = [b""] * len(pieces)
         plain = [i for i, p in enumerate(pieces) if self.blank is not None and _ONE_BLANK.fullmatch(p)]
@@ -89,17 +125,17 @@ class TextEncoder:
         other = [i for i in range(len(pieces)) if i not in chosen]
         for at in range(0, len(plain), JOINED):
             some = plain[at : at + JOINED]
-            ids = self._encoded(b"".join([pieces[i] for i in some]).decode())
+            ids = self._encoded("".join([pieces[i] for i in some]))
             begins = np.flatnonzero(self.blank[ids])
             self._part(out, some, ids, begins, np.append(begins[1:], len(ids)))
         step = JOINED if self.mark else 1
         for at in range(0, len(other), step):
             some = other[at : at + step]
-            if len(some) == 1 or any(m in pieces[i] for i in some for m in self.special):
+            if len(some) == 1 or any(m in pieces[i] for i in some for m in self.marks):
                 for i in some:
-                    out[i] = self._encoded(pieces[i].decode()).tobytes()
+                    out[i] = self._encoded(pieces[i]).tobytes()
                 continue
-            ids = self._encoded(self.mark.join([pieces[i].decode() for i in some]))
+            ids = self._encoded(self.mark.join([pieces[i] for i in some]))
             marks = np.flatnonzero(ids == self.mark_id)
             self._part(out, some, ids, np.append(0, marks + 1), np.append(marks, len(ids)))
         return out

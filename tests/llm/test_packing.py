@@ -120,6 +120,17 @@ def test_pieces_encode_like_whole_texts(name, corpora):
     whole, coder = Tokenizer.from_file(path), TextEncoder(path)
     texts = [r["text"] or "" for _, rows in corpora for r in rows]
     texts += ["á ́b é", " lead", "trail  ", "a \n b\t\tc", "don't  won't 'll", "12 345\r\n6", "x\x85y z", "\x1f a"]
+    texts += ["ÀÉÖ×Øß÷éÿ «où» l'été 's'Été", "Ωσς, あい ½²a ﬁne Ⅷ 1٣4 \u00ad- é\u0301é — a–b", "é" * 100 + " é1é2 É", "don''t _a_ x1y22"]
     got = coder.encode([t.encode() for t in texts])
     for text, ids in zip(texts, got, strict=True):
         assert np.frombuffer(ids, coder.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids, text[:40]
+
+
+def test_forgotten_pieces_are_encoded_again(monkeypatch):
+    monkeypatch.setattr("repoweave.llm.tokens.KEPT_PIECES", 3)
+    whole, coder = Tokenizer.from_file(PATH), TextEncoder(PATH)
+    texts = [f"word {i % 5} other{i} été{i % 3} again" for i in range(40)]
+    got = [x for i in range(0, 40, 4) for x in coder.encode([t.encode() for t in texts[i : i + 4]])]
+    assert [np.frombuffer(x, coder.dtype).tolist() for x in got] == [
+        whole.encode(t, add_special_tokens=False).ids for t in texts
+    ]
