@@ -2,8 +2,8 @@
 
 The best segmentation of a prefix is the same for all words that begin with it.  Distinct pre-tokens
 are inserted in a trie whose nodes hold the forward score of their prefix (the best sum of piece
-scores that ends there) and its number of pieces; a node is computed once, from the nodes above it,
-however many words share it.  Where a pre-token ends, its count is stored, and a document's count is
+scores that ends there), its number of pieces, and the pieces that began in it and may go on, as places in
+a trie of pieces; a node is computed once, from the one above it, however many words share it.  Where a pre-token ends, its count is stored, and a document's count is
 the sum over its pre-tokens.  Tries live in the tasks, start anew when they are full, and so bound
 memory; nothing is shuffled.
 """
@@ -22,7 +22,7 @@ from repoweave.llm.common import map_texts, words_of
 #: Mark of a word's beginning in the piece file (fixed value).
 MARK = "▁"
 #: Nodes after which a task's trie starts anew.
-MAX_NODES = 400_000
+MAX_NODES = 1_000_000
 #: Longest pre-token that is kept in the trie; longer ones are computed and forgotten.
 KEPT_LENGTH = 64
 
@@ -51,42 +51,55 @@ def unigram_scores(path: str) -> tuple[dict[str, float], int, float]:
 class ForwardTrie:
     """Forward scores by prefix; ties go to fewer pieces.
 
-    A node is a list of the score and the number of pieces of its prefix and, by character, the nodes
-    below it.
+    A node is one list: the score and the number of pieces of its prefix, the first character below it and
+    its node, the others as a dictionary, and then in turn places in the trie of pieces that may go on and
+    the nodes where these began.
     """
 
-    def __init__(self, pieces: dict[str, float], longest: int, byte_score: float, max_nodes: int = MAX_NODES):
+    def __init__(self, pieces: dict[str, float], byte_score: float, max_nodes: int = MAX_NODES):
         self.byte_score, self.max_nodes = byte_score, max_nodes
-        #: Scores by piece, and None for what is only the end of longer pieces: a search for pieces that
-        #: end at a place stops at the first text that is neither.
-        self.endings: dict[str, float | None] = {p[i:]: None for p in pieces for i in range(1, len(p))}
-        self.endings |= pieces
+        #: A place has the places one character on, and the score of the piece that ends there by "".
+        self.pieces: dict = {}
+        for piece, score in pieces.items():
+            place = self.pieces
+            for char in piece:
+                place = place.setdefault(char, {})
+            place[""] = score
         self.computed = 0
         self.clear()
 
     def clear(self) -> None:
-        self.root: list = [0.0, 0, None]
+        self.root: list = [0.0, 0, "", None, None]
         self.nodes = 1
         self.terminal: dict[str, tuple[int, float]] = {}
 
-    def _forward(self, word: str, end: int, path: list[list]) -> list:
-        """Node for the prefix up to ``end`` from those of all shorter prefixes."""
-        n = len(word[end - 1].encode())
-        above = path[end - 1]
-        best, pieces = above[0] + n * self.byte_score, above[1] + n
-        endings, start = self.endings, end - 1
-        while start >= 0:
-            s = endings.get(word[start:end], 0)
+    def _forward(self, above: list, char: str) -> list:
+        """Node for the prefix of ``above`` and one more character."""
+        n = 1 if char < "\x80" else len(char.encode())
+        score, count = above[0], above[1]
+        best, pieces = score + n * self.byte_score, count + n
+        node = [0.0, 0, "", None, None]
+        place = self.pieces.get(char)
+        if place is not None:
+            node += place, above
+            s = place.get("")
             if s is not None:
-                if s == 0:  # no logarithm of a share below one is zero
-                    break
-                node = path[start]
-                s += node[0]
-                if s > best or (s == best and node[1] + 1 < pieces):
-                    best, pieces = s, node[1] + 1
-            start -= 1
+                s, k = score + s, count + 1
+                if s > best or (s == best and k < pieces):
+                    best, pieces = s, k
+        for i in range(5, len(above), 2):
+            place = above[i].get(char)
+            if place is not None:
+                begun = above[i + 1]
+                node += place, begun
+                s = place.get("")
+                if s is not None:
+                    s, k = begun[0] + s, begun[1] + 1
+                    if s > best or (s == best and k < pieces):
+                        best, pieces = s, k
+        node[0], node[1] = best, pieces
         self.computed += 1
-        return [best, pieces, None]
+        return node
 
     def lookup(self, word: str) -> tuple[int, float]:
         """Number of pieces of a pre-token, and the score of its best segmentation."""
@@ -99,32 +112,33 @@ class ForwardTrie:
         kept = len(word) <= KEPT_LENGTH
         if kept and self.nodes + len(word) > self.max_nodes:
             self.clear()
-        node = self.root
-        path = [node]
+        node, shared = self.root, 0
         if kept:
             for char in word:
-                below = node[2]
-                node = below.get(char) if below else None
-                if node is None:
+                below = node[3] if node[2] == char else node[4].get(char) if node[4] else None
+                if below is None:
                     break
-                path.append(node)
-        for end in range(len(path), len(word) + 1):
-            node = self._forward(word, end, path)
+                node, shared = below, shared + 1
+        for char in word[shared:]:
+            below = self._forward(node, char)
             if kept:
-                above = path[-1]
-                if above[2] is None:
-                    above[2] = {}
-                above[2][word[end - 1]] = node
+                if node[3] is None:
+                    node[2], node[3] = char, below
+                elif node[4] is None:
+                    node[4] = {char: below}
+                else:
+                    node[4][char] = below
                 self.nodes += 1
-            path.append(node)
-        found = (path[-1][1], path[-1][0])
+            node = below
+        found = (node[1], node[0])
         if kept:
             self.terminal[word] = found
         return found
 
 
 def _count_step(path: str, max_nodes: int):
-    trie = ForwardTrie(*unigram_scores(path), max_nodes=max_nodes)
+    pieces, _, byte_score = unigram_scores(path)
+    trie = ForwardTrie(pieces, byte_score, max_nodes)
 
     def step(texts, rest):
         # Tries hold no cycles, and the collector would walk all their nodes again and again.
