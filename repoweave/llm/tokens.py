@@ -23,6 +23,9 @@ _PIECE = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+$")
 _ONE_BLANK = re.compile(r" [^\x20\x09-\x0D]+")
 #: Letters whose kind every Unicode table agrees on and which no normalizer joins with others.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_OTHER = re.compile(rf"[^\x00-\x7f{_LETTERS}]")
+#: A word that holds another character.
+_OTHER_WORD = rf"[\x21-\x7e{_LETTERS}]*[^\x00-\x7f{_LETTERS}][^\x20\x09-\x0D]*"
 #: Pieces that are encoded in one call.
 JOINED = 500
 #: Pieces a worker remembers before it forgets those not met since (twice as many at most).
@@ -33,8 +36,8 @@ KEPT_LENGTH = 48
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _cut_pattern(tokenizer, blank: str) -> re.Pattern[str]:
-    """Words of other characters, behind ``blank``, and what the tokenizer matches in all others before it merges.
+def _cut_pattern(tokenizer) -> re.Pattern[str]:
+    """What the tokenizer matches before it merges, in texts of ASCII and the letters up to U+00FF.
 
     Words with the blanks before them, if the file says it in another way.
     """
@@ -54,7 +57,7 @@ def _cut_pattern(tokenizer, blank: str) -> re.Pattern[str]:
         pattern = pattern.replace(f"[{kind}]", f"[{known}]").replace(kind, f"[{known}]")
     if not pattern or r"\p" in pattern:
         return _PIECE
-    return re.compile(rf"{blank}[\x21-\x7e{_LETTERS}]*[^\x00-\x7f{_LETTERS}][^\x20\x09-\x0D]*|" + pattern, re.ASCII)
+    return re.compile(pattern, re.ASCII)
 
 
 class TextEncoder:
@@ -79,20 +82,27 @@ class TextEncoder:
         #: Whether blanks only part words and ASCII case does not matter, as for vocabularies of lower-case
         #: words; then pieces are words in lower case, which are fewer.
         self.words_only = self._ask(" \n") == [] and self._ask("\nAn  Oak.") == self._ask("an") + self._ask("oak.")
-        self.pieces = _cut_pattern(self.tokenizer, "" if self.words_only else " ?").findall
+        plain = _cut_pattern(self.tokenizer)
+        blank = "" if self.words_only else " ?"
+        mixed = plain if plain is _PIECE else re.compile(f"{blank}{_OTHER_WORD}|{plain.pattern}", re.ASCII)
+        self.cut_plain, self.cut_mixed = plain.findall, mixed.findall
         self.known = Remembered({})
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        known, cut = self.known.__getitem__, self.pieces
-        lower = lower_ascii if self.words_only else bytes
-        found = [None if self._whole(t) else list(map(known, cut(lower(t).decode()))) for t in texts]
+        known = self.known.__getitem__
+        found = [None if self._whole(t) else list(map(known, self._pieces(t))) for t in texts]
         self._learn()
         return [
             self._encoded(t.decode()).tobytes() if ids is None else b"".join(ids)
             for t, ids in zip(texts, found, strict=True)
         ]
 
+    def _pieces(self, text: bytes) -> list[str]:
+        text = (lower_ascii(text) if self.words_only else text).decode()
+        plain = text.isascii() or not _OTHER.search(text)
+        return self.cut_plain(text) if plain else self.cut_mixed(text)
+
     def _learn(self) -> None:
         """Gives new pieces their ids; forgets long ones, and at times all not met since the last time."""
         known = self.known
