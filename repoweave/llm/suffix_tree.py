@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoweave.llm.common import SLICE_ROWS, arrow_schema, lower_ascii, slices, stored
+from repoweave.llm.common import SLICE_ROWS, arrow_schema, lower_ascii, slices, stored, stored_path
 from repoweave.sources.scratch import broadcast_if_small
 
 DEPTH = 3
@@ -54,7 +54,7 @@ DISCOUNT = 0.5
 FREQUENT = 1 / 131_072
 FOLDS = 10
 #: Tokens and documents from which on a block, what a task holds at a time, is full; places take 16 bits.
-HELD_TOKENS = 3_000_000
+HELD_TOKENS = 2_500_000
 HELD_DOCS = 65_536 - SLICE_ROWS
 #: Bytes of a word beyond which it is hashed by itself.
 LONG_WORD = 64
@@ -197,6 +197,14 @@ def _whole(thin: bytes) -> np.ndarray:
     return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _small(numbers: np.ndarray) -> bytes:
+    return pa.compress(numbers.tobytes(), codec="zstd", asbytes=True)
+
+
+def _numbers(small: bytes, kind, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(small, size * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
 def _all(values: list, kind) -> np.ndarray:
     """Arrays packed as bytes, one after another."""
     return np.concatenate([np.frombuffer(v, kind) for v in values]) if values else np.zeros(0, kind)
@@ -214,6 +222,12 @@ def _shuffles_dropped(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Deletes a table of this run that has no more readers."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _count_words(batches, schema: pa.Schema):
     for _, docs, tokens, places in _blocks(batches):
         order = np.argsort(tokens)
@@ -334,6 +348,7 @@ def learn(docs: DataFrame, scored: DataFrame, n: int, depth: int = DEPTH) -> Dat
     weights = scored.select(
         "word", F.lit(True).alias("single"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("gain")
     ).limit(0)
+    kept = []
     for length in range(1, depth + 1):
         contexts = stored(contexts, "contexts")
         if contexts.isEmpty():
@@ -345,11 +360,12 @@ def learn(docs: DataFrame, scored: DataFrame, n: int, depth: int = DEPTH) -> Dat
         grams = rows.mapInArrow(count, _PACKED).groupBy("bucket").applyInArrow(add, _GRAMS)
         # A context of one word has the root below it.
         on = ["next"] if length == 1 else ["suffix", "next"]
-        counted = stored(
+        counted = (
             grams.join(broadcast_if_small(contexts), "context").join(below, on)
-            .select("context", "next", "word", "under", "n", "total", "q"),
-            "counted",
+            .select("context", "next", "word", "under", "n", "total", "q")
         )
+        kept.append(stored_path(counted, "counted"))
+        counted = docs.sparkSession.read.schema(counted.schema).parquet(kept[-1])
         sums = counted.groupBy("context", "total").agg(
             F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain"),
             F.sum("n").alias("taken"), F.sum("q").alias("share"), F.count(F.lit(1)).alias("entries"),
@@ -380,6 +396,8 @@ def learn(docs: DataFrame, scored: DataFrame, n: int, depth: int = DEPTH) -> Dat
         contexts = entries.where((F.col("next") != end) & (F.col("n") >= least)).select(
             F.col("word").alias("context"), F.col("n").alias("total"), F.col("under").alias("suffix")
         )
+    for path in kept:
+        _delete(docs.sparkSession, path)
     return weights
 
 
@@ -466,7 +484,7 @@ def _score_texts(
             for i, p in _by_bucket(keys, buckets):
                 out.append({
                     "bucket": 2 * i + (length == 1), "block": rows[0], "keys": _thin(keys[p]),
-                    "lens": lens[p].tobytes(), "at": at[ends[p.start] : ends[p.stop]].tobytes(),
+                    "lens": _small(lens[p]), "at": _small(at[ends[p.start] : ends[p.stop]]),
                 })
         known, base, gain = (v.tobytes() for v in sums)
         out.append({
@@ -488,8 +506,10 @@ def _meet(table: pa.Table, once_base: float) -> pa.Table:
     for r in rows:
         if r["block"] is None or r["doc_ids"] is not None:
             continue
-        lens, at = np.frombuffer(r["lens"], np.uint32), np.frombuffer(r["at"], np.uint16)
-        found, hit = _places(keys, _whole(r["keys"]))
+        wanted = _whole(r["keys"])
+        lens = _numbers(r["lens"], np.uint32, len(wanted))
+        at = _numbers(r["at"], np.uint16, int(lens.sum()))
+        found, hit = _places(keys, wanted)
         once = (1.0, once_base, 0.0) if r["bucket"] & 1 else (0.0, 0.0, 0.0)
         docs = np.flatnonzero(np.bincount(at)).astype(np.uint16)
         parts = {}

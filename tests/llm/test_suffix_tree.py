@@ -3,9 +3,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from repoweave.llm import suffix_tree as S
+from repoweave.llm.common import lower_ascii, words_of
 
 
 def tokens_of(text):
@@ -119,3 +121,48 @@ def test_the_tree_grows_with_the_corpus_and_needs_no_frequent_words(spark, monke
         monkeypatch.setattr(S, "FREQUENT", share)
         got = {r["doc_id"]: r["score"] for r in S.score_documents(docs).collect()}
         assert got == pytest.approx({d: v[0][-1] for d, v in want.items()}, rel=1e-9)
+
+
+def test_tokens_have_hashes_of_their_own():
+    texts = ["", " ", "A a\x0ba\x00 \x00a \x00", "é 你好 É", *("x" * n + " " + "x" * n + "y" for n in (7, 8, 9, 63, 64, 65, 70_000))]
+    texts = [t.encode() for t in texts]
+    hashes, sizes = S._tokens(texts)
+    words = [[*words_of(lower_ascii(t)), b""] for t in texts]
+    assert sizes.tolist() == [len(w) for w in words]
+    pairs = set(zip((w for ws in words for w in ws), hashes.tolist(), strict=True))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+
+
+def test_what_a_task_sends_of_a_block_is_arrays_and_few_bytes():
+    """One row per bucket and length, not one per sequence of a document; most of a sequence is its hash."""
+    docs = [(i, i, " ".join(f"w{(i * 31 + j * j) % 4999}" for j in range(2000))) for i in range(200)]
+    schema = S.arrow_schema("row long, doc_id long, text string")
+    batch = S.pa.RecordBatch.from_arrays([S.pa.array(c, f.type) for c, f in zip(zip(*docs), schema)], schema=schema)
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    none = Sent((np.zeros(0, np.uint64), *[np.zeros(0)] * 3))
+    bits = Sent(np.full(1 << (S.SIEVE - 6), -1, np.int64).view(np.uint64))
+    sent = list(S._score_texts(iter([batch]), none, bits, -1.0, 3, S.BUCKETS, S.arrow_schema(S._MET)))
+    rows = [r for b in sent for r in b.to_pylist()]
+    assert len(rows) <= 4 * S.BUCKETS + 1
+    queries = [r for r in rows if r["doc_ids"] is None]
+    keys = sum(len(S._whole(r["keys"])) for r in queries)
+    assert keys > 10_000
+    packed = sum(len(r[c]) for r in queries for c in ("lens", "at"))
+    assert packed < 2 * 4 * 200 * 2000
+
+
+def test_tables_without_readers_are_deleted(spark, tmp_path, monkeypatch):
+    from repoweave.llm import common
+
+    monkeypatch.setattr(common, "checkpoint_folder", lambda _: str(tmp_path))
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(i, "quartz lantern drifts over") for i in range(60)], "doc_id long, text string")
+    assert S.score_documents(docs).count() == 60
+    left = {p.name.split("-")[0] for p in tmp_path.iterdir()}
+    assert "words" in left and "changes" in left and "counted" not in left
+    assert spark.conf.get(name) == before
