@@ -54,8 +54,10 @@ DISCOUNT = 0.5
 FREQUENT = 1 / 131_072
 FOLDS = 10
 #: Tokens and documents from which on a block, what a task holds at a time, is full; places take 16 bits.
-HELD_TOKENS = 2_500_000
+HELD_TOKENS = 1_500_000
 HELD_DOCS = 65_536 - SLICE_ROWS
+#: Packed rows that a task passes on at a time.
+PASSED_ROWS = 32
 #: Bytes of a word beyond which it is hashed by itself.
 LONG_WORD = 64
 #: Rows of a table that a task packs at a time.
@@ -304,8 +306,8 @@ def _count_grams(batches, contexts: Broadcast, depth: int, buckets: int, schema:
         keys, first, n = np.unique(_joined(context, token), return_index=True, return_counts=True)
         context, token, n = context[first], token[first], n.astype(np.uint32)
         out = [(i, context[p].tobytes(), token[p].tobytes(), n[p].tobytes()) for i, p in _by_bucket(keys, buckets)]
-        if out:
-            yield _batch(schema, *zip(*out, strict=True))
+        for i in range(0, len(out), PASSED_ROWS):
+            yield _batch(schema, *zip(*out[i : i + PASSED_ROWS], strict=True))
 
 
 def _add_grams(table: pa.Table, least: float, schema: pa.Schema) -> pa.Table:
@@ -438,16 +440,16 @@ def _pack_weights(batches, buckets: int, schema: pa.Schema):
                     "bucket": 2 * i + side, "keys": _thin(keys[at[p]]), "known": known[p].tobytes(),
                     "base": base[p].tobytes(), "gain": gain[p].tobytes(),
                 })
-        return _rows(schema, out)
+        return [_rows(schema, out[i : i + PASSED_ROWS]) for i in range(0, len(out), PASSED_ROWS)]
 
     for batch in batches:
         held.append(batch)
         size += batch.num_rows
         if size >= HELD_ROWS:
-            yield flush()
+            yield from flush()
             size = 0
     if size:
-        yield flush()
+        yield from flush()
 
 
 def _score_texts(
@@ -491,7 +493,8 @@ def _score_texts(
             "bucket": rows[0] % (2 * buckets), "block": rows[0], "doc_ids": docs,
             "n_tokens": np.bincount(places, minlength=size).tobytes(), "known": known, "base": base, "gain": gain,
         })
-        yield _rows(schema, out)
+        for i in range(0, len(out), PASSED_ROWS):
+            yield _rows(schema, out[i : i + PASSED_ROWS])
 
 
 def _meet(table: pa.Table, once_base: float) -> pa.Table:
